@@ -72,6 +72,11 @@ def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.dropna("any", subset=list(columns) if columns else None)
 
 
-def lonely_tiles(df: DataFrame, tile: str = "tile") -> DataFrame:
-    """Tiles with a single row, which are skipped; a tile without rows is absent anyway."""
-    return df.groupBy(tile).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(tile)
+def lonely_objects(df: DataFrame, key: str, tile: str = "tile") -> DataFrame:
+    """``(tile, key)`` of the objects that are the only ones of their tile; such tiles are skipped.
+
+    Carrying the key makes the exclusion a join on single objects, so a tile that holds a large
+    share of all rows does not gather in one task.
+    """
+    per_tile = df.groupBy(tile).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(key))
+    return per_tile.filter("_n = 1").select(tile, key)

@@ -28,33 +28,45 @@ def spectroscopic_catalogue(spec: DataFrame, key: Sequence[str], tolerance_arcse
     return usable.join(kept, list(key), "left_semi")
 
 
-def wide_tiles(bands: dict[str, DataFrame], cfg: SurveyConfig, params: Sequence[str], redshift: bool = False) -> DataFrame:
-    """Band tables of all tiles side by side, with the detection columns of the detection band."""
-    first = cfg.bands[0]
-    carry: dict[str, dict[str, str]] = {first: {"NUMBER": "id"}}
-    detection = {source: name for name, source in DETECTION.items()}
-    carry.setdefault(cfg.detection_band, {}).update(detection)
-    if redshift:
-        carry[cfg.detection_band]["Z"] = "Z_SPEC"
-    tables = {b: bands[b] for b in cfg.bands}
-    if cfg.detection_band not in tables:
-        wide = project.assemble_bands(tables, params, carry)
-        own = bands[cfg.detection_band].select(
-            *OBJECT, *[F.col(s).alias(t) for s, t in carry[cfg.detection_band].items()]
-        )
-        return wide.join(own, OBJECT)
-    return project.assemble_bands(tables, params, carry)
+def detection_table(bands: dict[str, DataFrame], cfg: SurveyConfig) -> DataFrame:
+    """Rows of the detection band that pass the detection cut, with short detection names added."""
+    table = bands[cfg.detection_band]
+    return cuts.detection_cut(table.withColumns({n: F.col(s) for n, s in DETECTION.items()}), cfg)
 
 
-def detected(positions: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """Keys and positions of a tile's usable objects.
+def detected(good: DataFrame, cfg: SurveyConfig) -> DataFrame:
+    """Keys of the usable objects among the rows that passed the detection cut.
 
-    Cut first, then judge duplicates among the survivors of the same tile; tiles with a
-    single survivor are skipped. ``positions`` needs the columns of the detection cut only.
+    Duplicates are judged among the survivors of the same tile; tiles with a single survivor
+    are skipped.
     """
-    good = cuts.detection_cut(positions, cfg)
     kept = dedup.separated(good, ["ide"], cfg.tolerance_arcsec, by=["tile"])
-    return kept.join(cuts.lonely_tiles(good), "tile", "left_anti")
+    return kept.join(cuts.lonely_objects(good, "ide"), OBJECT, "left_anti")
+
+
+def usable_objects(
+    bands: dict[str, DataFrame], cfg: SurveyConfig, params: Sequence[str], redshift: bool = False
+) -> DataFrame:
+    """Wide rows (``PARAM_BAND``) of the usable objects with ``RA, DEC, FWHM, ELONGATION``.
+
+    Band tables, keys and morphology meet on (``tile``, ``ide``), so every table is exchanged once,
+    after its cut. The bands of a tile are aligned by row, which lets the detection band alone
+    decide on cut and duplicates.
+    """
+    good = detection_table(bands, cfg)
+    carry: dict[str, dict[str, str]] = {cfg.bands[0]: {"NUMBER": "id"}}
+    shown = {n: n for n in ("RA", "DEC", "FWHM", "ELONGATION")}
+    if redshift:
+        shown["Z"] = "Z_SPEC"
+    tables = {b: bands[b] for b in cfg.bands}
+    if cfg.detection_band in tables:
+        tables[cfg.detection_band] = good
+        carry.setdefault(cfg.detection_band, {}).update(shown)
+        wide = project.assemble_bands(tables, params, carry)
+    else:
+        own = good.select(*OBJECT, *[F.col(s).alias(t) for s, t in shown.items()])
+        wide = project.assemble_bands(tables, params, carry).join(own, OBJECT)
+    return wide.join(detected(good, cfg), OBJECT, "left_semi")
 
 
 def _finish(df: DataFrame, cfg: SurveyConfig, params: Sequence[str], morphology: bool) -> DataFrame:
@@ -66,15 +78,9 @@ def _finish(df: DataFrame, cfg: SurveyConfig, params: Sequence[str], morphology:
     return project.zero_point(df, cfg)
 
 
-def _restricted(wide: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """Wide rows of the usable objects, without the helper columns of the cut."""
-    return wide.join(detected(wide, cfg), OBJECT, "left_semi").drop("SNR", "MAG", "MAG_ERR")
-
-
 def matched_tiles(bands: dict[str, DataFrame], morphology: DataFrame, cfg: SurveyConfig) -> DataFrame:
     """Objects with a redshift of their own and morphology."""
-    wide = wide_tiles(bands, cfg, MATCHED_PARAMS, redshift=True)
-    objects = _restricted(wide, cfg)
+    objects = usable_objects(bands, cfg, MATCHED_PARAMS, redshift=True)
     shapes = morphology.select("tile", *MORPHOLOGY_COLUMNS)
     objects = objects.join(shapes, ["tile", "id"]).drop("id")
     objects = _finish(cuts.has_value(objects), cfg, MATCHED_PARAMS, morphology=True)
@@ -83,7 +89,7 @@ def matched_tiles(bands: dict[str, DataFrame], morphology: DataFrame, cfg: Surve
 
 def unmatched_tiles(bands: dict[str, DataFrame], cfg: SurveyConfig) -> DataFrame:
     """All usable objects of the photometric tiles."""
-    objects = _restricted(wide_tiles(bands, cfg, UNMATCHED_PARAMS), cfg)
+    objects = usable_objects(bands, cfg, UNMATCHED_PARAMS)
     return project.with_object_name(_finish(objects, cfg, UNMATCHED_PARAMS, morphology=False))
 
 
@@ -94,8 +100,7 @@ def spectra_for_tiles(
 
     ``spec`` is the output of :func:`spectroscopic_catalogue`.
     """
-    wide = wide_tiles(bands, cfg, UNMATCHED_PARAMS).drop("id")
-    usable = _restricted(wide, cfg)
+    usable = usable_objects(bands, cfg, UNMATCHED_PARAMS).drop("id")
     pairs = crossmatch.nearest(
         usable, spec, cfg.tolerance_arcsec, OBJECT, spec_key, ["Z_SPEC"], right_separated=True
     )
@@ -108,7 +113,7 @@ def distance_table(
     max_radius_arcsec: float = 2.0,
 ) -> DataFrame:
     """``ismatched``, partner and distance of every usable photometric object."""
-    usable = _restricted(wide_tiles(bands, cfg, ()), cfg).select(*OBJECT, "RA", "DEC")
+    usable = usable_objects(bands, cfg, ()).select(*OBJECT, "RA", "DEC")
     return crossmatch.match_distances(
         usable, spec, OBJECT, spec_key, cfg.tolerance_arcsec, max_radius_arcsec
     )
