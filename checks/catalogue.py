@@ -175,19 +175,25 @@ def match_distance(spark: SparkSession, sf: str) -> DataFrame:
     return lower(arcsec(out))
 
 
-def three(spark: SparkSession, sf: str, morphology: bool = True) -> surveys.ThreeSurveys:
-    """The survey chain over merged r catalogues of the tiles."""
+def survey_base(spark: SparkSession, sf: str) -> DataFrame:
+    """u survey with its deep-survey partners."""
     u = view(spark, sf, "u_survey").withColumnsRenamed(
         {"ra": "ALPHA_J2000", "dec": "DELTA_J2000", "mag_u": "MAG_u", "mag_r_u": "MAG_r", "magerr_u": "MAGERR_u"}
     )
     deep = view(spark, sf, "deep").withColumnsRenamed(
         {f"{b}{e}": f"{b}_stk_aper{e}" for b in "giz" for e in ("", "_err")}
     )
-    return surveys.three_surveys(
-        u, deep,
-        catalogues.merge_tiles(matched(spark, sf), CAPPED), catalogues.merge_tiles(unmatched(spark, sf), CAPPED),
-        "ide", morphology,
-    )
+    return surveys.u_with_deep(surveys.u_survey(u), surveys.deep_survey(deep))
+
+
+def three_matched(spark: SparkSession, sf: str, morphology: bool = True) -> tuple[DataFrame, DataFrame]:
+    merged = catalogues.merge_tiles(matched(spark, sf), CAPPED)
+    return surveys.with_redshift(survey_base(spark, sf), merged, "ide", morphology)
+
+
+def three_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    merged = catalogues.merge_tiles(unmatched(spark, sf), CAPPED)
+    return surveys.without_redshift(survey_base(spark, sf), merged, "ide")
 
 
 THREE_CTE = (
@@ -287,10 +293,10 @@ QUERIES = {
     "tile_stats": tile_stats,
     "merge_tiles": lambda s, d: catalogues.merge_tiles(matched(s, d), CAPPED),
     "merge_unmatched": lambda s, d: catalogues.merge_tiles(unmatched(s, d), CAPPED),
-    "three_survey_matched": lambda s, d: three(s, d).matched,
-    "three_survey_matched_plain": lambda s, d: three(s, d, morphology=False).matched,
-    "three_survey_unmatched": lambda s, d: three(s, d).unmatched,
-    "r_vs_r": lambda s, d: three(s, d).r_comparison,
+    "three_survey_matched": lambda s, d: three_matched(s, d)[0],
+    "three_survey_matched_plain": lambda s, d: three_matched(s, d, morphology=False)[0],
+    "three_survey_unmatched": lambda s, d: three_unmatched(s, d),
+    "r_vs_r": lambda s, d: three_matched(s, d)[1],
     "external_sentinels": lookups,
     "spec_union": spectroscopic_union,
     "redshift_median": redshift_median,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import catalogue
+from checks import catalogue, tables
 
-PARTS = (catalogue,)
+PARTS = (catalogue, tables)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ a radius differ by at most that radius along each axis.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,19 +24,28 @@ def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
+def located(ra: str, dec: str) -> Column:
+    """True where both coordinates are present."""
+    return F.expr(f"`{ra}` IS NOT NULL AND NOT isnan(`{ra}`) AND `{dec}` IS NOT NULL AND NOT isnan(`{dec}`)")
+
+
+def separation(ra1: str, dec1: str, ra2: str, dec2: str) -> Column:
     """Great-circle separation in degrees (haversine, stable at small angles)."""
-    half_dec = F.radians(dec2 - dec1) / 2
-    half_ra = F.radians(ra2 - ra1) / 2
-    h = F.sin(half_dec) * F.sin(half_dec) + (
-        F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.sin(half_ra) * F.sin(half_ra)
+    return F.expr(
+        f"degrees(2D * asin(least(1D, sqrt("
+        f"pow(sin(radians(`{dec2}` - `{dec1}`) / 2D), 2D)"
+        f" + cos(radians(`{dec1}`)) * cos(radians(`{dec2}`)) * pow(sin(radians(`{ra2}` - `{ra1}`) / 2D), 2D)))))"
     )
-    return F.degrees(F.lit(2.0) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
-def unit_vector(ra: Column, dec: Column) -> tuple[Column, Column, Column]:
-    a, d = F.radians(ra), F.radians(dec)
-    return F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d)
+def unit_vector(ra: str, dec: str, names: Sequence[str]) -> list[Column]:
+    """x, y, z of a position as columns called ``names``."""
+    parts = (
+        f"cos(radians(`{dec}`)) * cos(radians(`{ra}`))",
+        f"cos(radians(`{dec}`)) * sin(radians(`{ra}`))",
+        f"sin(radians(`{dec}`))",
+    )
+    return [F.expr(p).alias(n) for p, n in zip(parts, names)]
 
 
 def reach(radius_arcsec: float) -> float:
@@ -43,13 +53,9 @@ def reach(radius_arcsec: float) -> float:
     return math.radians(radius_arcsec / ARCSEC_PER_DEGREE) * 1.001 + 1e-14
 
 
-def lattice_index(coordinate: Column, side: float) -> Column:
-    return F.floor(coordinate / F.lit(side))
-
-
-def with_own_cell(df: DataFrame, axes, names, side: float) -> DataFrame:
-    """Add the lattice cell that holds each row; ``axes`` and ``names`` run over x, y, z."""
-    return df.withColumns({n: lattice_index(F.col(a), side) for a, n in zip(axes, names)})
+def own_cell(axes: Sequence[str], names: Sequence[str], side: float) -> list[Column]:
+    """Lattice cell that holds a position; ``axes`` and ``names`` run over x, y, z."""
+    return [F.expr(f"floor(`{a}` / {side!r}D)").alias(n) for a, n in zip(axes, names)]
 
 
 def with_reached_cells(df: DataFrame, axes, names, side: float, radius: float) -> DataFrame:
@@ -58,14 +64,13 @@ def with_reached_cells(df: DataFrame, axes, names, side: float, radius: float) -
     With cells of eight radii that is about two cells per row, instead of the 27 of a
     lattice as fine as the radius.
     """
-    for axis, name in zip(axes, names):
-        low = lattice_index(F.col(axis) - F.lit(radius), side)
-        high = lattice_index(F.col(axis) + F.lit(radius), side)
-        df = df.withColumn(name, F.explode(F.sequence(low, high)))
+    for a, n in zip(axes, names):
+        low, high = (f"floor((`{a}` {sign} {radius!r}D) / {side!r}D)" for sign in "-+")
+        df = df.withColumn(n, F.expr(f"explode(sequence({low}, {high}))"))
     return df
 
 
-def chord_squared(left, right) -> Column:
-    """Squared straight-line distance of two unit vectors, given as name triples."""
-    terms = [(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(left, right)]
-    return terms[0] + terms[1] + terms[2]
+def within(left: Sequence[str], right: Sequence[str], radius: float) -> Column:
+    """True where two unit vectors, given as name triples, are within a chord of ``radius``."""
+    terms = " + ".join(f"(`{a}` - `{b}`) * (`{a}` - `{b}`)" for a, b in zip(left, right))
+    return F.expr(f"{terms} <= {radius * radius!r}D")

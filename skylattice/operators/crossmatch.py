@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from skylattice.functions import sky
 
 SEARCH_SIDE = 8.0
+LEFT, RIGHT = ("_lx", "_ly", "_lz"), ("_rx", "_ry", "_rz")
 CELLS = ["_cellx", "_celly", "_cellz"]
 
 
@@ -35,15 +36,19 @@ def nearest(
     :mod:`skylattice.operators.crowded`.
     """
     left_key, payload = list(left_key), list(payload)
-    seeking = _located(left, left_coords, "l").select(*left_key, "_lra", "_ldec", "_lx", "_ly", "_lz")
-    offered = _located(right, right_coords, "r").select(
-        F.struct(F.col(right_key).alias("_key"), *payload).alias("_right"), "_rra", "_rdec"
+    radius = sky.reach(radius_arcsec)
+    seeking = left.filter(sky.located(*left_coords)).select(
+        *left_key, F.col(left_coords[0]).alias("_lra"), F.col(left_coords[1]).alias("_ldec"),
+        *sky.unit_vector(*left_coords, LEFT),
+    )
+    offered = right.filter(sky.located(*right_coords)).select(
+        F.struct(F.col(right_key).alias("_key"), *payload).alias("_right"),
+        F.col(right_coords[0]).alias("_rra"), F.col(right_coords[1]).alias("_rdec"),
     )
     if not right_separated:
         offered = offered.groupBy("_rra", "_rdec").agg(F.min("_right").alias("_right"))
-    x, y, z = sky.unit_vector(F.col("_rra"), F.col("_rdec"))
-    offered = offered.withColumns({"_rx": x, "_ry": y, "_rz": z})
-    found = _closest(candidate_pairs(seeking, offered, radius_arcsec), left_key, radius_arcsec)
+    offered = offered.select("*", *sky.unit_vector("_rra", "_rdec", RIGHT))
+    found = _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
     return found.select(
         *left_key,
         F.col("_best._right._key").alias(right_key),
@@ -52,36 +57,21 @@ def nearest(
     )
 
 
-def candidate_pairs(seeking: DataFrame, offered: DataFrame, radius_arcsec: float) -> DataFrame:
+def candidate_pairs(seeking: DataFrame, offered: DataFrame, radius: float) -> DataFrame:
     """Pairs that share a search cell; a left object is in one cell, a right one in all it reaches."""
-    radius = sky.reach(radius_arcsec)
     side = radius * SEARCH_SIDE
-    here = sky.with_own_cell(seeking, ("_lx", "_ly", "_lz"), CELLS, side)
-    there = sky.with_reached_cells(offered, ("_rx", "_ry", "_rz"), CELLS, side, radius)
+    here = seeking.select("*", *sky.own_cell(LEFT, CELLS, side))
+    there = sky.with_reached_cells(offered, RIGHT, CELLS, side, radius)
     return here.join(there, CELLS)
 
 
-def _located(df: DataFrame, coords: tuple[str, str], side: str) -> DataFrame:
-    ra, dec = (F.col(c) for c in coords)
-    df = df.filter(sky.present(ra) & sky.present(dec)).withColumns(
-        {f"_{side}ra": ra, f"_{side}dec": dec}
-    )
-    if side == "r":
-        return df
-    x, y, z = sky.unit_vector(ra, dec)
-    return df.withColumns({"_lx": x, "_ly": y, "_lz": z})
-
-
 def _closest(pairs: DataFrame, left_key: list[str], radius_arcsec: float) -> DataFrame:
-    radius = sky.reach(radius_arcsec)
-    apart = sky.separation(F.col("_lra"), F.col("_ldec"), F.col("_rra"), F.col("_rdec"))
-    close = sky.chord_squared(("_lx", "_ly", "_lz"), ("_rx", "_ry", "_rz")) <= F.lit(radius * radius)
     return (
-        pairs.filter(close)
-        .withColumn("d2d", apart)
-        .filter(sky.arcsec(F.col("d2d")) < F.lit(radius_arcsec))
+        pairs.filter(sky.within(LEFT, RIGHT, sky.reach(radius_arcsec)))
+        .withColumn("d2d", sky.separation("_lra", "_ldec", "_rra", "_rdec"))
+        .filter(sky.arcsec(F.col("d2d")) < radius_arcsec)
         .groupBy(*left_key)
-        .agg(F.min(F.struct("d2d", "_right")).alias("_best"))
+        .agg(F.expr("min(struct(d2d, _right)) AS _best"))
     )
 
 

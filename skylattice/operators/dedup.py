@@ -38,47 +38,37 @@ def separated(
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, got {policy!r}")
     by, key = list(by), list(key)
-    ra, dec = (F.col(c) for c in coords)
     identity: Column = F.col(key[0]) if len(key) == 1 else F.struct(*key)
-    points = df.filter(sky.present(ra) & sky.present(dec)).select(
-        *by, identity.alias("_id"), ra.alias("_ra"), dec.alias("_dec")
+    xyz, centre, cells = ("_x", "_y", "_z"), ("_cx", "_cy", "_cz"), ["_cellx", "_celly", "_cellz"]
+    points = df.filter(sky.located(*coords)).select(
+        *by, identity.alias("_id"), F.col(coords[0]).alias("_ra"), F.col(coords[1]).alias("_dec"),
+        *sky.unit_vector(*coords, xyz),
     )
-    x, y, z = sky.unit_vector(F.col("_ra"), F.col("_dec"))
-    points = points.withColumns({"_x": x, "_y": y, "_z": z})
 
     radius = sky.reach(tolerance_arcsec)
-    fine = radius * FINE_SIDE
-    cubes = points.groupBy(
-        *by, *[sky.lattice_index(F.col(a), fine).alias(f"_f{a[1]}") for a in ("_x", "_y", "_z")]
-    ).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_id").alias("_cid"),
-        F.min_by("_ra", "_id").alias("_cra"),
-        F.min_by("_dec", "_id").alias("_cdec"),
+    cubes = points.groupBy(*by, *sky.own_cell(xyz, ("_fx", "_fy", "_fz"), radius * FINE_SIDE)).agg(
+        F.expr("count(1) AS _n"), F.expr("min(_id) AS _cid"),
+        F.expr("min_by(_ra, _id) AS _cra"), F.expr("min_by(_dec, _id) AS _cdec"),
     )
     if policy == "drop_all":
-        cubes = cubes.filter(F.col("_n") == 1)
+        cubes = cubes.filter("_n = 1")
     candidates = cubes.select(*by, "_cid", "_cra", "_cdec")
 
-    x, y, z = sky.unit_vector(F.col("_cra"), F.col("_cdec"))
     side = radius * SEARCH_SIDE
-    cells = ["_cellx", "_celly", "_cellz"]
     around = sky.with_reached_cells(
-        candidates.withColumns({"_cx": x, "_cy": y, "_cz": z}),
-        ("_cx", "_cy", "_cz"), cells, side, radius,
+        candidates.select("*", *sky.unit_vector("_cra", "_cdec", centre)), centre, cells, side, radius
     )
-    placed = sky.with_own_cell(points, ("_x", "_y", "_z"), cells, side)
-    other = F.col("_id") != F.col("_cid") if policy == "drop_all" else F.col("_id") < F.col("_cid")
-    near = sky.chord_squared(("_cx", "_cy", "_cz"), ("_x", "_y", "_z")) <= F.lit(radius * radius)
-    apart = sky.separation(F.col("_cra"), F.col("_cdec"), F.col("_ra"), F.col("_dec"))
+    placed = points.select("*", *sky.own_cell(xyz, cells, side))
+    other = F.expr("_id <> _cid" if policy == "drop_all" else "_id < _cid")
+    close = sky.arcsec(sky.separation("_cra", "_cdec", "_ra", "_dec")) < tolerance_arcsec
     crowded = (
         around.join(placed, by + cells)
-        .filter(other & near & (sky.arcsec(apart) < F.lit(tolerance_arcsec)))
+        .filter(other & sky.within(centre, xyz, radius) & close)
         .select(*by, "_cid")
         .distinct()
     )
     # reads the same columns as the search above, so both sides reuse one exchange
-    alone = candidates.filter(sky.present(F.col("_cra")) & sky.present(F.col("_cdec")))
+    alone = candidates.filter(sky.located("_cra", "_cdec"))
     kept = alone.select(*by, "_cid").join(crowded, by + ["_cid"], "left_anti")
     if len(key) == 1:
         return kept.withColumnRenamed("_cid", key[0])
@@ -95,10 +85,9 @@ def flag_duplicates(
 ) -> DataFrame:
     """The input with a boolean ``isdup``; rows without a position are never duplicates."""
     kept = separated(df, key, tolerance_arcsec, by, coords, policy).withColumn("_kept", F.lit(True))
-    located = sky.present(F.col(coords[0])) & sky.present(F.col(coords[1]))
     return (
         df.join(kept, list(by) + list(key), "left")
-        .withColumn("isdup", located & F.col("_kept").isNull())
+        .withColumn("isdup", sky.located(*coords) & F.col("_kept").isNull())
         .drop("_kept")
     )
 

@@ -39,7 +39,7 @@ def pixel_scales(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Non
     middle: dict[str, float | None] = {}
     spread: dict[str, float | None] = {}
     for c in columns:
-        pixels = df.select(F.explode(F.flatten(c)).cast("double").alias("p"))
+        pixels = df.select(F.explode(F.flatten(c)).alias("p")).select(F.col("p").cast("double"))
         middle[c] = order_stats.medians(pixels, ["p"])["p"]
         if middle[c] is None:
             spread[c] = None

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skylattice.config import MATCHED_PARAMS, MORPHOLOGY_COLUMNS, UNMATCHED_PARAMS, SurveyConfig
 from skylattice.operators import crossmatch, cuts, dedup, project
+from skylattice.session import staged
 
 OBJECT = ["tile", "ide"]
 # output name -> source column of the detection band
@@ -100,7 +101,7 @@ def spectra_for_tiles(
 
     ``spec`` is the output of :func:`spectroscopic_catalogue`.
     """
-    usable = usable_objects(bands, cfg, UNMATCHED_PARAMS).drop("id")
+    usable = staged(usable_objects(bands, cfg, UNMATCHED_PARAMS).drop("id"))
     pairs = crossmatch.nearest(
         usable, spec, cfg.tolerance_arcsec, OBJECT, spec_key, ["Z_SPEC"], right_separated=True
     )
@@ -113,7 +114,7 @@ def distance_table(
     max_radius_arcsec: float = 2.0,
 ) -> DataFrame:
     """``ismatched``, partner and distance of every usable photometric object."""
-    usable = usable_objects(bands, cfg, ()).select(*OBJECT, "RA", "DEC")
+    usable = staged(usable_objects(bands, cfg, ()).select(*OBJECT, "RA", "DEC"))
     return crossmatch.match_distances(
         usable, spec, OBJECT, spec_key, cfg.tolerance_arcsec, max_radius_arcsec
     )
@@ -123,10 +124,11 @@ def merge_tiles(catalogue: DataFrame, cfg: SurveyConfig, policy: str = "drop_all
     """One catalogue from the tiles' rows, without objects that are close across tiles.
 
     ``drop_all`` removes an object seen in two overlapping tiles altogether, ``keep_first`` keeps
-    one of its rows. Images stay in the row of their object.
+    one of its rows. Images stay in the row of their object. The tile rows are written once,
+    because the search reads their positions apart from their other columns.
     """
     return dedup.drop_duplicates_on_sky(
-        catalogue, OBJECT, tolerance_arcsec=cfg.tolerance_arcsec, policy=policy
+        staged(catalogue), OBJECT, tolerance_arcsec=cfg.tolerance_arcsec, policy=policy
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from skylattice.operators import crossmatch, cuts, project
+from skylattice.session import staged
 
 TOLERANCE = 0.3
 
@@ -43,34 +44,47 @@ def u_with_deep(u: DataFrame, deep: DataFrame, tolerance: float = TOLERANCE) ->
     return u.join(found.drop("d2d"), "u_id")
 
 
+def with_redshift(
+    base: DataFrame, r_matched: DataFrame, r_key: str, morphology: bool = True,
+    tolerance: float = TOLERANCE, keep: Sequence[str] = ("u_id",), separated: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """Training table of the chain and the comparison of the two r magnitudes.
+
+    ``r_matched`` is a merged catalogue, which holds no two objects closer than the tolerance unless
+    ``separated=False``.
+    """
+    shapes = list(project.MORPHOLOGY) + ["gal_g1", "gal_g2"] if morphology else []
+    shapes = [c for c in shapes if c in r_matched.columns]
+    found = crossmatch.nearest(
+        base, r_matched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R", *shapes, "Z_SPEC"], right_separated=separated
+    )
+    if {"gal_g1", "gal_g2"} <= set(shapes):
+        found = project.shear(found)
+    medium = base.join(found.drop("d2d"), "u_id")
+    names = {**project.THREE_SURVEY_MAGNITUDES, **(project.MORPHOLOGY if morphology else {}), **project.TARGET}
+    return project.short_names(medium, names, keep), medium.select(*keep, "MAG_r", "MAG_AUTO_R")
+
+
+def without_redshift(
+    base: DataFrame, r_unmatched: DataFrame, r_key: str,
+    tolerance: float = TOLERANCE, keep: Sequence[str] = ("u_id",), separated: bool = True,
+) -> DataFrame:
+    """Population table of the chain: magnitudes of all objects found in the three surveys."""
+    found = crossmatch.nearest(
+        base, r_unmatched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R"], right_separated=separated
+    )
+    return project.short_names(base.join(found.drop("d2d"), "u_id"), project.THREE_SURVEY_MAGNITUDES, keep)
+
+
 def three_surveys(
     u: DataFrame, deep: DataFrame, r_matched: DataFrame, r_unmatched: DataFrame, r_key: str,
-    morphology: bool = True, tolerance: float = TOLERANCE, keep: Sequence[str] = ("u_id",),
-    separated: bool = True,
+    morphology: bool = True, tolerance: float = TOLERANCE, **options,
 ) -> ThreeSurveys:
     """u survey -> deep survey -> r catalogue, with and without redshifts.
 
-    ``r_matched`` and ``r_unmatched`` are merged catalogues, which hold no two objects closer than
-    the tolerance unless ``separated=False``. The first match feeds both chains; persist the inputs
-    if they are costly to recompute.
+    The first match feeds both chains and is written once.
     """
-    base = u_with_deep(u_survey(u), deep_survey(deep), tolerance)
-    shapes = [c for c in ("gal_g1", "gal_g2", "gal_sb", "gal_rho4", "gal_sigma", "gal_gini", "ELONGATION")
-              if c in r_matched.columns]
-    if not {"gal_g1", "gal_g2"} <= set(shapes):
-        shapes = [c for c in shapes if c not in ("gal_g1", "gal_g2")]
-    r_columns = ["MAG_AUTO_R", *shapes, "Z_SPEC"]
-    with_r = crossmatch.nearest(base, r_matched, tolerance, ["u_id"], r_key, r_columns, right_separated=separated)
-    if "gal_g1" in shapes:
-        with_r = project.shear(with_r)
-    medium = base.join(with_r.drop("d2d"), "u_id")
-    names = {**project.THREE_SURVEY_MAGNITUDES, **(project.MORPHOLOGY if morphology else {}), **project.TARGET}
-    without_z = crossmatch.nearest(
-        base, r_unmatched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R"], right_separated=separated
-    )
-    full = base.join(without_z.drop("d2d"), "u_id")
-    return ThreeSurveys(
-        matched=project.short_names(medium, names, keep),
-        unmatched=project.short_names(full, project.THREE_SURVEY_MAGNITUDES, keep),
-        r_comparison=medium.select(*keep, "MAG_r", "MAG_AUTO_R"),
-    )
+    base = staged(u_with_deep(u_survey(u), deep_survey(deep), tolerance))
+    matched, comparison = with_redshift(base, r_matched, r_key, morphology, tolerance, **options)
+    unmatched = without_redshift(base, r_unmatched, r_key, tolerance, **options)
+    return ThreeSurveys(matched, unmatched, comparison)

@@ -1,11 +1,14 @@
-"""Session helpers: a local session for tests and benchmarks, and the checkpoint folder."""
+"""Session helpers: a local session for tests and benchmarks, the shared folder, staged tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -27,20 +30,38 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def checkpoint_ready(spark: SparkSession) -> bool:
-    """True when ``checkpoint()`` can be used.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor reaches: the one named in ``spark.checkpoint.dir``.
 
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary
-    folder is taken only on a local master, where every task sees the same disk.
+    Only on a local master, where all tasks see the same disk, a temporary folder stands in.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return True
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        context.setCheckpointDir(named)
-        return True
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="skylattice-checkpoint-"))
-        return True
-    return False
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="skylattice-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Give iterative fits a folder for their checkpoints, so lost executors cost little."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For tables that several later steps read: each reads only its columns, none repeats the
+    joins behind the table, and a lost executor costs a re-read.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
