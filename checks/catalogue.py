@@ -8,6 +8,7 @@ from checks.fixtures import BANDS, ctes, view
 from skylattice.config import SurveyConfig
 from skylattice.operators import crossmatch, cuts, dedup, histogram, order_stats, project, statistics
 from skylattice.plans import catalogues, surveys
+from skylattice.session import staged
 from skylattice.sources import tables
 
 CAPPED = SurveyConfig.capped_range(bands=tuple(BANDS))
@@ -183,7 +184,7 @@ def survey_base(spark: SparkSession, sf: str) -> DataFrame:
     deep = view(spark, sf, "deep").withColumnsRenamed(
         {f"{b}{e}": f"{b}_stk_aper{e}" for b in "giz" for e in ("", "_err")}
     )
-    return surveys.u_with_deep(surveys.u_survey(u), surveys.deep_survey(deep))
+    return staged(surveys.u_with_deep(surveys.u_survey(u), surveys.deep_survey(deep)))
 
 
 def three_matched(spark: SparkSession, sf: str, morphology: bool = True) -> tuple[DataFrame, DataFrame]:

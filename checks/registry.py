@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import catalogue, tables
+from checks import catalogue, learning, tables
 
-PARTS = (catalogue, tables)
+PARTS = (catalogue, tables, learning)
 
 
 def queries() -> dict:
