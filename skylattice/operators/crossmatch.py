@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from skylattice.functions import sky
+from skylattice.operators import crowded
+from skylattice.session import staged
 
 SEARCH_SIDE = 8.0
 LEFT, RIGHT = ("_lx", "_ly", "_lz"), ("_rx", "_ry", "_rz")
@@ -23,6 +25,7 @@ def nearest(
     left_coords: tuple[str, str] = ("RA", "DEC"),
     right_coords: tuple[str, str] = ("RA", "DEC"),
     right_separated: bool = False,
+    crowd: int | None = None,
 ) -> DataFrame:
     """For each left object its nearest right object closer than the radius.
 
@@ -32,8 +35,8 @@ def nearest(
     ``right_separated=True`` states that the right side holds no two objects closer than the
     radius (it went through :func:`skylattice.operators.dedup.separated`); a search cell then holds
     a bounded number of them. Otherwise right objects at the same position are folded to the one
-    with the smallest key before the join, and crowded cells are searched level by level, see
-    :mod:`skylattice.operators.crowded`.
+    with the smallest key before the join, and cells with more than ``crowd`` of them are searched
+    level by level, see :mod:`skylattice.operators.crowded`; one small job looks for such cells.
     """
     left_key, payload = list(left_key), list(payload)
     radius = sky.reach(radius_arcsec)
@@ -48,7 +51,10 @@ def nearest(
     if not right_separated:
         offered = offered.groupBy("_rra", "_rdec").agg(F.min("_right").alias("_right"))
     offered = offered.select("*", *sky.unit_vector("_rra", "_rdec", RIGHT))
-    found = _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
+    if right_separated:
+        found = _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
+    else:
+        found = _with_crowds(seeking, offered, left_key, radius_arcsec, crowd)
     return found.select(
         *left_key,
         F.col("_best._right._key").alias(right_key),
@@ -65,6 +71,26 @@ def candidate_pairs(seeking: DataFrame, offered: DataFrame, radius: float) -> Da
     return here.join(there, CELLS)
 
 
+def _with_crowds(
+    seeking: DataFrame, offered: DataFrame, left_key: list[str], radius_arcsec: float, crowd: int | None
+) -> DataFrame:
+    """Plain search, plus the level-by-level search for left objects of crowded cells, if any."""
+    radius = sky.reach(radius_arcsec)
+    side = radius * SEARCH_SIDE
+    reached = sky.with_reached_cells(offered, RIGHT, CELLS, side, radius)
+    full = crowded.crowded_cells(reached, CELLS, crowd)
+    if full.isEmpty():
+        return _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
+    full = staged(full)
+    placed = seeking.select("*", *sky.own_cell(LEFT, CELLS, side))
+    quiet = placed.join(full, CELLS, "left_anti").join(reached, CELLS)
+    near_full = reached.join(full, CELLS, "left_semi").drop(*CELLS).dropDuplicates(["_rra", "_rdec"])
+    busy = crowded.surviving_pairs(
+        placed.join(full, CELLS, "left_semi").drop(*CELLS), near_full, left_key, LEFT, RIGHT, radius, side, crowd
+    )
+    return _closest(quiet, left_key, radius_arcsec).unionByName(_closest(busy, left_key, radius_arcsec))
+
+
 def _closest(pairs: DataFrame, left_key: list[str], radius_arcsec: float) -> DataFrame:
     return (
         pairs.filter(sky.within(LEFT, RIGHT, sky.reach(radius_arcsec)))
