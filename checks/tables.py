@@ -230,7 +230,9 @@ def split_imputed(spark: SparkSession, sf: str) -> DataFrame:
 # --- folds ---------------------------------------------------------------------------------
 
 def mixed_sql(key: str, seed: int) -> str:
-    return f"((({key}%{MODULUS})*{MULTIPLIER}+{seed * SEED_STEP + 1})%{MODULUS})"
+    x = f"((({key}%{MODULUS})*{MULTIPLIER}+{seed * SEED_STEP + 1})%{MODULUS})"
+    square = f"({x}*{x}%{MODULUS})"
+    return f"({square}*{square}%{MODULUS}*{x}%{MODULUS})"
 
 
 LIMIT = int(0.2 * MODULUS)

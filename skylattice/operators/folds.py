@@ -21,13 +21,19 @@ SEED_STEP = 12345
 
 
 def mixed_key(df: DataFrame, key: Sequence[str], seed: int = 0) -> Column:
-    """Number in [0, MODULUS) that scatters the key; distinct for integer keys below MODULUS."""
+    """Number in [0, MODULUS) that scatters the key; distinct for integer keys below MODULUS.
+
+    A linear step brings in the seed, the fifth power breaks the line: it maps the residues onto
+    themselves one to one, and different seeds give unrelated orders.
+    """
     key = list(key)
     if len(key) == 1 and isinstance(df.schema[key[0]].dataType, IntegralType):
         base = F.pmod(F.col(key[0]).cast("bigint"), F.lit(MODULUS))
     else:
         base = F.pmod(F.xxhash64(*key), F.lit(MODULUS))
-    return F.pmod(base * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP + 1), F.lit(MODULUS))
+    x = (base * F.lit(MULTIPLIER) + F.lit(seed * SEED_STEP + 1)) % F.lit(MODULUS)
+    square = (x * x) % F.lit(MODULUS)
+    return (((square * square) % F.lit(MODULUS)) * x) % F.lit(MODULUS)
 
 
 def _slot(mixed: Column, slots: int) -> Column:
