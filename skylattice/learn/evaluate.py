@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import LABEL, PREDICTION, Fitted, Regressor
@@ -62,8 +62,9 @@ def run_all(jobs: Sequence[Callable], parallelism: int) -> list:
     """Independent fits side by side; Spark shares its executors among them."""
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
 
 def holdout_parts(df: DataFrame, setting: Setting, share: float = 0.2) -> tuple[DataFrame, DataFrame]:

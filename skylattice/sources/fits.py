@@ -272,11 +272,11 @@ class FitsReader(DataSourceReader):
         for path, size in settings.files():
             count = max(1, math.ceil(size / settings.split_bytes))
             for k in range(count):
-                current.append((path, k, count))
-                filled += size / count
-                if filled >= settings.split_bytes:
+                if current and filled + size / count > settings.split_bytes:
                     tasks.append(Slices(tuple(current)))
                     current, filled = [], 0
+                current.append((path, k, count))
+                filled += size / count
         if current:
             tasks.append(Slices(tuple(current)))
         return tasks
