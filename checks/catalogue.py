@@ -165,7 +165,7 @@ def crossmatch_query(spark: SparkSession, sf: str) -> DataFrame:
     kept = dedup.separated(good, ["obj_id"], by=["tile"]).join(
         cuts.lonely_objects(good, "obj_id"), ["tile", "obj_id"], "left_anti"
     )
-    usable = good.join(kept, ["tile", "obj_id"], "left_semi")
+    usable = staged(good.join(kept, ["tile", "obj_id"], "left_semi").select("obj_id", "RA", "DEC", "mag_r"))
     pairs = crossmatch.nearest(usable, spectra(spark, sf), 0.3, ["obj_id"], "spec_id", ["Z_SPEC"], right_separated=True)
     joined = usable.select("obj_id", "mag_r").join(pairs, "obj_id")
     return lower(arcsec(cuts.positive(joined))).select("obj_id", "spec_id", "d2d_arcsec", "z_spec", "mag_r")

@@ -29,6 +29,11 @@ def located(ra: str, dec: str) -> Column:
     return F.expr(f"`{ra}` IS NOT NULL AND NOT isnan(`{ra}`) AND `{dec}` IS NOT NULL AND NOT isnan(`{dec}`)")
 
 
+def coordinate(name: str, alias: str) -> Column:
+    """A coordinate of located rows as a column without NULLs."""
+    return F.expr(f"coalesce(CAST(`{name}` AS DOUBLE), 0D)").alias(alias)
+
+
 def separation(ra1: str, dec1: str, ra2: str, dec2: str) -> Column:
     """Great-circle separation in degrees (haversine, stable at small angles)."""
     return F.expr(
@@ -39,13 +44,17 @@ def separation(ra1: str, dec1: str, ra2: str, dec2: str) -> Column:
 
 
 def unit_vector(ra: str, dec: str, names: Sequence[str]) -> list[Column]:
-    """x, y, z of a position as columns called ``names``."""
+    """x, y, z of a position as columns called ``names``.
+
+    They are declared free of NULLs, and so are the cells derived from them: otherwise Spark guards
+    each join on cells by an IS NOT NULL filter over the whole expression, once per axis.
+    """
     parts = (
         f"cos(radians(`{dec}`)) * cos(radians(`{ra}`))",
         f"cos(radians(`{dec}`)) * sin(radians(`{ra}`))",
         f"sin(radians(`{dec}`))",
     )
-    return [F.expr(p).alias(n) for p, n in zip(parts, names)]
+    return [F.expr(f"coalesce({p}, 0D)").alias(n) for p, n in zip(parts, names)]
 
 
 def reach(radius_arcsec: float) -> float:
@@ -55,7 +64,7 @@ def reach(radius_arcsec: float) -> float:
 
 def own_cell(axes: Sequence[str], names: Sequence[str], side: float) -> list[Column]:
     """Lattice cell that holds a position; ``axes`` and ``names`` run over x, y, z."""
-    return [F.expr(f"floor(`{a}` / {side!r}D)").alias(n) for a, n in zip(axes, names)]
+    return [F.expr(f"coalesce(floor(`{a}` * {1.0 / side!r}D), 0L)").alias(n) for a, n in zip(axes, names)]
 
 
 def with_reached_cells(df: DataFrame, axes, names, side: float, radius: float) -> DataFrame:
@@ -65,7 +74,7 @@ def with_reached_cells(df: DataFrame, axes, names, side: float, radius: float) -
     lattice as fine as the radius.
     """
     for a, n in zip(axes, names):
-        low, high = (f"floor((`{a}` {sign} {radius!r}D) / {side!r}D)" for sign in "-+")
+        low, high = (f"floor((`{a}` {sign} {radius!r}D) * {1.0 / side!r}D)" for sign in "-+")
         df = df.withColumn(n, F.expr(f"explode(sequence({low}, {high}))"))
     return df
 

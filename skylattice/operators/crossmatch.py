@@ -32,21 +32,20 @@ def nearest(
     Returns ``left_key``, ``right_key``, ``d2d`` (degrees) and ``payload`` (right columns);
     left objects without a partner are absent. Equal distances go to the smaller right key.
 
-    ``right_separated=True`` states that the right side holds no two objects closer than the
-    radius (it went through :func:`skylattice.operators.dedup.separated`); a search cell then holds
-    a bounded number of them. Otherwise right objects at the same position are folded to the one
+    ``right_separated=True`` states that the right side went through
+    :func:`skylattice.operators.dedup.separated` with a tolerance not far below the radius; geometry
+    then bounds the number of right objects in a search cell. Otherwise right objects at the same position are folded to the one
     with the smallest key before the join, and cells with more than ``crowd`` of them are searched
     level by level, see :mod:`skylattice.operators.crowded`; one small job looks for such cells.
     """
     left_key, payload = list(left_key), list(payload)
     radius = sky.reach(radius_arcsec)
     seeking = left.filter(sky.located(*left_coords)).select(
-        *left_key, F.col(left_coords[0]).alias("_lra"), F.col(left_coords[1]).alias("_ldec"),
-        *sky.unit_vector(*left_coords, LEFT),
-    )
+        *left_key, sky.coordinate(left_coords[0], "_lra"), sky.coordinate(left_coords[1], "_ldec")
+    ).select("*", *sky.unit_vector("_lra", "_ldec", LEFT))
     offered = right.filter(sky.located(*right_coords)).select(
         F.struct(F.col(right_key).alias("_key"), *payload).alias("_right"),
-        F.col(right_coords[0]).alias("_rra"), F.col(right_coords[1]).alias("_rdec"),
+        sky.coordinate(right_coords[0], "_rra"), sky.coordinate(right_coords[1], "_rdec"),
     )
     if not right_separated:
         offered = offered.groupBy("_rra", "_rdec").agg(F.min("_right").alias("_right"))

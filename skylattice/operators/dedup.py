@@ -1,9 +1,9 @@
 """Removal of objects that lie closer than a tolerance to another object.
 
-The work stays linear however crowded a spot is. A fine cube lattice has cells whose diagonal
-is below the tolerance, so all members of a cell with two or more objects are duplicates without
-any pair being formed, and the partial aggregation folds a crowd of copies before the shuffle.
-Only the objects alone in their cell are compared with their surroundings.
+The work stays linear however crowded a spot is. Objects at the same position are counted and
+folded to one row by a partial aggregation. A fine cube lattice has cells whose diagonal is below the
+tolerance, so all members of a cell with two or more objects are duplicates without any pair being
+formed. Only the one object that may stay of each fine cell is compared with its surroundings.
 """
 
 from __future__ import annotations
@@ -40,25 +40,30 @@ def separated(
     by, key = list(by), list(key)
     identity: Column = F.col(key[0]) if len(key) == 1 else F.struct(*key)
     xyz, centre, cells = ("_x", "_y", "_z"), ("_cx", "_cy", "_cz"), ["_cellx", "_celly", "_cellz"]
-    points = df.filter(sky.located(*coords)).select(
-        *by, identity.alias("_id"), F.col(coords[0]).alias("_ra"), F.col(coords[1]).alias("_dec"),
-        *sky.unit_vector(*coords, xyz),
+    # copies of one position fold into one row before the exchange, whatever their share
+    positions = (
+        df.filter(sky.located(*coords))
+        .select(*by, identity.alias("_id"), sky.coordinate(coords[0], "_ra"), sky.coordinate(coords[1], "_dec"))
+        .groupBy(*by, "_ra", "_dec")
+        .agg(F.expr("count(1) AS _n"), F.expr("min(_id) AS _id"))
+        .select("*", *sky.unit_vector("_ra", "_dec", xyz))
     )
 
     radius = sky.reach(tolerance_arcsec)
-    cubes = points.groupBy(*by, *sky.own_cell(xyz, ("_fx", "_fy", "_fz"), radius * FINE_SIDE)).agg(
-        F.expr("count(1) AS _n"), F.expr("min(_id) AS _cid"),
+    cubes = positions.groupBy(*by, *sky.own_cell(xyz, ("_fx", "_fy", "_fz"), radius * FINE_SIDE)).agg(
+        F.expr("sum(_n) AS _n"), F.expr("min(_id) AS _cid"),
         F.expr("min_by(_ra, _id) AS _cra"), F.expr("min_by(_dec, _id) AS _cdec"),
     )
     if policy == "drop_all":
         cubes = cubes.filter("_n = 1")
-    candidates = cubes.select(*by, "_cid", "_cra", "_cdec")
+    candidates = cubes.select(*by, "_cid", sky.coordinate("_cra", "_cra"), sky.coordinate("_cdec", "_cdec"))
 
     side = radius * SEARCH_SIDE
     around = sky.with_reached_cells(
         candidates.select("*", *sky.unit_vector("_cra", "_cdec", centre)), centre, cells, side, radius
     )
-    placed = points.select("*", *sky.own_cell(xyz, cells, side))
+    # the condition always holds; it keeps the columns of the branch above, so both reuse one exchange
+    placed = positions.filter("_n > 0").select(*by, "_id", "_ra", "_dec", *xyz, *sky.own_cell(xyz, cells, side))
     other = F.expr("_id <> _cid" if policy == "drop_all" else "_id < _cid")
     close = sky.arcsec(sky.separation("_cra", "_cdec", "_ra", "_dec")) < tolerance_arcsec
     crowded = (
@@ -67,8 +72,8 @@ def separated(
         .select(*by, "_cid")
         .distinct()
     )
-    # reads the same columns as the search above, so both sides reuse one exchange
-    alone = candidates.filter(sky.located("_cra", "_cdec"))
+    # as above: the same columns as the search, so both reuse one exchange
+    alone = candidates.filter("_cra > -1000D AND _cdec > -1000D")
     kept = alone.select(*by, "_cid").join(crowded, by + ["_cid"], "left_anti")
     if len(key) == 1:
         return kept.withColumnRenamed("_cid", key[0])

@@ -116,7 +116,7 @@ def distance_table(
     """``ismatched``, partner and distance of every usable photometric object."""
     usable = staged(usable_objects(bands, cfg, ()).select(*OBJECT, "RA", "DEC"))
     return crossmatch.match_distances(
-        usable, spec, OBJECT, spec_key, cfg.tolerance_arcsec, max_radius_arcsec
+        usable, spec, OBJECT, spec_key, cfg.tolerance_arcsec, max_radius_arcsec, right_separated=True
     )
 
 
