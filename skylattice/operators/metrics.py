@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skylattice.functions.sky import present
 from skylattice.operators import order_stats
 
 # The normal-consistency factor and the outlier limit.
@@ -57,13 +58,14 @@ def scores_by(
         sums += [
             F.avg(n).alias(f"{n}_bias"),
             F.avg(F.when(F.abs(n) > OUTLIER_LIMIT, 1.0).when(F.col(n).isNotNull(), 0.0)).alias(f"{n}_eta"),
-            F.count(n).alias(f"{n}_rows"),
+            F.count(F.when(present(F.col(n)), 1)).alias(f"{n}_rows"),
         ]
     simple = errors.agg(*sums).first()
-    middle = order_stats.medians(errors, names)
+    counts = {n: simple[f"{n}_rows"] for n in names}
+    middle = order_stats.medians(errors, names, counts=counts)
     known = [n for n in names if middle[n] is not None]
     spread = order_stats.medians(
-        errors.select(*[F.abs(F.col(n) - F.lit(middle[n])).alias(n) for n in known]), known
+        errors.select(*[F.abs(F.col(n) - F.lit(middle[n])).alias(n) for n in known]), known, counts=counts
     ) if known else {}
     result = {}
     for n, v in zip(names, values):

@@ -75,9 +75,15 @@ def present_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {c: row[c] for c in columns}
 
 
-def medians(df: DataFrame, columns: Sequence[str], gather_limit: int = GATHER_LIMIT) -> dict[str, float | None]:
-    """Exact medians, the mean of the two middle values for an even count."""
-    counts = present_counts(df, columns)
+def medians(
+    df: DataFrame, columns: Sequence[str], gather_limit: int = GATHER_LIMIT, counts: Mapping[str, int] | None = None
+) -> dict[str, float | None]:
+    """Exact medians, the mean of the two middle values for an even count.
+
+    ``counts`` are the numbers of present values, if they are known already.
+    """
+    if counts is None:
+        counts = present_counts(df, columns)
     ranks = {c: sorted({(counts[c] - 1) // 2, counts[c] // 2}) for c in columns if counts[c]}
     found = order_statistics(df, ranks, counts, gather_limit) if ranks else {}
     return {c: sum(found[c]) / len(found[c]) if c in found else None for c in columns}
