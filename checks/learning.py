@@ -10,7 +10,6 @@ from skylattice.config import SurveyConfig
 from skylattice.learn import search, selection
 from skylattice.learn.evaluate import Setting, cross_validate, fit_predict, holdout_parts
 from skylattice.learn.regressors import regressor
-from skylattice.operators import project
 from skylattice.plans import training
 
 SETTING = Setting(key=("obj_id",), target="z_spec", preprocessing="mean", cv=2)
@@ -66,7 +65,8 @@ def gain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def choose_features(spark: SparkSession, sf: str) -> DataFrame:
-    variants = project.colour_variants(train(spark, sf).select("obj_id", "r", "u", "g", "z_spec"), ("r", "u", "g"))
+    table = train(spark, sf).select("obj_id", "r", "u", "g", "z_spec")
+    variants = training.folded_feature_sets(table, SETTING, ("r", "u", "g"))
     best, results = selection.select_features(small("LASSO"), variants, SETTING)
     rows = [{"variant": i, "score": v.score.mean, "best": i == best} for i, v in enumerate(results)]
     return selection.report_table(spark, rows, "variant int, score double, best boolean")

@@ -86,8 +86,15 @@ def morphology_gain(
 def select_features(
     regressor: Regressor, variants: Sequence[DataFrame], setting: Setting, max_variants: int | None = None
 ) -> tuple[int, list[Validation]]:
-    """Number of the variant with the lowest score, and all validations."""
-    results = [cross_validate(regressor, v, setting) for v in variants[:max_variants]]
+    """Number of the variant with the lowest score, and all validations.
+
+    Variants that carry a ``fold`` column are projections of one folded table and are read from it
+    as they are; others are folded one by one.
+    """
+    results = [
+        (validate_folds if "fold" in v.columns else cross_validate)(regressor, v, setting)
+        for v in variants[:max_variants]
+    ]
     return min(range(len(results)), key=lambda i: results[i].score.mean), results
 
 

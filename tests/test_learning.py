@@ -172,6 +172,14 @@ def test_feature_sets(spark):
     assert feature_columns(df, "z", ["k"]) == ["r", "u", "Gini index"]
 
 
+def test_folded_feature_sets_share_their_folds(spark):
+    x, z, _ = table(120)
+    variants = training.folded_feature_sets(frame(spark, x, z), SETTING, ["r", "u"])
+    assert len(variants) == 3 and all("fold" in v.columns for v in variants)
+    best, results = selection.select_features(regressor("LASSO"), variants, SETTING)
+    assert results[best].score.mean == min(v.score.mean for v in results)
+
+
 def test_search_candidates():
     assert len(search.candidates("RF", search.GRID, 0)) == 720
     assert len(search.candidates("RF", search.RANDOM, 50)) == 50
