@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +28,7 @@ class _Target:
     below: int = 0
     inside: int = 0
     value: float | None = None
+    stalled: bool = False
 
     def condition(self) -> Column:
         c = F.col(self.column)
@@ -111,11 +112,16 @@ def _clean(df: DataFrame, name: str) -> Column:
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     sketches = []
     for i, t in enumerate(targets):
+        inside = F.when(t.condition(), F.col(t.column))
+        if t.stalled:
+            sketches.append(F.array(F.min(inside), F.max(inside)).alias(f"t{i}"))
+            continue
         share = (t.rank - t.below) / t.inside
         ends = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
-        inside = F.when(t.condition(), F.col(t.column))
         sketches.append(F.percentile_approx(inside, ends, SKETCH_ACCURACY).alias(f"t{i}"))
-    proposed = df.agg(*sketches).first()
+    row = df.agg(*sketches).first()
+    proposed = {f"t{i}": _middle(row[f"t{i}"]) if t.stalled else row[f"t{i}"] for i, t in enumerate(targets)}
+    before = [replace(t) for t in targets]
     tallies = []
     for i, t in enumerate(targets):
         c, (a, b) = F.col(t.column), proposed[f"t{i}"]
@@ -138,6 +144,17 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
         else:
             t.inside += t.below - le_b
             t.low, t.below = b, le_b
+    for t, old in zip(targets, before):
+        # a sketch works on doubles and can miss between integers beyond 53 bits: halve from then on
+        if t.value is None and t.inside >= old.inside:
+            t.low, t.high, t.below, t.inside, t.stalled = old.low, old.high, old.below, old.inside, True
+
+
+def _middle(ends: list) -> tuple:
+    """Both proposals at the middle of an interval, which halves its width."""
+    low, high = ends
+    middle = (low + high) // 2 if isinstance(low, int) else low / 2 + high / 2
+    return middle, middle
 
 
 def _gather(df: DataFrame, targets: list[_Target]) -> None:

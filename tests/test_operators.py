@@ -148,6 +148,13 @@ def test_ranks_through_a_misleading_sketch(spark, monkeypatch):
     assert order_stats.order_statistics(df, {"v": ranks}, gather_limit=3)["v"] == ranks
 
 
+def test_ranks_of_integers_beyond_double_precision(spark):
+    start = 2**61 + 1
+    df = spark.range(start, start + 300).select(F.col("id").alias("v"))
+    ranks = [0, 1, 150, 299]
+    assert order_stats.order_statistics(df, {"v": ranks}, gather_limit=5)["v"] == [start + r for r in ranks]
+
+
 def test_median_of_nothing(spark):
     assert order_stats.medians(column(spark, [None, NAN]), ["v"]) == {"v": None}
     with pytest.raises(ValueError):
