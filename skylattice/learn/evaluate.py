@@ -58,11 +58,11 @@ class Prediction:
         return metrics.scores(self.table)
 
 
-def run_all(jobs: Sequence[Callable], parallelism: int) -> list:
+def run_all(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Independent fits side by side; Spark shares its executors among them."""
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
@@ -81,9 +81,8 @@ def fit_predict(regressor: Regressor, train: DataFrame, test: DataFrame, setting
     """
     if setting.preprocessing != BEST:
         return _fit_predict(regressor, train, test, setting, setting.preprocessing)
-    tried = run_all(
-        [lambda m=m: _fit_predict(regressor, train, test, setting, m) for m in impute.METHODS], setting.parallelism
-    )
+    jobs = [lambda m=m: _fit_predict(regressor, train, test, setting, m) for m in impute.METHODS]
+    tried = run_all(train.sparkSession, jobs, setting.parallelism)
     ranked = [(p.scores().score, i) for i, p in enumerate(tried)]
     return tried[min(ranked)[1]]
 
@@ -119,7 +118,7 @@ def validate_folds(regressor: Regressor, folded: DataFrame, setting: Setting) ->
     def one(i: int) -> Prediction:
         return fit_predict(regressor, folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i), setting)
 
-    results = run_all([lambda i=i: one(i) for i in range(setting.cv)], setting.parallelism)
+    results = run_all(folded.sparkSession, [lambda i=i: one(i) for i in range(setting.cv)], setting.parallelism)
     predictions = union_tables([r.table for r in results]).select("fold", LABEL, PREDICTION).persist()
     try:
         found = metrics.scores_by(predictions, "fold", list(range(setting.cv)))
