@@ -60,4 +60,4 @@ def test_entry(spark):
 
     df = entry.entry(spark)
     assert df.columns == ["obj_id", "spec_id", "d2d_arcsec", "z_spec", "mag_r"] and df.count() > 0
-    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql().keys() == ORACLES.keys()
+    assert entry.queries().keys() >= QUERIES.keys() and entry.oracle_sql().keys() >= ORACLES.keys()
