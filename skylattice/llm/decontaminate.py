@@ -10,7 +10,8 @@ its own size); more slices mean more passes, so the broadcast does not grow with
 
 Defined results: a null text has no words; an item of fewer words than a window is one window, an item
 without words none; repeated rows and ids are judged row by row; an empty table gives an empty table.
-Columns other than id and text are ignored.
+Other columns of the documents pass through; names of the result that they have already are replaced. Items
+without an id are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skylattice.llm.common import small_batches
 
@@ -106,14 +108,17 @@ def _matches(ids: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     return item[starts], offset[starts], place[starts], place[last] + width[last] - place[starts]
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, keep_text: bool) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int) -> DataFrame:
+    """``docs`` with ``n_words`` and the matches so far; its columns pass through as they are."""
+    names = docs.columns
+    text_at, found_at = names.index("text"), names.index("matches")
     sent = docs.sparkSession.sparkContext.broadcast(Items(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = sent.value
         get = test.vocabulary.get
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            words = [words_of(t) for t in batch.column(text_at).to_pylist()]
             lengths = np.array([len(w) for w in words], np.int64)
             # One place between two documents holds no word, so that no match crosses it.
             first = np.cumsum(lengths + 1) - lengths - 1
@@ -122,30 +127,29 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k
                 ids[at:at + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
             item, offset, place, length = _matches(ids, test)
             row = np.searchsorted(first, place, "right") - 1
-            found: list[list] = [[] if m is None else list(m) for m in batch.column(2).to_pylist()]
+            found: list[list] = [[] if m is None else list(m) for m in batch.column(found_at).to_pylist()]
             for i, r, o, p, n in zip(item.tolist(), row.tolist(), offset.tolist(), place.tolist(), length.tolist()):
                 found[r].append({"item": test.names[i], "item_start": o, "start": p - int(first[r]), "length": n})
-            columns = [batch.column(0), pa.array(lengths), pa.array(found, batch.schema.field(2).type)]
-            if keep_text:
-                columns.insert(1, batch.column(1))
-            yield pa.RecordBatch.from_arrays(columns, ["id", *["text"] * keep_text, "n_words", "matches"])
+            columns = dict(zip(names, batch.columns)) | {
+                "n_words": pa.array(lengths), "matches": pa.array(found, batch.schema.field(found_at).type)}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], schema.names)
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, {'text binary, ' * keep_text}n_words long, matches {_MATCHES}"
-    return docs.select("id", "text", "matches").mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields, *([] if "n_words" in names else [StructField("n_words", LongType())])])
+    return docs.mapInArrow(run, schema)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id, n_words, matches`` per row of ``docs (id, text)`` against ``items (item_id, text)``."""
+    """``docs`` with ``n_words`` and ``matches`` against ``items (item_id, text)``; other columns pass through."""
     small_batches(docs.sparkSession)
     parts = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where(
-        "text IS NOT NULL")
+        "item IS NOT NULL AND text IS NOT NULL")
     size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-size // SLICE_BYTES))
-    out = docs.select("id", F.col("text").cast("binary").alias("text"), F.lit(None).cast(_MATCHES).alias("matches"))
+    out = docs.drop("n_words").withColumns({"text": F.col("text").cast("binary"), "matches": F.lit(None).cast(_MATCHES)})
     for k in range(slices):
         part = parts.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k)
-        out = _pass(out, [(r.item, bytes(r.text)) for r in part.collect()], window, k + 1 < slices)
-    return out
+        out = _pass(out, [(r.item, bytes(r.text)) for r in part.collect()], window)
+    return out.withColumn("text", F.col("text").cast("string"))
 
 
 def covered(found: Column | str = "matches") -> Column:
@@ -158,8 +162,8 @@ def covered(found: Column | str = "matches") -> Column:
 
 
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id, n_words, n_hit, items, contaminated, matches`` per row of ``docs``."""
-    return matches(docs, items, window).select(
-        "id", "n_words", covered().alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("items"), "matches").withColumn(
+    """``docs`` with ``n_words, matches, n_hit, items, contaminated``; ``items`` are the ids of the items found."""
+    return matches(docs, items, window).withColumns({
+        "n_hit": covered(),
+        "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))}).withColumn(
         "contaminated", F.col("n_hit") > 0)
