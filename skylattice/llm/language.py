@@ -82,9 +82,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if x.size else x
 
 
-def learn(rows: Sparse, labels: np.ndarray, languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 2.0,
+def learn(rows: Sparse, labels: np.ndarray, languages: list[str], updates: int = 400, batch: int = 64, rate: float = 2.0,
           seed: int = 5) -> Model:
     """Plain stochastic gradient descent on both layers, with a rate that falls to nought."""
+    epochs = -(-updates * batch // max(1, len(rows)))
     rng = np.random.default_rng(seed)
     model = Model(languages, rng.normal(0, 0.3, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(languages))), np.zeros(len(languages)))
     steps, done = max(1, epochs * -(-len(rows) // batch)), 0

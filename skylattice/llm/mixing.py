@@ -55,7 +55,10 @@ def topic() -> Column:
 
 
 def classed(docs: DataFrame, targets: Targets) -> DataFrame:
-    """``docs`` with ``n_tokens`` and the class of each margin as ``class_source, class_lang, class_topic``."""
+    """``docs`` with ``n_tokens`` and the class of each margin as ``class_source, class_lang, class_topic``.
+
+    Columns of these names that ``docs`` has already are replaced.
+    """
     wide = docs.withColumn("n_tokens", tokens()).withColumn("class_topic", topic())
     for m in MARGINS:
         value = F.col("class_topic" if m == "topic" else m)
@@ -110,7 +113,7 @@ def draw(key: str) -> Column:
 def mixed(docs: DataFrame, targets: Targets = Targets(), key: str = "doc_id") -> DataFrame:
     """``docs`` with ``n_tokens``, the classes, ``probability`` and ``taken``."""
     spark, names = docs.sparkSession, [f"class_{m}" for m in MARGINS]
-    wide = classed(docs, targets)
+    wide = classed(docs.drop("probability", "taken"), targets)
     # As many rows as there are combinations of named classes, at most.
     cells = wide.groupBy(*names).agg(F.sum("n_tokens").alias("n")).toPandas().sort_values(names)
     observed = cells["n"].to_numpy(float)

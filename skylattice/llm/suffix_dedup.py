@@ -105,16 +105,19 @@ def repeat_groups(contexts: list[tuple[bytes, bytes]], length: int = LENGTH, gra
     order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
     right = [common_prefix(contexts[i][1], contexts[j][1]) for i, j in zip(order, order[1:])]
     for first, last, ahead in intervals(right, gram):
-        members = order[first:last + 1]
-        if len(members) == 2:
+        if last - first == 1:
+            members = order[first:last + 1]
             behind = common_prefix(contexts[members[0]][0], contexts[members[1]][0])
             if ahead + behind >= length:
                 yield members, behind, ahead
             continue
-        members.sort(key=lambda i: contexts[i][0])
-        left = [common_prefix(contexts[i][0], contexts[j][0]) for i, j in zip(members, members[1:])]
+        ranked = sorted(range(first, last + 1), key=lambda k: contexts[order[k]][0])
+        left = [common_prefix(contexts[order[i]][0], contexts[order[j]][0]) for i, j in zip(ranked, ranked[1:])]
         for a, b, behind in intervals(left, max(0, length - ahead)):
-            yield members[a:b + 1], behind, ahead
+            low, high = min(ranked[a:b + 1]), max(ranked[a:b + 1])
+            # Members of one child go on together to the right, and belong to its groups.
+            if min(right[low:high]) == ahead:
+                yield [order[k] for k in ranked[a:b + 1]], behind, ahead
 
 
 def _groups(seen: dict[tuple[bytes, bytes], list[tuple]], length: int, gram: int) -> Iterator[tuple[list[tuple], int, int]]:
@@ -151,7 +154,7 @@ def _contexts(docs: DataFrame, length: int, gram: int, copies: DataFrame | None)
                     pa.array(np.concatenate(keys)), pa.array(np.concatenate(many)), batch.column(0).take(rows),
                     batch.column(1).take(rows)], ["key", "many", "id", "digest"])
 
-    found = docs.mapInArrow(hashes, f"key long, many boolean, id {number}, digest long")
+    found = docs.select("id", "digest", "text").mapInArrow(hashes, f"key long, many boolean, id {number}, digest long")
     # One exchange serves the count and the join with it; a hot key streams through its task.
     spread = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     again = spread.groupBy("key").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("key")

@@ -50,9 +50,10 @@ def with_revisits(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = rows.withColumn("length", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     kinds = rows.where(F.col("length") >= least).select("id", F.unhex("digest").alias("sha"))
     first = kinds.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    later = kinds.join(first, "sha").where("id != first").select("id", "sha", F.col("first").alias("refers_to")).distinct()
-    return rows.join(later, (rows["id"] == later["id"]) & (F.unhex(rows["digest"]) == later["sha"]), "left").select(
-        rows["id"], "uri", "payload", "digest", "length", "refers_to")
+    later = kinds.join(first, "sha").where("id != first").select(
+        F.col("id").alias("later"), F.col("sha").alias("later_sha"), F.col("first").alias("refers_to")).distinct()
+    return rows.join(later, (F.col("id") == F.col("later")) & (F.unhex("digest") == F.col("later_sha")), "left").select(
+        "id", "uri", "payload", "digest", "length", "refers_to")
 
 
 def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "none",
