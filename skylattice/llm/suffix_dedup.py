@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skylattice.llm.common import small_batches
 from skylattice.llm.text import mix
@@ -132,14 +132,13 @@ def _groups(seen: dict[tuple[bytes, bytes], list[tuple]], length: int, gram: int
 
 
 def _contexts(docs: DataFrame, length: int, gram: int, copies: DataFrame | None) -> DataFrame:
-    """Contexts of the anchors that occur more than once: ``key, id, digest, start, back, ahead``.
+    """Contexts of the anchors that occur more than once: ``key, id, digest, start, back, ahead, run``.
 
     Rows of ``copies (id, digest)`` send none.
 
     A context that a document has before is no context but a repeat at once: ``back`` is null, and it
-    starts at ``start`` and runs for as many bytes as ``ahead`` has.
+    starts at ``start`` and runs for ``run`` bytes.
     """
-    spark = docs.sparkSession
     number = docs.schema["id"].dataType.simpleString()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,39 +154,47 @@ def _contexts(docs: DataFrame, length: int, gram: int, copies: DataFrame | None)
                     batch.column(1).take(rows)], ["key", "many", "id", "digest"])
 
     found = docs.select("id", "digest", "text").mapInArrow(hashes, f"key long, many boolean, id {number}, digest long")
-    # One exchange serves the count and the join with it; a hot key streams through its task.
-    spread = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    again = spread.groupBy("key").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("key")
-    wanted = spread.join(again, "key").groupBy("id", "digest").agg(F.collect_list("key").alias("keys"))
+    # One exchange: the rows of a hot key stream through its task, sorted and spilled. Copies of one text
+    # alone make no anchor repeat.
+    same = Window.partitionBy("key")
+    again = (F.min("digest").over(same) != F.max("digest").over(same)) | F.max("many").over(same)
+    wanted = found.withColumn("again", again).where("again").groupBy("id", "digest").agg(F.collect_list("key").alias("keys"))
     if copies is not None:
         wanted = wanted.join(copies, ["id", "digest"], "left_anti")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             rows = []
             for i, (text, keys) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 key, start, left, right = anchors(text, length, gram)
                 mine = np.flatnonzero(np.isin(key, keys.values.to_numpy()))
                 before: set[bytes] = set()
+                spans: list[tuple[int, int]] = []
                 for k, s, l, r in zip(key[mine].tolist(), start[mine].tolist(), left[mine].tolist(), right[mine].tolist()):
                     whole = text[s - l:s + r]
-                    if whole in before:
-                        row = (k, s - l, None, whole)
-                    else:
+                    if whole not in before:
                         before.add(whole)
-                        row = (k, s, whole[:l][::-1], whole[l:])
-                    for column, value in zip(out, row):
+                        for column, value in zip(out, (k, s, whole[:l][::-1], whole[l:], None)):
+                            column.append(value)
+                        rows.append(i)
+                    elif spans and s - l <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], s + r))
+                    else:
+                        spans.append((s - l, s + r))
+                # Runs of them are joined; they only pass through the next step, under any key.
+                for first, last in spans:
+                    for column, value in zip(out, (hash((batch.column(1)[i].as_py(), first)), first, None, None, last - first)):
                         column.append(value)
                     rows.append(i)
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array(out[0], pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows),
-                pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
-                ["key", "id", "digest", "start", "back", "ahead"])
+                pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())],
+                ["key", "id", "digest", "start", "back", "ahead", "run"])
 
     return docs.join(wanted, ["id", "digest"]).select("id", "digest", "text", "keys").mapInArrow(
-        contexts, f"key long, id {number}, digest long, start long, back binary, ahead binary")
+        contexts, f"key long, id {number}, digest long, start long, back binary, ahead binary, run long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, all_occurrences: bool = True,
@@ -195,8 +202,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, all_occurre
     """Occurrences of repeats in ``docs (id, digest, text)``: ``group, id, digest, start, length, first``.
 
     Groups are maximal within the reach of their anchor: a longer repeat shows as overlapping groups, one
-    for each of its anchors. Without ``all_occurrences`` each group's first one is left out. Rows that
-    ``copies (id, digest)`` names are not searched.
+    for each of its anchors. Without ``all_occurrences`` each group's first one is left out. Texts are to be
+    distinct, or all but one of each named in ``copies (id, digest)``, which are not searched.
     """
     small_batches(docs.sparkSession)
     number = docs.schema["id"].dataType.simpleString()
@@ -225,12 +232,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, all_occurre
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(1).type
-            for key, i, d, s, back, ahead in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, d, s, back, ahead, run_ in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != now:
                     close()
                     now, group = key, 0
                 if back is None:
-                    out.append((None, i, d, s, len(ahead), False))
+                    out.append((None, i, d, s, run_, False))
                     continue
                 # The same place of a repeated row comes once.
                 if (key, i, d, s) == before:
