@@ -102,14 +102,14 @@ def test_pigeonhole_finds_every_signature_within_reach():
 
 def lines_by_hand(rows):
     unspaced = "⺀-鿿぀-ヿ฀-໿က-႟ក-៿"
-    starts = re.compile(rf"(?s)(?:(?<!\S)(?=\S)|(?=[{unspaced}]))(?=(.{{1,16}}))")
+    starts = re.compile(rf"(?s)(?:(?<!\S)(?=\S)|(?=[{unspaced}]))(?=(.{{16}}))")
     place = {}
     for i, t in rows:
         for k, line in enumerate(t.split("\n") if t is not None else []):
             if line.strip():
                 place.setdefault(line, []).append((i, k))
     kinds = sorted(place)
-    sets = [set(starts.findall(x)) for x in kinds]
+    sets = [{*starts.findall(x), x[-16:]} for x in kinds]
     links = [(a, b) for a in range(len(kinds)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = roots(range(len(kinds)), links)
     first = {}
@@ -128,6 +128,20 @@ def test_lines(spark, docs):
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc, r.first_line)) for r in found)
 
 
+def test_lines_whose_hub_does_not_reach_all(spark):
+    """Many variants of one line, some of them far from the middle: links beside the star are found."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        variant = list(words)
+        for k in rng.sample(range(40), rng.choice([1, 2, 3, 5, 8])):
+            variant[k] = f"other{rng.randrange(3)}"
+        rows.append((i, " ".join(variant)))
+    found = line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in found} == lines_by_hand(rows)
+
+
 def test_kept_lines(spark):
     rows = spark.createDataFrame([(1, "a first line of it\n\nunique", "p"), (2, "a first line of it\nmore here", "q"), (3, None, "r"), (None, "a first line of it", "s")],
                                  "doc_id long, text string, source string")
