@@ -19,6 +19,7 @@ HEADLINE = (
     "hist1d_density", "hist2d_colours", "corr_matrix", "sigma_eta", "weights_band", "weights_mean",
     "colours", "impute_median", "folds_shuffled_exact", "shuffle_column", "arcsinh_stretch",
     "predict_rf", "predict_lasso", "predict_krr", "validate_lasso",
+    "closed_importance", "closed_elimination", "closed_morphology_gain", "closed_best_imputation", "closed_search_krr",
 )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.fixtures import BANDS, ctes, view
+from checks.fixtures import BANDS, ctes, read, view
 from skylattice.config import SurveyConfig
-from skylattice.operators import crossmatch, cuts, dedup, histogram, order_stats, project, statistics
+from skylattice.operators import crossmatch, cuts, dedup, histogram, order_stats, pixels, project, statistics
 from skylattice.plans import catalogues, surveys
 from skylattice.session import staged
 from skylattice.sources import tables
@@ -270,10 +270,23 @@ def tile_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def lookups(spark: SparkSession, sf: str) -> DataFrame:
     """u survey with sentinels as NULL and the error cut."""
-    u = project.external_sentinels(view(spark, sf, "u_survey"), ["ra", "dec", "mag_u", "mag_r_u", "magerr_u"])
+    u = project.external_sentinels(view(spark, sf, "u_all"), ["ra", "dec", "mag_u", "mag_r_u", "magerr_u"])
     return cuts.errors_below(u, ["magerr_u"])
 
 
+IMAGE_SQL = "list_transform(e.embedding, lambda x: round(CAST(x AS DOUBLE),6))"
+
+
+def tile_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Cut-outs of the objects that have one, from the band tables through cuts and merge."""
+    cut_out = read(spark, sf, "embeddings").select(F.col("vec_id").alias("ide"), pixels.as_image(F.col("embedding"), 8).alias("VIGNET"))
+    tables_ = {b: t.join(cut_out, "ide", "left") for b, t in bands(spark, sf).items()}
+    merged = catalogues.merge_tiles(catalogues.unmatched_tiles(tables_, CAPPED, images=["VIGNET"]), CAPPED)
+    def flat(c):
+        return F.transform(F.flatten(c), lambda x: F.round(x.cast("double"), 6))
+    return merged.select("tile", "ide", flat("VIGNET_R").alias("pixels_r"), flat("VIGNET_Z").alias("pixels_z"))
+
+
 QUERIES = {
     "spec_catalog": lambda s, d: lower(spectra(s, d)),
     "quality_cut": lambda s, d: lower(phot_cut(s, d)),
@@ -284,6 +297,9 @@ QUERIES = {
     "crossmatch": crossmatch_query,
     "nearest_any": lambda s, d: arcsec(crossmatch.nearest(
         view(s, d, "u_survey"), view(s, d, "deep"), 0.3, ["u_id"], "deep_id", ["g"], ("ra", "dec"), ("ra", "dec"))),
+    "nearest_crowded": lambda s, d: arcsec(crossmatch.nearest(
+        view(s, d, "u_survey_crowd"), view(s, d, "deep_crowd"), 0.3, ["u_id"], "deep_id", (), ("ra", "dec"), ("ra", "dec"))),
+    "tile_images": tile_images,
     "match_distance": match_distance,
     "distance_histogram": distance_histogram,
     "merge_distance": lambda s, d: arcsec(catalogues.merge_distances(
@@ -305,7 +321,7 @@ QUERIES = {
         matched(s, d).withColumn("MAG_AUTO_U", F.col("MAG_WIN_R")), keep=["tile", "ide"]),
     "rename_unmatched": lambda s, d: project.rename_unmatched(
         unmatched(s, d).withColumn("MAG_AUTO_U", F.col("MAG_AUTO_R")), keep=["tile", "ide"]),
-    "shear": lambda s, d: project.shear(view(s, d, "morph").select("tile", "id", "gal_g1", "gal_g2")),
+    "shear": lambda s, d: project.shear(view(s, d, "morph_all").select("tile", "id", "gal_g1", "gal_g2")),
 }
 
 ORACLES = {
@@ -346,14 +362,19 @@ ORACLES = {
     "three_survey_matched_plain": _chain(MATCHED_CTE, "matched", f'{BASE_NAMES}, m.Z_SPEC AS "Z spec"'),
     "three_survey_unmatched": _chain(UNMATCHED_CTE, "unmatched", BASE_NAMES),
     "r_vs_r": _chain(MATCHED_CTE, "matched", "ud.MAG_r AS MAG_r, m.MAG_AUTO_R AS MAG_AUTO_R"),
-    "external_sentinels": f"WITH {ctes('u_survey')} SELECT u_id, " + ", ".join(
+    "external_sentinels": f"WITH {ctes('u_all')} SELECT u_id, " + ", ".join(
         f"CASE WHEN {c} NOT IN (-99e0,99e0,0e0) THEN {c} END AS {c}" for c in ("ra", "dec", "mag_u", "mag_r_u", "magerr_u")
-    ) + " FROM u_survey WHERE magerr_u NOT IN (-99e0,99e0,0e0) AND magerr_u<5e-1",
+    ) + " FROM u_all WHERE magerr_u NOT IN (-99e0,99e0,0e0) AND magerr_u<5e-1",
     "spec_union": f"WITH {UNION_CTE} SELECT * FROM both_spec",
     "redshift_median": f"WITH {UNION_CTE} SELECT count(z_spec) AS n, median(z_spec) AS median_z FROM both_spec",
     "rename_matched": f'WITH {MATCHED_CTE} SELECT tile, ide, m.MAG_AUTO_R AS r, m.MAG_WIN_R AS u, m.MAG_AUTO_I AS i,'
                       f' m.MAG_AUTO_Z AS z, {SHAPE_NAMES}, m.Z_SPEC AS "Z spec" FROM matched m',
     "rename_unmatched": f"WITH {UNMATCHED_CTE} SELECT tile, ide, MAG_AUTO_R AS r, MAG_AUTO_R AS u, MAG_AUTO_I AS i,"
                         " MAG_AUTO_Z AS z FROM unmatched",
-    "shear": f"WITH {ctes('morph')} SELECT tile, id, abs(gal_g1+gal_g2) AS gal_g FROM morph",
+    "shear": f"WITH {ctes('morph_all')} SELECT tile, id, abs(gal_g1+gal_g2) AS gal_g FROM morph_all",
+    "nearest_crowded": f"WITH {ctes('u_survey_crowd', 'deep_crowd')}, pairs AS"
+                       f" ({_nearest('u_survey_crowd', 'deep_crowd', 'u_id', 'deep_id', 0.3)})"
+                       " SELECT u_id, deep_id, round(d2d*36e2,6) AS d2d_arcsec FROM pairs",
+    "tile_images": f"WITH {UNMATCHED_CTE}, {_merged('unmatched')} SELECT m.tile, m.ide, {IMAGE_SQL} AS pixels_r, {IMAGE_SQL} AS pixels_z"
+                   " FROM unmatched_merged m LEFT JOIN embeddings e ON e.vec_id=m.ide",
 }

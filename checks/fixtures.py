@@ -19,7 +19,8 @@ def ra(key: str) -> str:
 
 
 def dec(key: str) -> str:
-    return f"((({key})*104729)%1200000)/1e4-6e1"
+    """Every 3.6 million keys the pattern lies 3.6 arcsec further north, so positions stay distinct."""
+    return f"((({key})*104729)%1200000)/1e4-6e1+floor(({key})/3.6e6)*1e-3"
 
 
 # keys ending in 7 share the position of the key before, 0.18 arcsec further north
@@ -82,15 +83,21 @@ VIEWS = {
  CASE WHEN o_orderkey%17=0 THEN NULL ELSE 1.75e1+(o_orderkey*41%700)/1e2 END AS i,
  CASE WHEN o_orderkey%4=0 THEN -1e1 ELSE 1.8e1+(o_orderkey*61%600)/1e2 END AS z,
  1.8e1+(o_orderkey*53%600)/1e2 AS g, (o_orderkey*29%100)/1e2 AS gini,
- 5e-2+(o_orderkey*37%700)/1e3+(o_orderkey*41%700)/2e3 AS z_spec FROM {orders} WHERE o_orderkey%5=0""",
+ 5e-2+(o_orderkey*37%700)/1e3+(o_orderkey*41%700)/2e3 AS z_spec FROM {orders}""",
     "population": """SELECT o_orderkey AS obj_id, 1.8e1+(o_orderkey*37%700)/1e2 AS r,
  1.9e1+(o_orderkey*47%600)/1e2 AS u, 1.75e1+(o_orderkey*41%700)/1e2 AS i,
  1.8e1+(o_orderkey*61%600)/1e2 AS z, 1.8e1+(o_orderkey*53%600)/1e2 AS g FROM {orders}""",
     "pred": """SELECT o_orderkey AS obj_id, o_orderkey%4 AS fold, (o_orderkey*37%1500)/1e3 AS y_test,
  (o_orderkey*37%1500)/1e3+(o_orderkey*13%100-50)/1e3+CASE WHEN o_orderkey%25=0 THEN 6e-1 ELSE 0e0 END AS y_pred
- FROM {orders} WHERE o_orderkey%5=0""",
+ FROM {orders}""",
     **{f"band_{b.lower()}": _band(b) for b in BANDS},
 }
+# The gaps of these two are a feature of the cross-matches only.
+VIEWS["u_all"] = VIEWS["u_survey"].removesuffix(" WHERE o_orderkey%2=0")
+VIEWS["morph_all"] = VIEWS["morph"].removesuffix("\n FROM {orders} WHERE o_orderkey%7<>0") + "\n FROM {orders}"
+# All objects in a patch of a few square arcseconds.
+for _name, _id in (("u_survey", "u_id"), ("deep", "deep_id")):
+    VIEWS[f"{_name}_crowd"] = f"SELECT {_id}, ra/1e5 AS ra, dec/1e5 AS dec FROM ({VIEWS[_name]}) t"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,5 +1,8 @@
-"""Regressors, validation, selection and search; checked by row counts and, where SQL can
-repeat the arithmetic, by values. Budgets are small, the presets are in the registry."""
+"""Regressors, validation, selection and search with all bands, features and four folds.
+
+Cases that SQL can repeat are in ``closed_forms``. The presets hold but for the boosting rounds and the
+number of search draws: thousands of rounds and hundreds of draws are hours of Spark jobs at any scale.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +15,10 @@ from skylattice.learn.evaluate import Setting, cross_validate, fit_predict, hold
 from skylattice.learn.regressors import regressor
 from skylattice.plans import training
 
-SETTING = Setting(key=("obj_id",), target="z_spec", preprocessing="mean", cv=2)
+SETTING = Setting(key=("obj_id",), target="z_spec", preprocessing="mean")
 SMALL = {
-    "RF": {"numTrees": 8, "maxDepth": 5}, "GBR": {"maxIter": 8}, "XGB": {"maxIter": 8}, "LGB": {"maxIter": 8},
-    "LASSO": {}, "ENET": {}, "KRR": {}, "SVR": {"components": 32, "maxIter": 20},
+    "RF": {}, "GBR": {"maxIter": 20}, "XGB": {"maxIter": 20}, "LGB": {"maxIter": 20},
+    "LASSO": {}, "ENET": {}, "KRR": {}, "SVR": {},
 }
 
 
@@ -53,13 +56,13 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elimination(spark: SparkSession, sf: str) -> DataFrame:
-    left, _ = selection.eliminate_features(small("LASSO"), train(spark, sf).select("obj_id", "r", "u", "gini", "z_spec"), SETTING)
+    left, _ = selection.eliminate_features(small("LASSO"), train(spark, sf), SETTING)
     return left
 
 
 def gain(spark: SparkSession, sf: str) -> DataFrame:
-    t = train(spark, sf).select("obj_id", "r", "u", "g", F.col("gini").alias("Gini index"), "z_spec")
-    rows = selection.morphology_gain(small("LASSO"), t, SETTING, bands=("r", "g", "u"), features=("Gini index",))
+    t = train(spark, sf).withColumnRenamed("gini", "Gini index")
+    rows = selection.morphology_gain(small("LASSO"), t, SETTING, features=("Gini index",))
     return selection.report_table(
         spark, rows, "bands string, `score diff.` string, `score w. morph` string, `score w.o. morph` string, score double")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import catalogue, learning, tables
+from checks import catalogue, closed_forms, learning, sources, tables
 
-PARTS = (catalogue, tables, learning)
+PARTS = (catalogue, tables, sources, learning, closed_forms)
 
 
 def queries() -> dict:

@@ -151,36 +151,28 @@ ORDER = ("i", "g", "r", "z", "u")
 
 
 def colour_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Every colour table of three bands, stacked: order number, colour name, mean colour."""
-    bands = ("r", "u", "i")
-    base = train(spark, sf).select("obj_id", *bands, "z_spec")
-    stacked = None
-    for number, table in enumerate(project.colour_variants(base, bands)):
-        names = [c for c in table.columns if "-" in c]
-        for n in names:
-            part = table.agg(F.round(F.avg(f"`{n}`"), 8).alias("mean_colour"), F.count(F.lit(1)).alias("n")).select(
-                F.lit(number).alias("variant"), F.lit(n).alias("colour"), "mean_colour", "n"
-            )
-            stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+    """Every colour of every order of the bands: order number, colour name, mean colour, from one pass."""
+    base = train(spark, sf).select("obj_id", *BANDS, "z_spec")
+    names = [[c for c in t.columns if "-" in c] for t in project.colour_variants(base, BANDS)]
+    pairs = sorted({n for found in names for n in found})
+    row = base.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(a) - F.col(b)), 8).alias(f"{a}-{b}") for a, b in (n.split("-") for n in pairs)])
+    cells = [F.struct(F.lit(k).alias("variant"), F.lit(n).alias("colour"), F.col(f"`{n}`").alias("mean_colour"))
+             for k, found in enumerate(names) for n in found]
+    return row.select(F.inline(F.array(*cells)), "n")
 
 
 def _colour_orders_sql() -> str:
     from itertools import permutations
-    parts = []
-    for number, p in enumerate(permutations(("r", "u", "i")), 1):
-        for a, b in zip(p, p[1:]):
-            parts.append(f"SELECT {number} AS variant, '{a}-{b}' AS colour, round(avg({a}-{b}),8) AS mean_colour,"
-                         " count(*) AS n FROM train")
-    return f"WITH {ctes('train')} " + " UNION ALL ".join(parts)
+    pairs = ", ".join(f"round(avg({a}-{b}),8) AS \"{a}-{b}\"" for a in BANDS for b in BANDS if a != b)
+    rows = ", ".join(f"({number}, '{a}-{b}')" for number, p in enumerate(permutations(BANDS), 1) for a, b in zip(p, p[1:]))
+    return (f"WITH {ctes('train')}, m AS (SELECT count(*) AS n, {pairs} FROM train), c AS (UNPIVOT m ON COLUMNS(* EXCLUDE n) INTO NAME colour VALUE mean_colour)"
+            f" SELECT CAST(v.variant AS INTEGER) AS variant, v.colour, mean_colour, n FROM (VALUES {rows}) v(variant, colour) JOIN c USING (colour)")
 
 
 def letters(spark: SparkSession, sf: str) -> DataFrame:
-    """Letters that differ between customers' market segments and order priorities' texts."""
-    c = read(spark, sf, "customer").select(F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")).alias("a")).distinct()
-    o = read(spark, sf, "orders").select(F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")).alias("b")).distinct()
-    pairs = c.join(o, F.length("a") >= F.length("b"))
-    return pairs.select("a", "b", F.array_join(uncommon_letters(F.col("a"), F.col("b")), "").alias("letters"))
+    """Letters that differ between a part's name and its type, row by row."""
+    p = read(spark, sf, "part").select("p_partkey", *[F.lower(F.regexp_replace(c, "[^A-Za-z]", "")).alias(n) for c, n in (("p_name", "a"), ("p_type", "b"))])
+    return p.select("p_partkey", F.array_join(uncommon_letters(F.col("a"), F.col("b")), "").alias("letters"))
 
 
 def subset_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,11 +367,11 @@ ORACLES = {
     "colours": f"WITH {ctes('train')} SELECT obj_id, r, " + ", ".join(
         f'round({a}-{b},8) AS "{a}-{b}"' for a, b in zip(ORDER, ORDER[1:])) + ", gini, z_spec FROM train",
     "colour_orders": _colour_orders_sql(),
-    "uncommon_letters": "WITH c AS (SELECT DISTINCT lower(regexp_replace(c_mktsegment,'[^A-Za-z]','','g')) AS a FROM customer),"
-                        " o AS (SELECT DISTINCT lower(regexp_replace(o_orderpriority,'[^A-Za-z]','','g')) AS b FROM orders),"
+    "uncommon_letters": "WITH p AS (SELECT p_partkey, lower(regexp_replace(p_name,'[^A-Za-z]','','g')) AS a,"
+                        " lower(regexp_replace(p_type,'[^A-Za-z]','','g')) AS b FROM part),"
                         " al AS (SELECT chr(CAST(97+x AS INTEGER)) AS l FROM range(26) t(x))"
-                        " SELECT a, b, coalesce(string_agg(l, '' ORDER BY l) FILTER (WHERE contains(a,l)<>contains(b,l)),'') AS letters"
-                        " FROM c, o, al WHERE length(a)>=length(b) GROUP BY a, b",
+                        " SELECT p_partkey, coalesce(string_agg(l, '' ORDER BY l) FILTER (WHERE contains(a,l)<>contains(b,l)),'') AS letters"
+                        " FROM p, al GROUP BY p_partkey",
     "band_subsets": _subset_sql(),
     "training_sentinels": f"WITH {CLEAN_CTE} SELECT * FROM trainc",
     "drop_sparse_columns": f"WITH {CLEAN_CTE} SELECT obj_id, r, u, i, g, gini, z_spec FROM trainc",

@@ -14,7 +14,7 @@ from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import LABEL, PREDICTION, Fitted, Regressor
 from skylattice.operators import folds, impute, metrics
 from skylattice.operators.metrics import Scores, Summary
-from skylattice.session import staged
+from skylattice.session import staging
 from skylattice.sources.tables import union_tables
 
 BEST = "BEST"
@@ -31,6 +31,12 @@ class Setting:
     cv: int = 4
     seed: int = 0
     parallelism: int = 4
+    #: Which score chooses: ``score``, ``total``, ``sigma`` or ``eta``.
+    score: str = "score"
+    #: A metric of one's own, of a table with ``y_test`` and ``y_pred``; lower is better. It replaces ``score``.
+    metric: Callable[[DataFrame], float] | None = None
+    #: Whether the hold-out split keeps a validation part back too.
+    validation: bool = False
 
     @property
     def bookkeeping(self) -> tuple[str, ...]:
@@ -39,13 +45,14 @@ class Setting:
 
 @dataclass(frozen=True)
 class Validation:
-    """Cross-validated scores: mean and error over the folds."""
+    """Cross-validated scores: mean and error over the folds; ``chosen`` is the one that steers a choice."""
 
     sigma: Summary
     eta: Summary
     score: Summary
     total: Summary
     preprocessing: str | float | None
+    chosen: Summary
 
 
 @dataclass(frozen=True)
@@ -69,35 +76,78 @@ def run_all(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) ->
 
 def holdout_parts(df: DataFrame, setting: Setting, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Train and test rows of the fixed hold-out split."""
-    parts = folds.holdout(df, setting.key, share, setting.seed)
+    parts = folds.holdout(df, setting.key, share, setting.seed, setting.validation)
     return (parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part"))
 
 
+def validation_part(df: DataFrame, setting: Setting, share: float = 0.2) -> DataFrame:
+    """The rows that neither fit nor test, of a setting with a validation part."""
+    if not setting.validation:
+        raise ValueError("the setting keeps no validation part")
+    return folds.holdout(df, setting.key, share, setting.seed, True).filter("part = 'validation'").drop("part")
+
+
+@dataclass(frozen=True)
+class Part:
+    """One fit: preprocessed train and test rows of a fold."""
+
+    fold: int
+    method: str | float | None
+    train: DataFrame
+    test: DataFrame
+
+
 def fit_predict(regressor: Regressor, train: DataFrame, test: DataFrame, setting: Setting) -> Prediction:
     """Preprocess both parts, fit on the train part, predict the test part.
 
     The prediction table holds the key, ``y_test`` and ``y_pred``. With ``BEST`` each way of
     treating gaps starts from the same parts, and the one with the lowest score is taken.
     """
-    if setting.preprocessing != BEST:
-        return _fit_predict(regressor, train, test, setting, setting.preprocessing)
-    jobs = [lambda m=m: _fit_predict(regressor, train, test, setting, m) for m in impute.METHODS]
+    jobs = [lambda m=m: _fit(regressor, _part(0, train, test, setting, m), setting) for m in methods_of(setting)]
     tried = run_all(train.sparkSession, jobs, setting.parallelism)
-    ranked = [(p.scores().score, i) for i, p in enumerate(tried)]
-    return tried[min(ranked)[1]]
+    if len(tried) == 1:
+        return tried[0]
+    return tried[_best_of(tried, setting)]
 
 
-def _fit_predict(regressor, train, test, setting, method) -> Prediction:
-    train, test, _ = impute.preprocess(
-        train, test, method, keep=setting.bookkeeping, protect=[setting.target]
-    )
-    features = feature_columns(train, setting.target, setting.bookkeeping)
-    fitted = regressor.fit(train, features, setting.target, setting.weight)
-    keep = [c for c in (*setting.key, "fold") if c in test.columns]
-    table = fitted.predict(test).select(
+def methods_of(setting: Setting) -> tuple:
+    return impute.METHODS if setting.preprocessing == BEST else (setting.preprocessing,)
+
+
+def _part(fold: int, train: DataFrame, test: DataFrame, setting: Setting, method) -> Part:
+    train, test, _ = impute.preprocess(train, test, method, keep=setting.bookkeeping, protect=[setting.target])
+    return Part(fold, method, train, test)
+
+
+def _fit(regressor: Regressor, part: Part, setting: Setting) -> Prediction:
+    features = feature_columns(part.train, setting.target, setting.bookkeeping)
+    fitted = regressor.fit(part.train, features, setting.target, setting.weight)
+    keep = [c for c in (*setting.key, "fold") if c in part.test.columns]
+    table = fitted.predict(part.test).select(
         *keep, F.col(f"`{setting.target}`").cast("double").alias(LABEL), F.col(PREDICTION).cast("double")
     )
-    return Prediction(fitted, table, method)
+    return Prediction(fitted, table, part.method)
+
+
+def _scored(tables: Sequence[DataFrame], setting: Setting) -> tuple[list[Scores], list[float]]:
+    """Scores of each prediction table, and the number that steers a choice.
+
+    The tables are computed once and scored together.
+    """
+    whole = union_tables([t.select(LABEL, PREDICTION).withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]).persist()
+    try:
+        found = metrics.scores_by(whole, "_table", list(range(len(tables))))
+        scores = [found[i] for i in range(len(tables))]
+        if setting.metric is None:
+            return scores, [getattr(s, setting.score) for s in scores]
+        return scores, [float(setting.metric(whole.filter(F.col("_table") == i).drop("_table"))) for i in range(len(tables))]
+    finally:
+        whole.unpersist()
+
+
+def _best_of(tried: Sequence[Prediction], setting: Setting) -> int:
+    _, chosen = _scored([p.table for p in tried], setting)
+    return min(range(len(tried)), key=lambda i: (chosen[i], i))
 
 
 def cross_validate(regressor: Regressor, df: DataFrame, setting: Setting) -> Validation:
@@ -106,27 +156,42 @@ def cross_validate(regressor: Regressor, df: DataFrame, setting: Setting) -> Val
     The folded table is written once and every fold reads it. All folds' predictions form one
     table, so the exact medians of all folds come from shared passes.
     """
-    return validate_folds(regressor, staged(with_folds(df, setting)), setting)
+    with staging(df.sparkSession) as stage:
+        return validate_folds(regressor, stage(with_folds(df, setting)), setting)
 
 
 def with_folds(df: DataFrame, setting: Setting) -> DataFrame:
     return folds.shuffled_folds(df, setting.key, setting.cv, setting.seed, exact=True)
 
 
+def fold_parts(folded: DataFrame, setting: Setting, stage: Callable[[DataFrame], DataFrame] | None = None) -> list[Part]:
+    """Preprocessed parts of every fold and way of treating gaps.
+
+    They do not depend on a regressor: with ``stage`` they are written once, for many fits.
+    """
+    def one(i: int, method) -> Part:
+        part = _part(i, folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i), setting, method)
+        return part if stage is None else Part(i, method, stage(part.train), stage(part.test))
+
+    jobs = [lambda i=i, m=m: one(i, m) for i in range(setting.cv) for m in methods_of(setting)]
+    return run_all(folded.sparkSession, jobs, setting.parallelism)
+
+
 def validate_folds(regressor: Regressor, folded: DataFrame, setting: Setting) -> Validation:
     """Cross-validation of a table that has its ``fold`` column."""
-    def one(i: int) -> Prediction:
-        return fit_predict(regressor, folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i), setting)
-
-    results = run_all(folded.sparkSession, [lambda i=i: one(i) for i in range(setting.cv)], setting.parallelism)
-    predictions = union_tables([r.table for r in results]).select("fold", LABEL, PREDICTION).persist()
-    try:
-        found = metrics.scores_by(predictions, "fold", list(range(setting.cv)))
-    finally:
-        predictions.unpersist()
-    per_fold = [found[i] for i in range(setting.cv)]
-    chosen = Counter(r.preprocessing for r in results).most_common(1)[0][0]
+    return validate_parts(regressor, fold_parts(folded, setting), setting)
+
+
+def validate_parts(regressor: Regressor, parts: Sequence[Part], setting: Setting) -> Validation:
+    """Cross-validation of parts that are preprocessed already; all fits share one pool."""
+    spark = parts[0].train.sparkSession
+    tried = run_all(spark, [lambda p=p: _fit(regressor, p, setting) for p in parts], setting.parallelism)
+    scores, chosen = _scored([t.table for t in tried], setting)
+    best = [
+        min((i for i, p in enumerate(parts) if p.fold == fold), key=lambda i: (chosen[i], i))
+        for fold in dict.fromkeys(p.fold for p in parts)]
+    methods = Counter(parts[i].method for i in best)
     return Validation(
-        *(metrics.summarise([getattr(s, n) for s in per_fold]) for n in ("sigma", "eta", "score", "total")),
-        preprocessing=chosen,
+        *(metrics.summarise([getattr(scores[i], n) for i in best]) for n in ("sigma", "eta", "score", "total")),
+        preprocessing=methods.most_common(1)[0][0], chosen=metrics.summarise([chosen[i] for i in best]),
     )

@@ -24,6 +24,8 @@ from skylattice.operators import scale
 from skylattice.session import checkpointing
 
 LABEL, PREDICTION, WEIGHT = "y_test", "y_pred", "_weight"
+#: Columns of a kernel's explicit map, at most: its Gram matrix, of their square, is summed in every task.
+MAX_MAP_WIDTH = 4000
 
 
 @dataclass(frozen=True)
@@ -146,6 +148,9 @@ def _kernel_ridge(table, params, weighted, inputs):
     only this matrix, whose size depends on the number of features, reaches the driver.
     """
     degree, alpha, coef0 = params["degree"], params["alpha"], params["coef0"]
+    width = math.comb(inputs + degree, degree)
+    if width > MAX_MAP_WIDTH:
+        raise ValueError(f"a kernel of degree {degree} on {inputs} features has {width} terms, above {MAX_MAP_WIDTH}")
     gamma = params.get("gamma") or 1.0 / inputs
     constant, factors = kernel_map_scales(inputs, degree, gamma, coef0)
     expansion = PolynomialExpansion(degree=degree, inputCol=FEATURES, outputCol="_poly")
@@ -166,7 +171,10 @@ def _kernel_ridge(table, params, weighted, inputs):
         yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
 
     rows = mapped.mapInPandas(partial, "i int, row array<double>")
-    summed = rows.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row"))
+    # two levels: the few keys of the last sum meet sums of whole groups of tasks
+    grouped = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("i", "_part").agg(
+        Summarizer.sum(array_to_vector("row")).alias("row"))
+    summed = grouped.groupBy("i").agg(Summarizer.sum(F.col("row")).alias("row"))
     gram = np.array([r["row"].toArray() for r in summed.orderBy("i").collect()])
     solution = np.linalg.solve(gram[:, :-1] + alpha * np.eye(len(gram)), gram[:, -1])
     offset, slopes = float(solution[0] * constant), (solution[1:] * factors).tolist()

@@ -5,19 +5,20 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame
 
-from skylattice.learn.evaluate import Prediction, Setting, fit_predict, holdout_parts, validate_folds
+from skylattice.learn.evaluate import (
+    Prediction, Setting, fit_predict, fold_parts, holdout_parts, validate_parts, with_folds)
 from skylattice.learn.regressors import Regressor, regressor
-from skylattice.operators import folds
-from skylattice.session import staged
+from skylattice.session import staging
 
 GRID, RANDOM, GUIDED = "GridSearch", "RandomSearch", "HyperOpt"
 MAX_DEPTH = 30
-MAX_DEGREE = 3
+#: Degrees of the polynomial kernel that the guided search draws from.
+DEGREES = (1, 3, 5, 7, 9)
 
 
 def _steps(low: int, high: int, count: int) -> list[int]:
@@ -27,15 +28,12 @@ def _steps(low: int, high: int, count: int) -> list[int]:
 def forest_grid(tree_counts: int = 4, depths: int = 4) -> dict[str, list]:
     """Forest grid. No depth limit becomes Spark's largest depth.
 
-    The least rows to split a node have no parameter of their own in Spark: ``n`` rows to split
-    imply leaves of at least half of that only when leaves may be that large, so the grid keeps
-    them as a lower bound on the leaf size.
+    The least rows to split a node have no counterpart in Spark and are not in the grid.
     """
     return {
         "numTrees": _steps(10, 500, tree_counts),
         "featureSubsetStrategy": ["all", "sqrt"],
         "maxDepth": _steps(5, 20, depths) + [MAX_DEPTH],
-        "minSplitRows": [2, 5, 10],
         "minInstancesPerNode": [1, 2, 4],
         "bootstrap": [True, False],
     }
@@ -48,8 +46,6 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
 def forest_params(point: dict) -> dict:
     """Spark parameters of a grid point."""
     params = dict(point)
-    split = params.pop("minSplitRows", 2)
-    params["minInstancesPerNode"] = max(params.get("minInstancesPerNode", 1), split // 2)
     if params.get("bootstrap") is False and params.get("featureSubsetStrategy") == "all":
         # such trees are all alike: one tree is the whole forest
         params["numTrees"] = 1
@@ -63,10 +59,10 @@ def random_points(grid: dict[str, list], count: int, seed: int = 0) -> list[dict
 
 
 def _forest_draw(rng: random.Random) -> dict:
-    return forest_params({
+    return {
         "numTrees": int(rng.uniform(10, 500)), "maxDepth": int(rng.uniform(5, 20)),
-        "minInstancesPerNode": int(rng.uniform(1, 5)), "minSplitRows": int(rng.uniform(2, 6)),
-    })
+        "minInstancesPerNode": int(rng.uniform(1, 5)),
+    }
 
 
 def _boosting_draw(rng: random.Random) -> dict:
@@ -78,9 +74,7 @@ def _fourier_draw(rng: random.Random) -> dict:
 
 
 def _kernel_draw(rng: random.Random) -> dict:
-    # the explicit map of higher degrees is too wide
-    degree = min(rng.choice([1, 3, 5, 7, 9]), MAX_DEGREE)
-    return {"alpha": math.exp(rng.gauss(0, 1)), "gamma": rng.uniform(0.001, 10000), "degree": degree, "coef0": 1.0}
+    return {"alpha": math.exp(rng.gauss(0, 1)), "gamma": rng.uniform(0.001, 10000), "degree": rng.choice(DEGREES), "coef0": 1.0}
 
 
 # Ranges of the guided search.
@@ -103,17 +97,26 @@ class Search:
 
 
 def candidates(name: str, method: str, max_evals: int, seed: int = 2) -> list[dict]:
-    """Parameter sets to try."""
+    """Distinct parameter sets to try. Only the forest has a grid; the others are searched by guided draws."""
     if name not in DRAWS:
         raise ValueError(f"{name!r} has no search, choose one of {sorted(DRAWS)}")
-    if method == GUIDED or name != "RF":
+    if method not in (GRID, RANDOM, GUIDED):
+        raise ValueError(f"method must be {GRID}, {RANDOM} or {GUIDED}, got {method!r}")
+    if method == GUIDED:
         rng = random.Random(seed)
-        return [DRAWS[name](rng) for _ in range(max_evals)]
-    if method == GRID:
-        return [forest_params(p) for p in grid_points(forest_grid())]
-    if method == RANDOM:
-        return [forest_params(p) for p in random_points(forest_grid(10, 10), max_evals, seed=0)]
-    raise ValueError(f"method must be {GRID}, {RANDOM} or {GUIDED}, got {method!r}")
+        found = [DRAWS[name](rng) for _ in range(max_evals)]
+    elif name != "RF":
+        raise ValueError(f"{name} has no grid, search it by {GUIDED}")
+    elif method == GRID:
+        found = [forest_params(p) for p in grid_points(forest_grid())]
+    else:
+        found = [forest_params(p) for p in random_points(forest_grid(10, 10), max_evals, seed=0)]
+    return distinct(found)
+
+
+def distinct(points: Iterable[dict]) -> list[dict]:
+    """Each parameter set once, in order: equal fits are not repeated."""
+    return list({tuple(sorted(p.items())): p for p in points}.values())
 
 
 def optimise(
@@ -122,20 +125,16 @@ def optimise(
 ) -> Search:
     """Search on the train part, refit the best on it, predict the test part.
 
-    Each candidate is scored by the mean over unshuffled folds of the train part, which is written
-    once. ``points`` replaces the candidates of ``method``.
+    Each candidate is scored by the mean over folds of the train part, scattered by the key. The folds are
+    preprocessed and written once, for all candidates. ``points`` replaces the candidates of ``method``.
     """
+    tried = distinct(points) if points is not None else candidates(name, method, max_evals)
     train, test = holdout_parts(df, setting)
-    order = setting.key[0]
-    if len(setting.key) > 1 or dict(df.dtypes)[order] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
-        folded = folds.shuffled_folds(train, setting.key, setting.cv, setting.seed, exact=True)
-    else:
-        folded = folds.contiguous_folds(train, order, setting.cv)
-    folded = staged(folded)
     base = regressor(name)
     trials = []
-    for params in points if points is not None else candidates(name, method, max_evals):
-        found = validate_folds(base.with_params(**params), folded, setting)
-        trials.append(Trial(params, found.score.mean))
+    with staging(df.sparkSession) as stage:
+        parts = fold_parts(stage(with_folds(train, setting)), setting, stage)
+        for params in tried:
+            trials.append(Trial(params, validate_parts(base.with_params(**params), parts, setting).chosen.mean))
     best = base.with_params(**min(trials, key=lambda t: t.score).params)
-    return Search(best, trials, fit_predict(best, folded.drop("fold"), test, replace(setting)))
+    return Search(best, trials, fit_predict(best, train, test, setting))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from skylattice.functions.names import band_subsets
 from skylattice.learn.evaluate import Setting, Validation, cross_validate, validate_folds, with_folds
 from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import Regressor
 from skylattice.operators import folds
-from skylattice.session import staged
+from skylattice.session import staging
 
 # What the morphology study adds and removes.
 MORPHOLOGY_FEATURES = ("Elongation", "Rho4", "Galaxy size", "Gini index")
@@ -24,39 +24,64 @@ def report(value: float, error: float) -> str:
     return f"{value:.3f}+-{abs(error):.3f}"
 
 
-def permutation_importance(regressor: Regressor, df: DataFrame, setting: Setting) -> list[dict]:
-    """Score with one feature shuffled minus the score as it is, per feature.
+def _with_shuffled(df: DataFrame, setting: Setting) -> tuple[DataFrame, list[str]]:
+    """Folded table with a permuted copy ``_moved<i>`` of each feature, in one pass."""
+    folded = with_folds(df, setting)
+    names = feature_columns(folded, setting.target, setting.bookkeeping)
+    return folds.shuffle_columns(
+        folded, setting.key, names, [f"_moved{i}" for i in range(len(names))], seed=setting.seed + 1), names
 
-    Ascending by how much the feature helps: ``score`` is base minus shuffled score, so the first
-    feature is the most useful one.
-    """
-    folded = staged(with_folds(df, setting))
-    rows = folded.count()
-    base = validate_folds(regressor, folded, setting).score
-    found = []
-    for name in feature_columns(folded, setting.target, setting.bookkeeping):
-        shuffled = staged(folds.shuffle_column(folded, setting.key, name, seed=setting.seed + 1, rows=rows))
-        score = validate_folds(regressor, shuffled, setting).score
+
+def _ranked(regressor: Regressor, wide: DataFrame, names: Sequence[str], left: Sequence[str], setting: Setting) -> tuple[Validation, list[dict]]:
+    """Validation on the features ``left``, and what each of them gives; all are projections of ``wide``."""
+    others = [c for c in wide.columns if c not in names and not c.startswith("_moved")]
+
+    def view(shuffled: str | None) -> DataFrame:
+        features = [F.col(f"_moved{names.index(c)}").alias(c) if c == shuffled else F.col(f"`{c}`") for c in left]
+        return wide.select(*[F.col(f"`{c}`") for c in others], *features)
+
+    whole = validate_folds(regressor, view(None), setting)
+    base, found = whole.chosen, []
+    for name in left:
+        score = validate_folds(regressor, view(name), setting).chosen
         found.append({
             "Feature": name, "score": base.mean - score.mean,
             "Weight": f"{score.mean - base.mean:.3f}+-{abs(base.error + score.error):.3f}",
         })
-    return sorted(found, key=lambda f: f["score"])
+    return whole, sorted(found, key=lambda f: f["score"])
+
+
+def permutation_importance(regressor: Regressor, df: DataFrame, setting: Setting) -> list[dict]:
+    """Score with one feature shuffled minus the score as it is, per feature.
+
+    Ascending by how much the feature helps: ``score`` is base minus shuffled score, so the first
+    feature is the most useful one. One table is written, with every feature and its permuted copy.
+    """
+    with staging(df.sparkSession) as stage:
+        wide, names = _with_shuffled(df, setting)
+        return _ranked(regressor, stage(wide), names, names, setting)[1]
 
 
 def eliminate_features(regressor: Regressor, df: DataFrame, setting: Setting) -> tuple[DataFrame, list[str]]:
-    """Drop the least useful feature as long as the score improves; the table and what went."""
-    best = cross_validate(regressor, df, setting).score.mean
+    """Drop the least useful feature as long as the score improves; the table and what went.
+
+    Folds and permuted copies are written once; each round reads its own columns.
+    """
     dropped: list[str] = []
-    while len(feature_columns(df, setting.target, setting.bookkeeping)) > 1:
-        weakest = permutation_importance(regressor, df, setting)[-1]["Feature"]
-        without = df.drop(weakest)
-        score = cross_validate(regressor, without, setting).score.mean
-        if score >= best:
-            break
-        df, best = without, score
-        dropped.append(weakest)
-    return df, dropped
+    with staging(df.sparkSession) as stage:
+        wide, names = _with_shuffled(df, setting)
+        wide, left, best = stage(wide), list(names), None
+        while left:
+            whole, ranked = _ranked(regressor, wide, names, left, setting)
+            if best is not None and whole.chosen.mean >= best:
+                left.append(dropped.pop())
+                break
+            best = whole.chosen.mean
+            if len(left) == 1:
+                break
+            dropped.append(ranked[-1]["Feature"])
+            left.remove(dropped[-1])
+    return df.drop(*dropped), dropped
 
 
 def morphology_gain(
@@ -67,19 +92,20 @@ def morphology_gain(
 
     One folded table serves all runs; each reads its own columns.
     """
-    folded = staged(with_folds(df.drop(MORPHOLOGY_EXCLUDED), setting))
     found = []
-    for left_out in band_subsets(bands):
-        with_shapes = folded.drop(*left_out)
-        a = validate_folds(regressor, with_shapes, setting).score
-        b = validate_folds(regressor, with_shapes.drop(*features), setting).score
-        found.append({
-            "bands": "".join(sorted(set(bands) - set(left_out))),
-            "score diff.": report(a.mean - b.mean, a.error + b.error),
-            "score w. morph": report(a.mean, a.error),
-            "score w.o. morph": report(b.mean, b.error),
-            "score": a.mean - b.mean,
-        })
+    with staging(df.sparkSession) as stage:
+        folded = stage(with_folds(df.drop(MORPHOLOGY_EXCLUDED), setting))
+        for left_out in band_subsets(bands):
+            with_shapes = folded.drop(*left_out)
+            a = validate_folds(regressor, with_shapes, setting).chosen
+            b = validate_folds(regressor, with_shapes.drop(*features), setting).chosen
+            found.append({
+                "bands": "".join(sorted(set(bands) - set(left_out))),
+                "score diff.": report(a.mean - b.mean, a.error + b.error),
+                "score w. morph": report(a.mean, a.error),
+                "score w.o. morph": report(b.mean, b.error),
+                "score": a.mean - b.mean,
+            })
     return sorted(found, key=lambda f: f["score"])
 
 
@@ -95,7 +121,7 @@ def select_features(
         (validate_folds if "fold" in v.columns else cross_validate)(regressor, v, setting)
         for v in variants[:max_variants]
     ]
-    return min(range(len(results)), key=lambda i: results[i].score.mean), results
+    return min(range(len(results)), key=lambda i: results[i].chosen.mean), results
 
 
 def select_regressor(
@@ -108,7 +134,7 @@ def select_regressor(
         v = results[index]
         table.append({
             "method": r.name, "variant": index, "preprocessing": str(v.preprocessing),
-            "score": v.score.mean, "score_error": v.score.error, "sigma": v.sigma.mean, "sigma_error": v.sigma.error,
+            "score": v.chosen.mean, "score_error": v.chosen.error, "sigma": v.sigma.mean, "sigma_error": v.sigma.error,
             "eta": v.eta.mean, "eta_error": v.eta.error,
         })
     table.sort(key=lambda t: t["score"])

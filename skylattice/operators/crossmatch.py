@@ -26,10 +26,12 @@ def nearest(
     right_coords: tuple[str, str] = ("RA", "DEC"),
     right_separated: bool = False,
     crowd: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """For each left object its nearest right object closer than the radius.
 
-    Returns ``left_key``, ``right_key``, ``d2d`` (degrees) and ``payload`` (right columns);
+    Returns ``left_key``, ``right_key``, ``d2d`` (degrees), ``payload`` (right columns) and ``carry``
+    (left columns, which travel with the search instead of being joined on again);
     left objects without a partner are absent. Equal distances go to the smaller right key.
 
     ``right_separated=True`` states that the right side went through
@@ -38,10 +40,11 @@ def nearest(
     with the smallest key before the join, and cells with more than ``crowd`` of them are searched
     level by level, see :mod:`skylattice.operators.crowded`; one small job looks for such cells.
     """
-    left_key, payload = list(left_key), list(payload)
+    left_key, payload, carry = list(left_key), list(payload), list(carry)
     radius = sky.reach(radius_arcsec)
     seeking = left.filter(sky.located(*left_coords)).select(
-        *left_key, sky.coordinate(left_coords[0], "_lra"), sky.coordinate(left_coords[1], "_ldec")
+        *left_key, F.struct(F.lit(0).alias("_"), *carry).alias("_left"),
+        sky.coordinate(left_coords[0], "_lra"), sky.coordinate(left_coords[1], "_ldec"),
     ).select("*", *sky.unit_vector("_lra", "_ldec", LEFT))
     offered = right.filter(sky.located(*right_coords)).select(
         F.struct(F.col(right_key).alias("_key"), *payload).alias("_right"),
@@ -59,6 +62,7 @@ def nearest(
         F.col("_best._right._key").alias(right_key),
         F.col("_best.d2d").alias("d2d"),
         *[F.col(f"_best._right.{p}").alias(p) for p in payload],
+        *[F.col(f"_left.{c}").alias(c) for c in carry],
     )
 
 
@@ -76,6 +80,8 @@ def _with_crowds(
     """Plain search, plus the level-by-level search for left objects of crowded cells, if any."""
     radius = sky.reach(radius_arcsec)
     side = radius * SEARCH_SIDE
+    # written once: the look for crowds and the search read the same rows
+    offered = staged(offered)
     reached = sky.with_reached_cells(offered, RIGHT, CELLS, side, radius)
     full = crowded.crowded_cells(reached, CELLS, crowd)
     if full.isEmpty():
@@ -96,7 +102,7 @@ def _closest(pairs: DataFrame, left_key: list[str], radius_arcsec: float) -> Dat
         .withColumn("d2d", sky.separation("_lra", "_ldec", "_rra", "_rdec"))
         .filter(sky.arcsec(F.col("d2d")) < radius_arcsec)
         .groupBy(*left_key)
-        .agg(F.expr("min(struct(d2d, _right)) AS _best"))
+        .agg(F.expr("min(struct(d2d, _right)) AS _best"), F.first("_left").alias("_left"))
     )
 
 

@@ -1,84 +1,96 @@
 """Exact order statistics without sorting or gathering the column.
 
-Each pass over the data narrows an interval that holds the wanted rank: a mergeable quantile
-sketch proposes two values around it, a count tells on which side of them the rank really lies.
-Only when an interval holds few rows are they gathered. The result is exact whatever the sketch
-says, and a value that fills a third of the column is recognised as an interval end.
+Each pass counts the values of an interval in ``BUCKETS`` equal parts, with the least and greatest value
+of each part. The part that holds the wanted rank becomes the next interval, shrunk to the values it really
+holds. Least and greatest value never share a part, so every pass makes the interval smaller, until it holds
+one value or the rank is at an end of it. A pass is a grouped count: every task sends at most one row per
+target and part, whatever its share of the data, and there is no merge in a single task.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-GATHER_LIMIT = 50_000
-SKETCH_ACCURACY = 20_000
-MARGIN = 4.0 / SKETCH_ACCURACY
+BUCKETS = 4096
+_MAX = sys.float_info.max
+_HALF_MAX = _MAX / 4
 
 
 @dataclass
 class _Target:
     column: str
     rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
+    integral: bool
+    #: Where the wanted value lies: its bounds, which are values of the column, and its rank among them.
+    low: float | int | None = None
+    high: float | int | None = None
     inside: int = 0
-    value: float | None = None
-    stalled: bool = False
+    value: float | int | None = None
 
-    def condition(self) -> Column:
+    def bucket(self) -> Column:
+        """Part of the interval, for values inside it."""
         c = F.col(self.column)
-        keep = c.isNotNull()
-        if self.low is not None:
-            keep &= c > F.lit(self.low)
-        if self.high is not None:
-            keep &= c < F.lit(self.high)
-        return keep
-
-
-def order_statistics(
-    df: DataFrame,
-    ranks: Mapping[str, Sequence[int]],
-    counts: Mapping[str, int] | None = None,
-    gather_limit: int = GATHER_LIMIT,
-) -> dict[str, list]:
+        if self.integral:
+            # whole numbers all the way: neighbours beyond 53 bits are told apart
+            step = (self.high - self.low) // BUCKETS + 1
+            part = F.expr(f"(cast(`{self.column}` AS decimal(20,0)) - cast('{self.low}' AS decimal(20,0))) div cast('{step}' AS decimal(20,0))")
+        else:
+            low, high = (max(-_MAX, min(_MAX, v)) for v in (self.low, self.high))
+            scale = 0.25 if max(abs(low), abs(high)) > _HALF_MAX else 1.0
+            near = F.greatest(F.lit(-_MAX), F.least(F.lit(_MAX), c))
+            part = F.floor((near * scale - F.lit(low * scale)) / F.lit(high * scale - low * scale) * BUCKETS)
+        inside = (c >= F.lit(self.low)) & (c <= F.lit(self.high))
+        return F.when(inside, F.least(F.lit(BUCKETS - 1), part.cast("int")))
+
+
+def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[str, list]:
     """Values at zero-based ranks of numeric columns; NULL and NaN are not counted.
 
     All columns and ranks share the passes over ``df``.
     """
-    df = df.select(*[_clean(df, c).alias(c) for c in ranks])
-    if counts is None:
-        counts = present_counts(df, list(ranks))
+    kinds = {c: isinstance(df.schema[c].dataType, IntegralType) for c in ranks}
+    df = df.select(*[_clean(df, c).cast("bigint" if kinds[c] else "double").alias(c) for c in ranks])
+    ends = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(ranks) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     targets = []
-    for column, wanted in ranks.items():
+    for i, (column, wanted) in enumerate(ranks.items()):
         for rank in wanted:
-            if not 0 <= rank < counts[column]:
-                raise ValueError(f"rank {rank} outside the {counts[column]} values of {column}")
-            targets.append(_Target(column, rank, inside=counts[column]))
-    while True:
-        wide = [t for t in targets if t.value is None and t.inside > gather_limit]
-        if not wide:
-            break
-        _narrow(df, wide)
-    _gather(df, [t for t in targets if t.value is None])
+            if not 0 <= rank < ends[f"n{i}"]:
+                raise ValueError(f"rank {rank} outside the {ends[f'n{i}']} values of {column}")
+            targets.append(_Target(column, rank, kinds[column], ends[f"lo{i}"], ends[f"hi{i}"], ends[f"n{i}"]))
+    wanted = {id(t): t.rank for t in targets}
+    while open_ := [t for t in targets if not _settled(t, wanted)]:
+        _narrow(df, open_, wanted)
     result: dict[str, list] = {c: [] for c in ranks}
     for t in targets:
         result[t.column].append(t.value)
     return result
 
 
+def _settled(t: _Target, wanted: dict[int, int]) -> bool:
+    """Whether the interval tells the value: its only one, its least or its greatest."""
+    rank = wanted[id(t)]
+    if t.low == t.high or rank == 0:
+        t.value = t.low
+    elif (t.low, t.high) in ((_MAX, math.inf), (-math.inf, -_MAX)):
+        # the last finite number and infinity share a part: so many of the one, then the other
+        raise ValueError(f"{t.column} holds infinities beside the largest numbers")
+    elif rank == t.inside - 1:
+        t.value = t.high
+    return t.value is not None
+
+
 def present_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     row = df.agg(*[F.count(_clean(df, c)).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}
 
 
-def medians(
-    df: DataFrame, columns: Sequence[str], gather_limit: int = GATHER_LIMIT, counts: Mapping[str, int] | None = None
-) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: Sequence[str], counts: Mapping[str, int] | None = None) -> dict[str, float | None]:
     """Exact medians, the mean of the two middle values for an even count.
 
     ``counts`` are the numbers of present values, if they are known already.
@@ -86,16 +98,16 @@ def medians(
     if counts is None:
         counts = present_counts(df, columns)
     ranks = {c: sorted({(counts[c] - 1) // 2, counts[c] // 2}) for c in columns if counts[c]}
-    found = order_statistics(df, ranks, counts, gather_limit) if ranks else {}
+    found = order_statistics(df, ranks) if ranks else {}
     return {c: sum(found[c]) / len(found[c]) if c in found else None for c in columns}
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], gather_limit: int = GATHER_LIMIT) -> list[float]:
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation between neighbouring ranks."""
     n = present_counts(df, [column])[column]
     spots = [share * (n - 1) for share in shares]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    values = dict(zip(ranks, order_statistics(df, {column: ranks}, {column: n}, gather_limit)[column]))
+    values = dict(zip(ranks, order_statistics(df, {column: ranks})[column]))
     return [
         values[math.floor(s)] + (values[math.ceil(s)] - values[math.floor(s)]) * (s - math.floor(s))
         for s in spots
@@ -109,61 +121,28 @@ def _clean(df: DataFrame, name: str) -> Column:
     return c
 
 
-def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    sketches = []
-    for i, t in enumerate(targets):
-        inside = F.when(t.condition(), F.col(t.column))
-        if t.stalled:
-            sketches.append(F.array(F.min(inside), F.max(inside)).alias(f"t{i}"))
-            continue
-        share = (t.rank - t.below) / t.inside
-        ends = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
-        sketches.append(F.percentile_approx(inside, ends, SKETCH_ACCURACY).alias(f"t{i}"))
-    row = df.agg(*sketches).first()
-    proposed = {f"t{i}": _middle(row[f"t{i}"]) if t.stalled else row[f"t{i}"] for i, t in enumerate(targets)}
-    before = [replace(t) for t in targets]
-    tallies = []
-    for i, t in enumerate(targets):
-        c, (a, b) = F.col(t.column), proposed[f"t{i}"]
-        tallies += [
-            F.count_if(c < F.lit(a)).alias(f"t{i}_lt_a"), F.count_if(c <= F.lit(a)).alias(f"t{i}_le_a"),
-            F.count_if(c < F.lit(b)).alias(f"t{i}_lt_b"), F.count_if(c <= F.lit(b)).alias(f"t{i}_le_b"),
-        ]
-    counted = df.agg(*tallies).first()
-    for i, t in enumerate(targets):
-        a, b = proposed[f"t{i}"]
-        lt_a, le_a, lt_b, le_b = (counted[f"t{i}_{k}"] for k in ("lt_a", "le_a", "lt_b", "le_b"))
-        if t.rank < lt_a:
-            t.high, t.inside = a, lt_a - t.below
-        elif t.rank < le_a:
-            t.value = a
-        elif t.rank < lt_b:
-            t.low, t.high, t.below, t.inside = a, b, le_a, lt_b - le_a
-        elif t.rank < le_b:
-            t.value = b
-        else:
-            t.inside += t.below - le_b
-            t.low, t.below = b, le_b
-    for t, old in zip(targets, before):
-        # a sketch works on doubles and can miss between integers beyond 53 bits: halve from then on
-        if t.value is None and t.inside >= old.inside:
-            t.low, t.high, t.below, t.inside, t.stalled = old.low, old.high, old.below, old.inside, True
-
-
-def _middle(ends: list) -> tuple:
-    """Both proposals at the middle of an interval, which halves its width."""
-    low, high = ends
-    middle = (low + high) // 2 if isinstance(low, int) else low / 2 + high / 2
-    return middle, middle
-
-
-def _gather(df: DataFrame, targets: list[_Target]) -> None:
-    if not targets:
-        return
-    picks = []
-    for i, t in enumerate(targets):
-        inside = F.sort_array(F.collect_list(F.when(t.condition(), F.col(t.column))))
-        picks.append(F.get(inside, F.lit(t.rank - t.below)).alias(f"t{i}"))
-    row = df.agg(*picks).first()
-    for i, t in enumerate(targets):
-        t.value = row[f"t{i}"]
+def _narrow(df: DataFrame, targets: list[_Target], wanted: dict[int, int]) -> None:
+    """One pass: each target's interval becomes the part that holds its rank."""
+    # Targets of one interval share their counts.
+    spans: dict[tuple, int] = {}
+    for t in targets:
+        spans.setdefault((t.column, t.low, t.high), len(spans))
+    first = {spans[t.column, t.low, t.high]: t for t in targets}
+    cells = [
+        F.struct(F.lit(i).alias("i"), t.bucket().alias("b"), (F.lit(None) if t.integral else F.col(t.column)).cast("double").alias("x"),
+                 (F.col(t.column) if t.integral else F.lit(None)).cast("bigint").alias("k"))
+        for i, t in first.items()]
+    counted = df.select(F.inline(F.array(*cells))).where("b IS NOT NULL").groupBy("i", "b").agg(
+        F.count("*").alias("n"), F.min("x").alias("lo_x"), F.max("x").alias("hi_x"), F.min("k").alias("lo_k"), F.max("k").alias("hi_k"))
+    parts: dict[int, list] = {i: [] for i in first}
+    # At most BUCKETS rows per interval.
+    for r in counted.collect():
+        parts[r["i"]].append((r["b"], r["n"], r["lo_k"] if r["lo_x"] is None else r["lo_x"], r["hi_k"] if r["hi_x"] is None else r["hi_x"]))
+    for rows in parts.values():
+        rows.sort()
+    for t in targets:
+        for _, n, low, high in parts[spans[t.column, t.low, t.high]]:
+            if wanted[id(t)] < n:
+                t.low, t.high, t.inside = low, high, n
+                break
+            wanted[id(t)] -= n

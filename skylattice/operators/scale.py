@@ -53,7 +53,7 @@ def _robust(df, columns):
     counts = order_stats.present_counts(df, columns)
     spots = {c: [share * (counts[c] - 1) for share in (0.25, 0.5, 0.75)] for c in columns if counts[c]}
     ranks = {c: sorted({r for s in at for r in (math.floor(s), math.ceil(s))}) for c, at in spots.items()}
-    found = order_stats.order_statistics(df, ranks, counts)
+    found = order_stats.order_statistics(df, ranks)
     centre, spread = {c: 0.0 for c in columns}, {c: None for c in columns}
     for c, at in spots.items():
         value = dict(zip(ranks[c], found[c]))

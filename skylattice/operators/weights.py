@@ -83,16 +83,19 @@ def _weights(train: DataFrame, population: DataFrame, key: list[str], columns: l
         spot = F.ceil((v - lo) / F.nullif(step, F.lit(0.0))) - 1
         return F.least(checked - 1, F.greatest(F.lit(0), F.coalesce(spot, F.lit(0)))).cast("bigint")
 
-    placed = (
+    ranged = (
         _stack(train, key, columns)
         .join(F.broadcast(train_range), "_band", "left")
         .join(F.broadcast(pop_range), "_band", "left")
-        .withColumns({"_tbin": lookup("t"), "_pbin": lookup("p")})
     )
+    # a missing value, or one of a flat range, has no density: such rows would all meet in one bin
+    weighed = present(v) & (F.col("_thi") > F.col("_tlo"))
+    placed = ranged.filter(weighed).withColumns({"_tbin": lookup("t"), "_pbin": lookup("p")})
     joined = placed.join(train_density, ["_band", "_tbin"], "left").join(
         pop_density, ["_band", "_pbin"], "left"
     )
     inside = (v >= F.col("_plo")) & (v <= F.col("_phi"))
     above = F.when(inside, F.coalesce("_pdensity", F.lit(0.0))).otherwise(F.lit(0.0))
-    weight = F.when(present(v), above / F.nullif(F.col("_tdensity"), F.lit(0.0)))
-    return joined.select(*key, "_band", weight.alias("_weight"))
+    weight = above / F.nullif(F.col("_tdensity"), F.lit(0.0))
+    without = ranged.filter(~F.coalesce(weighed, F.lit(False))).select(*key, "_band", F.lit(None).cast("double").alias("_weight"))
+    return joined.select(*key, "_band", weight.alias("_weight")).unionByName(without)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skylattice.config import MATCHED_PARAMS, MORPHOLOGY_COLUMNS, UNMATCHED_PARAMS, SurveyConfig
 from skylattice.operators import crossmatch, cuts, dedup, project
 from skylattice.session import staged
+from skylattice.sources.fits import read_fits
+from skylattice.sources.tables import nan_to_null
 
 OBJECT = ["tile", "ide"]
 # output name -> source column of the detection band
@@ -79,18 +81,38 @@ def _finish(df: DataFrame, cfg: SurveyConfig, params: Sequence[str], morphology:
     return project.zero_point(df, cfg)
 
 
-def matched_tiles(bands: dict[str, DataFrame], morphology: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """Objects with a redshift of their own and morphology."""
-    objects = usable_objects(bands, cfg, MATCHED_PARAMS, redshift=True)
+def band_columns(cfg: SurveyConfig, band: str, matched: bool = True, images: Sequence[str] = ()) -> list[str]:
+    """Columns of a band's table that the tile workflows read."""
+    wanted = [*(MATCHED_PARAMS if matched else UNMATCHED_PARAMS), *images]
+    if band == cfg.bands[0]:
+        wanted.append("NUMBER")
+    if band == cfg.detection_band:
+        wanted += [*DETECTION.values(), *(["Z"] if matched else [])]
+    return list(dict.fromkeys(wanted))
+
+
+def read_bands(spark: SparkSession, path: str, cfg: SurveyConfig, matched: bool = True, images: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The survey's band tables from the tile files below ``path``, each with the columns the workflows read."""
+    found = {}
+    for band in dict.fromkeys((cfg.detection_band, *cfg.bands)):
+        found[band] = nan_to_null(read_fits(spark, path, band, ",".join(band_columns(cfg, band, matched, images))))
+    return found
+
+
+def matched_tiles(
+    bands: dict[str, DataFrame], morphology: DataFrame, cfg: SurveyConfig, images: Sequence[str] = ()
+) -> DataFrame:
+    """Objects with a redshift of their own and morphology; ``images`` are cut-out columns to carry along."""
+    objects = usable_objects(bands, cfg, [*MATCHED_PARAMS, *images], redshift=True)
     shapes = morphology.select("tile", *MORPHOLOGY_COLUMNS)
     objects = objects.join(shapes, ["tile", "id"]).drop("id")
     objects = _finish(cuts.has_value(objects), cfg, MATCHED_PARAMS, morphology=True)
     return project.with_object_name(cuts.positive(objects))
 
 
-def unmatched_tiles(bands: dict[str, DataFrame], cfg: SurveyConfig) -> DataFrame:
-    """All usable objects of the photometric tiles."""
-    objects = usable_objects(bands, cfg, UNMATCHED_PARAMS)
+def unmatched_tiles(bands: dict[str, DataFrame], cfg: SurveyConfig, images: Sequence[str] = ()) -> DataFrame:
+    """All usable objects of the photometric tiles; ``images`` are cut-out columns to carry along."""
+    objects = usable_objects(bands, cfg, [*UNMATCHED_PARAMS, *images])
     return project.with_object_name(_finish(objects, cfg, UNMATCHED_PARAMS, morphology=False))
 
 

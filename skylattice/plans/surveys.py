@@ -38,10 +38,13 @@ def deep_survey(df: DataFrame) -> DataFrame:
 
 def u_with_deep(u: DataFrame, deep: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """u-survey objects with their nearest deep-survey partner."""
-    found = crossmatch.nearest(
-        u, deep, tolerance, ["u_id"], "deep_id", ["g_stk_aper", "i_stk_aper", "z_stk_aper"]
-    )
-    return u.join(found.drop("d2d"), "u_id")
+    return crossmatch.nearest(
+        u, deep, tolerance, ["u_id"], "deep_id", ["g_stk_aper", "i_stk_aper", "z_stk_aper"], carry=_others(u)
+    ).drop("d2d")
+
+
+def _others(left: DataFrame) -> list[str]:
+    return [c for c in left.columns if c != "u_id"]
 
 
 def with_redshift(
@@ -56,11 +59,10 @@ def with_redshift(
     shapes = list(project.MORPHOLOGY) + ["gal_g1", "gal_g2"] if morphology else []
     shapes = [c for c in shapes if c in r_matched.columns]
     found = crossmatch.nearest(
-        base, r_matched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R", *shapes, "Z_SPEC"], right_separated=separated
+        base, r_matched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R", *shapes, "Z_SPEC"], right_separated=separated,
+        carry=_others(base),
     )
-    if {"gal_g1", "gal_g2"} <= set(shapes):
-        found = project.shear(found)
-    medium = base.join(found.drop("d2d"), "u_id")
+    medium = project.shear(found) if {"gal_g1", "gal_g2"} <= set(shapes) else found
     names = {**project.THREE_SURVEY_MAGNITUDES, **(project.MORPHOLOGY if morphology else {}), **project.TARGET}
     return project.short_names(medium, names, keep), medium.select(*keep, "MAG_r", "MAG_AUTO_R")
 
@@ -71,9 +73,9 @@ def without_redshift(
 ) -> DataFrame:
     """Population table of the chain: magnitudes of all objects found in the three surveys."""
     found = crossmatch.nearest(
-        base, r_unmatched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R"], right_separated=separated
+        base, r_unmatched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R"], right_separated=separated, carry=_others(base)
     )
-    return project.short_names(base.join(found.drop("d2d"), "u_id"), project.THREE_SURVEY_MAGNITUDES, keep)
+    return project.short_names(found, project.THREE_SURVEY_MAGNITUDES, keep)
 
 
 def three_surveys(

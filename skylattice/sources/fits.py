@@ -28,7 +28,8 @@ from pyspark.sql.types import (
 
 # Sizes of the file format.
 BLOCK, CARD = 2880, 80
-BATCH_ROWS = 50_000
+#: Bytes of all tables' rows that are read at once.
+BATCH_BYTES = 32 << 20
 
 # Type codes of the file format -> numpy type and Spark type.
 TYPES: dict[str, tuple[str, DataType]] = {
@@ -74,6 +75,8 @@ class Table:
     row_bytes: int
     rows: int
     columns: dict[str, Column]
+    #: Columns of a type that is not read.
+    unreadable: tuple[str, ...] = ()
 
 
 class Incomplete(ValueError):
@@ -123,7 +126,7 @@ def tables_of(stream) -> list[Table]:
         size = (size + cards.get("PCOUNT", 0)) * cards.get("GCOUNT", 1)
         start = stream.tell()
         if cards.get("XTENSION") == "BINTABLE":
-            found.append(Table(str(cards.get("EXTNAME", number)), number, start, axes[0], axes[1], _columns(cards)))
+            found.append(Table(str(cards.get("EXTNAME", number)), number, start, axes[0], axes[1], _columns(cards), _unreadable(cards)))
         stream.seek(start + math.ceil(size / BLOCK) * BLOCK)
         number += 1
     return found
@@ -151,12 +154,21 @@ def _columns(cards: dict) -> dict[str, Column]:
     return columns
 
 
+def _unreadable(cards: dict) -> tuple[str, ...]:
+    return tuple(
+        str(cards.get(f"TTYPE{i}", f"col{i}")) for i in range(1, cards.get("TFIELDS", 0) + 1)
+        if re.match(r"\d*([A-Z])", cards[f"TFORM{i}"]).group(1) not in TYPES)
+
+
 def pick_tables(tables: list[Table], hdus: list[str], wanted: list[str] | None) -> list[Table]:
     picked = []
     for hdu in hdus:
         match = [t for t in tables if t.name == hdu or str(t.number) == hdu]
         if not match:
             raise Incomplete(f"no table {hdu}")
+        unreadable = [c for c in wanted or match[0].unreadable if c in match[0].unreadable]
+        if unreadable:
+            raise ValueError(f"table {hdu}: the type of {unreadable} cannot be read; name the columns you want")
         missing = [c for c in wanted or [] if c not in match[0].columns]
         if missing:
             raise Incomplete(f"table {hdu} lacks {missing}")
@@ -249,6 +261,7 @@ class _Settings:
             self.fs, self.root = pafs.FileSystem.from_uri(path)
         else:
             self.fs, self.root = pafs.LocalFileSystem(), path
+        self.inner = self.root
 
     def output(self, name: str, hdu: str) -> str:
         return name if len(self.hdus) == 1 else f"{name}_{hdu}"
@@ -302,9 +315,11 @@ class FitsReader(DataSourceReader):
             raise Incomplete(f"no columns {lacking}")
 
     def _slice(self, settings, stream, path, picked, first, last):
-        tile = path.rsplit("/", 1)[-1]
-        for start in range(first, last, BATCH_ROWS):
-            stop = min(start + BATCH_ROWS, last)
+        # files of one name in two folders are two tiles
+        tile = path.removeprefix(settings.inner.rstrip("/") + "/") if path != settings.inner else path.rsplit("/", 1)[-1]
+        step = max(1, BATCH_BYTES // max(1, sum(t.row_bytes for t in picked)))
+        for start in range(first, last, step):
+            stop = min(start + step, last)
             values = {"tile": pa.array([tile] * (stop - start)), "ide": pa.array(np.arange(start, stop))}
             for hdu, table in zip(settings.hdus, picked):
                 stream.seek(table.start + start * table.row_bytes)

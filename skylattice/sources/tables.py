@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Columns of the external survey tables.
 U_SURVEY_COLUMNS = ("ALPHA_J2000", "DELTA_J2000", "MAG_u", "MAG_r", "MAGERR_u")
@@ -29,24 +29,68 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floating})
 
 
+def header_groups(spark: SparkSession, paths: Sequence[str], sep: str) -> list[tuple[list[str], list[str]]]:
+    """Column names of delimited files, with the files that have them in that order.
+
+    One line of each file is read; a directory stands for the files below it.
+    """
+    context = spark.sparkContext
+    hadoop = spark._jsc.hadoopConfiguration()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        root = context._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(hadoop)
+        files = fs.listFiles(root, True)
+        while files.hasNext():
+            file = files.next().getPath()
+            name = file.toString()[len(fs.makeQualified(root).toString()):] or file.getName()
+            if any(part.startswith(("_", ".")) for part in name.strip("/").split("/")):
+                continue
+            stream = context._jvm.java.io.BufferedReader(context._jvm.java.io.InputStreamReader(fs.open(file), "UTF-8"))
+            try:
+                line = stream.readLine()
+            finally:
+                stream.close()
+            if line is not None:
+                names = tuple(n.strip().strip('"') for n in line.removeprefix("\ufeff").split(sep))
+                found.setdefault(names, []).append(file.toString())
+    return [(list(names), files) for names, files in found.items()]
+
+
+def read_delimited(spark: SparkSession, paths: Sequence[str], schema: StructType, sep: str = ",", strict: bool = False) -> DataFrame:
+    """Columns of ``schema`` by name from delimited files, whatever the order of columns in each.
+
+    Text that is not of the column's type becomes NULL, or raises with ``strict``.
+    """
+    groups = header_groups(spark, paths, sep)
+    if not groups:
+        raise ValueError(f"no files in {paths}")
+    parts = []
+    for names, files in groups:
+        lacking = [f.name for f in schema.fields if f.name not in names]
+        if lacking:
+            raise ValueError(f"columns {lacking} are not in {files[:3]}")
+        # every file of the group is checked against these names
+        text = StructType([StructField(n, StringType()) for n in names])
+        raw = spark.read.schema(text).option("header", True).option("sep", sep).option("enforceSchema", False).csv(files)
+        cast = "cast" if strict else "try_cast"
+        parts.append(raw.select(*[F.expr(f"{cast}(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields],
+                                F.col("_metadata.file_name").alias("_file")))
+    return union_tables(parts)
+
+
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: StructType | None = None,
-               fmt: str = "parquet", sep: str = ",") -> DataFrame:
+               fmt: str = "parquet", sep: str = ",", strict: bool = False) -> DataFrame:
     """A file, a list of files or a directory as one table.
 
-    Delimited text has a header, columns are picked by name, and every file needs a schema:
+    Delimited text has a header, columns are picked by name in each file, and it needs a schema:
     without inference the data is read once.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
         if schema is None:
             raise ValueError("delimited text needs a schema")
-        # the header decides positions, the schema decides types
-        raw = spark.read.option("header", True).option("sep", sep).csv(paths)
-        lacking = [f.name for f in schema.fields if f.name not in raw.columns]
-        if lacking:
-            raise ValueError(f"columns {lacking} are not in {paths}")
-        table = raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                             for f in schema.fields])
+        table = read_delimited(spark, paths, schema, sep, strict).drop("_file")
     else:
         reader = spark.read.format(fmt)
         table = (reader.schema(schema) if schema is not None else reader).load(paths)
@@ -71,14 +115,15 @@ def read_deep_survey(spark: SparkSession, path) -> DataFrame:
 
 def read_tiles(spark: SparkSession, path, schema: StructType | None = None, fmt: str = "parquet") -> DataFrame:
     """Every tile file of a directory as one table; ``tile`` is the file's name unless stored."""
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-    df = reader.load(path)
-    if "tile" not in df.columns:
-        df = df.withColumn("tile", F.col("_metadata.file_name"))
+        if schema is None:
+            raise ValueError("delimited text needs a schema")
+        df = read_delimited(spark, [path] if isinstance(path, str) else list(path), schema).withColumnRenamed("_file", "_tile")
+    else:
+        reader = spark.read.format(fmt)
+        df = (reader if schema is None else reader.schema(schema)).load(path)
+        df = df if "tile" in df.columns else df.withColumn("_tile", F.col("_metadata.file_name"))
+    df = df.drop("_tile") if "tile" in df.columns else df.withColumnRenamed("_tile", "tile")
     return nan_to_null(df)
 
 
@@ -99,11 +144,11 @@ def as_table(spark: SparkSession, table: DataFrame | None = None, path: str | No
     return table
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", sep: str = ",") -> None:
     """Write a catalogue, replacing an older one."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("sep", sep)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -181,17 +181,60 @@ def test_folded_feature_sets_share_their_folds(spark):
 
 
 def test_search_candidates():
-    assert len(search.candidates("RF", search.GRID, 0)) == 720
-    assert len(search.candidates("RF", search.RANDOM, 50)) == 50
+    grid = search.candidates("RF", search.GRID, 0)
+    assert len(grid) == len(search.distinct(grid)) == 4 * 5 * 3 * 3 + 5 * 3
+    assert 30 < len(search.candidates("RF", search.RANDOM, 50)) <= 50
     assert search.candidates("RF", search.RANDOM, 5) == search.candidates("RF", search.RANDOM, 5)
     for name in search.DRAWS:
         assert len(search.candidates(name, search.GUIDED, 7)) == 7
-    assert all(1 <= p["degree"] <= 3 for p in search.candidates("KRR", search.GUIDED, 50))
-    assert search.forest_params({"minSplitRows": 10, "minInstancesPerNode": 1})["minInstancesPerNode"] == 5
+    assert {p["degree"] for p in search.candidates("KRR", search.GUIDED, 50)} == {1, 3, 5, 7, 9}
     with pytest.raises(ValueError):
         search.candidates("LASSO", search.GUIDED, 1)
+    for name in ("RF", "KRR"):
+        with pytest.raises(ValueError):
+            search.candidates(name, "other", 1)
     with pytest.raises(ValueError):
-        search.candidates("RF", "other", 1)
+        search.candidates("SVR", search.GRID, 1)
+
+
+def test_wide_kernels_are_refused(spark):
+    df = spark.createDataFrame([tuple(float(i + j) for j in range(9)) for i in range(3)], ", ".join(f"c{j} double" for j in range(9)))
+    with pytest.raises(ValueError, match="terms"):
+        regressor("KRR").with_params(degree=9).fit(df, [f"c{j}" for j in range(8)], "c8")
+
+
+def test_importance_writes_one_table(spark, monkeypatch):
+    from skylattice.learn import selection as module
+    from contextlib import contextmanager
+    x, z, _ = table(80)
+    written, real = [], module.staging
+
+    @contextmanager
+    def counting(s):
+        with real(s) as stage:
+            yield lambda df: written.append(1) or stage(df)
+
+    monkeypatch.setattr(module, "staging", counting)
+    module.permutation_importance(regressor("LASSO"), frame(spark, x, z), SETTING)
+    module.eliminate_features(regressor("LASSO"), frame(spark, x, z), SETTING)
+    assert len(written) == 2
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+    from skylattice.session import shared_folder, staging
+    before = set(os.listdir(shared_folder(spark).removeprefix("file://")))
+    with staging(spark) as stage:
+        assert stage(spark.range(3)).count() == 3
+    assert set(os.listdir(shared_folder(spark).removeprefix("file://"))) == before
+
+
+def test_scores_that_steer(spark):
+    x, z, _ = table(120)
+    plain = cross_validate(regressor("LASSO"), frame(spark, x, z), SETTING)
+    total = cross_validate(regressor("LASSO"), frame(spark, x, z), selection.with_setting(SETTING, score="total"))
+    own = cross_validate(regressor("LASSO"), frame(spark, x, z), selection.with_setting(SETTING, metric=lambda t: float(t.count())))
+    assert plain.chosen == plain.score and total.chosen == total.total and own.chosen.mean * SETTING.cv == 120
 
 
 def test_search_takes_the_lowest_score(spark):

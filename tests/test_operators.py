@@ -125,34 +125,39 @@ def test_histogram2d_equals_numpy(spark):
 
 # --- order statistics ----------------------------------------------------------------------
 
-@pytest.mark.parametrize("limit", [5, 50_000])
 @pytest.mark.parametrize("kind", ["normal", "copies", "outlier", "few"])
-def test_medians_are_exact(spark, kind, limit):
+def test_medians_are_exact(spark, kind):
     rng = np.random.default_rng(1)
     values = {
         "normal": rng.normal(size=2001), "copies": np.r_[np.full(700, 2.0), rng.normal(2.0, 1e-3, 1300)],
         "outlier": np.r_[rng.normal(size=1500), 1e300, -1e300], "few": np.array([3.0, 1.0]),
     }[kind]
     df = column(spark, [float(v) for v in values] + [NAN, None])
-    assert order_stats.medians(df, ["v"], limit)["v"] == pytest.approx(float(np.median(values)), rel=1e-15)
-    assert order_stats.quantiles(df, "v", [0.0, 0.25, 0.9, 1.0], limit) == pytest.approx(
+    assert order_stats.medians(df, ["v"])["v"] == pytest.approx(float(np.median(values)), rel=1e-15)
+    assert order_stats.quantiles(df, "v", [0.0, 0.25, 0.9, 1.0]) == pytest.approx(
         list(np.quantile(values, [0.0, 0.25, 0.9, 1.0])), rel=1e-12)
 
 
-def test_ranks_through_a_misleading_sketch(spark, monkeypatch):
-    monkeypatch.setattr(order_stats, "SKETCH_ACCURACY", 3)
-    monkeypatch.setattr(order_stats, "MARGIN", 0.0)
+def test_ranks_through_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "BUCKETS", 3)
     values = list(range(500))
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
     ranks = [0, 1, 17, 250, 498, 499]
-    assert order_stats.order_statistics(df, {"v": ranks}, gather_limit=3)["v"] == ranks
+    assert order_stats.order_statistics(df, {"v": ranks})["v"] == ranks
+
+
+def test_passes_are_grouped_counts(spark):
+    """No sketch and no gathered column: every plan of a pass is a partial count by part."""
+    import inspect
+    source = inspect.getsource(order_stats)
+    assert "percentile" not in source and "collect_list" not in source
 
 
 def test_ranks_of_integers_beyond_double_precision(spark):
     start = 2**61 + 1
     df = spark.range(start, start + 300).select(F.col("id").alias("v"))
     ranks = [0, 1, 150, 299]
-    assert order_stats.order_statistics(df, {"v": ranks}, gather_limit=5)["v"] == [start + r for r in ranks]
+    assert order_stats.order_statistics(df, {"v": ranks})["v"] == [start + r for r in ranks]
 
 
 def test_median_of_nothing(spark):
@@ -352,3 +357,12 @@ def test_pixels(spark):
 def test_flat_pixels_as_image(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "p array<double>")
     assert df.select(pixels.as_image(F.col("p"), 3).alias("i")).first()["i"] == [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
+
+
+def test_exact_folds_of_keys_that_share_a_number(spark):
+    rows = [(k + j * 2147483647,) for k in range(10) for j in range(2)]
+    sizes = folds.shuffled_folds(spark.createDataFrame(rows, "k bigint"), ["k"], 4, exact=True).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in sizes) == [5, 5, 5, 5]
+    text = spark.createDataFrame([(f"a{i % 7}", i) for i in range(1003)], "a string, b int")
+    sizes = folds.shuffled_folds(text, ["a", "b"], 4, exact=True).groupBy("fold").count().orderBy("fold").collect()
+    assert [r["count"] for r in sizes] == [250, 250, 250, 253]

@@ -93,6 +93,45 @@ def test_delimited_text(spark, tmp_path):
         tables.read_u_survey(spark, str(tmp_path / "deep.rsv"))
 
 
+def test_columns_in_another_order_in_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ra,dec,z\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("z,extra,ra,dec\n3,x,1,2\n")
+    rows = tables.read_spectroscopic(spark, str(tmp_path), "csv").collect()
+    assert [tuple(r) for r in rows] == [(1.0, 2.0, 3.0)] * 2
+    (tmp_path / "c.csv").write_text("z,ra\n3,1\n")
+    with pytest.raises(ValueError, match="dec"):
+        tables.read_spectroscopic(spark, str(tmp_path), "csv")
+    with pytest.raises(ValueError):
+        tables.read_tiles(spark, str(tmp_path), fmt="csv")
+
+
+def test_unreadable_columns_are_named(spark, tmp_path):
+    fits_file(tmp_path / "odd.fits", [("R", [("V", "K", ">i8", np.arange(3), {}), ("W", "1PE(3)", ">i4", np.zeros((3, 2)), {})])])
+    with pytest.raises(Exception, match="W"):
+        fits.read_fits(spark, str(tmp_path), "R").collect()
+    assert fits.read_fits(spark, str(tmp_path), "R", "V").count() == 3
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        fits_file(tmp_path / folder / "cat.fits", [("R", [("V", "K", ">i8", np.arange(2), {})])])
+    df = fits.read_fits(spark, str(tmp_path), "R")
+    assert df.select("tile", "ide").distinct().count() == 4
+
+
+def test_batches_follow_the_width_of_a_row(spark, tmp_path, monkeypatch):
+    fits_file(tmp_path / "wide.fits", [("R", [("V", "100D", ">f8", np.arange(5000).reshape(50, 100), {})])])
+    sizes = []
+    real = fits.pa.RecordBatch.from_arrays
+    monkeypatch.setattr(fits, "BATCH_BYTES", 8000)
+    schema = fits.FitsTables({"path": str(tmp_path), "hdu": "R"}).schema()
+    reader = fits.FitsReader({"path": str(tmp_path), "hdu": "R"}, schema)
+    for part in reader.partitions():
+        sizes += [b.num_rows for b in reader.read(part)]
+    assert sizes == [10] * 5 and real
+
+
 def test_spectroscopic_and_in_memory_tables(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 2.0, float("nan"))], "ra double, dec double, z double")
     tables.write_table(df, str(tmp_path / "spec"))
