@@ -100,16 +100,24 @@ def test_pigeonhole_finds_every_signature_within_reach():
 
 # --- lines ---------------------------------------------------------------------------------
 
+def line_shingles(line):
+    space, unspaced = " \\x09-\\x0D", "\u2E80-\u9FFF\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF"
+    words = line.split(" ")
+    if "\t" in line or max(map(len, words)) > 16:
+        found = re.findall(rf"(?s)(?=([^{space}].{{15}}))(?:[{unspaced}]|[^{space}{unspaced}]{{1,16}})[{space}]*", line)
+    else:
+        found = [x for i in range(len(words)) if len(x := " ".join(words[i:i + 9])[:16]) == 16 or i + 9 <= len(words)]
+    return {*found, line[-16:]}
+
+
 def lines_by_hand(rows):
-    unspaced = "⺀-鿿぀-ヿ฀-໿က-႟ក-៿"
-    starts = re.compile(rf"(?s)(?:(?<!\S)(?=\S)|(?=[{unspaced}]))(?=(.{{16}}))")
     place = {}
     for i, t in rows:
         for k, line in enumerate(t.split("\n") if t is not None else []):
             if line.strip():
                 place.setdefault(line, []).append((i, k))
     kinds = sorted(place)
-    sets = [{*starts.findall(x), x[-16:]} for x in kinds]
+    sets = [line_shingles(x) for x in kinds]
     links = [(a, b) for a in range(len(kinds)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = roots(range(len(kinds)), links)
     first = {}
@@ -120,6 +128,9 @@ def lines_by_hand(rows):
 
 def test_lines(spark, docs):
     extra = [(20, "one two three four five six seven eight nine ten eleven twelve\n\nlast"),
+             (22, "漢字仮名交じり文の行を二つ並べて比べるための長い文です。\n" + "q" * 40 + "abc\ntab\tbed words in a line of some length"),
+             (23, "漢字仮名交じり文の行を二つ並べて比べるための長い文です!\n" + "q" * 40 + "abd\ntab\tbed words in a line of some lengths"),
+             (24, "q" * 16 + "r" * 400 + "z" * 16 + "\n" + "q" * 16 + "s" * 400 + "z" * 16), (25, "a b c d e f g h i j k l m n\na b c d e f g h i j k l m n o  p"),
              (21, "LAST\none two three four five six seven eight nine ten eleven twelve!\nlast")]
     rows = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(*e, "s") for e in extra], "doc_id long, text string, source string"))
     found = line_dedup.line_components(rows).collect()
