@@ -103,11 +103,11 @@ def test_pigeonhole_finds_every_signature_within_reach():
 def line_shingles(line):
     space, unspaced = " \\x09-\\x0D", "\u2E80-\u9FFF\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF"
     words = line.split(" ")
-    if "\t" in line or max(map(len, words)) > 16:
+    if "\t" in line or max(map(len, words)) > 32:
         found = re.findall(rf"(?s)(?=([^{space}].{{15}}))(?:[{unspaced}]|[^{space}{unspaced}]{{1,16}})[{space}]*", line)
     else:
-        found = [x for i in range(len(words)) if len(x := " ".join(words[i:i + 9])[:16]) == 16 or i + 9 <= len(words)]
-    return {*found, line[-16:]}
+        found = [" ".join(words[i:i + 3])[:16] for i in range(len(words) - 2)] + [w[16:32] for w in words if len(w) > 16]
+    return {*found, line[-16:], line[-32:][:16]}
 
 
 def lines_by_hand(rows):
