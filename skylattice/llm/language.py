@@ -37,18 +37,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
 
 
-def subwords(word: str) -> np.ndarray:
+def subwords(word: str) -> list[int]:
     """Bucket of the word and of each of its n-grams."""
-    marked = f"<{word}>"
-    parts = [marked, *(marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-    return np.array([xxhash.xxh32_intdigest(p) % BUCKETS for p in parts], np.int64)
+    marked, digest = f"<{word}>", xxhash.xxh32_intdigest
+    return [digest(marked) % BUCKETS, *(digest(marked[i:i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1))]
 
 
 class Subwords(dict):
     def __missing__(self, word: str) -> np.ndarray:
         if len(self) >= _CACHE:
             self.clear()
-        value = self[word] = subwords(word)
+        value = self[word] = np.array(subwords(word), np.int64)
         return value
 
 
@@ -163,28 +162,35 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         table = model.logits_of_buckets() if model else None
-        known: dict[str, np.ndarray] = {}
-
-        def row(word: str) -> np.ndarray:
-            got = known.get(word)
-            if got is None:
-                if len(known) >= _CACHE:
-                    known.clear()
-                ids = subwords(word)
-                got = known[word] = np.append(table[ids].sum(axis=0), len(ids))
-            return got
-
+        known: dict[str, int] = {}
+        #: Sum of logits and number of subwords of each known word.
+        rows = np.zeros((0, len(model.languages) + 1 if model else 1))
         for b in batches:
-            pred, score, reject = [], [], []
-            for text in b.column(1).to_pylist():
-                words = Counter(_WORD.findall(text.lower())) if text and model else None
-                if not words:
-                    pred.append("und"), score.append(0.0), reject.append(True)
-                    continue
-                total = np.stack([row(w) for w in words]) .T @ np.fromiter(words.values(), float, len(words))
-                p = model.probabilities((total[:-1] / total[-1])[None])[0]
-                k = int(p.argmax())
-                pred.append(model.languages[k]), score.append(float(p[k])), reject.append(bool(p[k] < model.least))
+            words = [Counter(_WORD.findall(t.lower())) if t and model else Counter() for t in b.column(1).to_pylist()]
+            flat, lengths = [], []
+            for found in words:
+                for w in found:
+                    if w not in known:
+                        known[w] = len(known)
+                        ids = subwords(w)
+                        flat += ids
+                        lengths.append(len(ids))
+            if lengths:
+                sums = np.add.reduceat(table[flat], np.cumsum([0, *lengths[:-1]]), axis=0)
+                rows = np.vstack([rows, np.column_stack([sums, lengths])])
+            pred, score, reject = ["und"] * len(words), [0.0] * len(words), [True] * len(words)
+            some = [i for i, found in enumerate(words) if found]
+            if some:
+                place = np.fromiter((known[w] for i in some for w in words[i]), np.int64)
+                times = np.fromiter((n for i in some for n in words[i].values()), float)
+                first = np.cumsum([0, *(len(words[i]) for i in some[:-1])])
+                total = np.add.reduceat(rows[place] * times[:, None], first, axis=0)
+                p = model.probabilities(total[:, :-1] / total[:, -1:])
+                for i, k, best in zip(some, p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
+                    pred[i], score[i], reject[i] = model.languages[k], best, best < model.least
+            if len(known) > _CACHE:
+                known.clear()
+                rows = rows[:0]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
                                               pa.array(reject, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
