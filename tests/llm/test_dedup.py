@@ -153,6 +153,33 @@ def test_lines_whose_hub_does_not_reach_all(spark):
     assert {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in found} == lines_by_hand(rows)
 
 
+def lines_by_plain_shingles(rows):
+    """Links by the five characters from each character on, for texts of one line."""
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for _, x in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = roots(range(len(rows)), links)
+    return {(i, 0): (rows[root[k]][0], 0) for k, (i, _) in enumerate(rows)}
+
+
+def test_lines_with_one_changed_character(spark):
+    """One typo leaves most shingles of a line, in short lines and in scripts without spaces too."""
+    rng = random.Random(5)
+    rows = []
+    for n in (57, 101, 125, 163, 400) * 8:
+        line = ""
+        while len(line) < n:
+            line += "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) + " "
+        k = rng.randrange(n)
+        rows += [line[:n], line[:k] + "#" + line[k + 1:n]]
+    rows += ["漢字仮名交じり文の行を二つ並べて比べるための長い文です。東京都千代田区の話", "漢字仮名交じり文の行を二つ並べて比べるための長い文です。東京都千代田区の話!",
+             "one\ttwo three four five six", "one\ttwo three four five six.", "𝔸𝔹ℂ𝔻𝔼𝔽𝔾ℍ𝕀𝕁𝕂𝕃𝕄", "𝔸𝔹ℂ𝔻𝔼𝔽𝔾ℍ𝕀𝕁𝕂𝕃𝕄é", "abc", "abcd", "abc "]
+    rows = list(enumerate(rows))
+    found = line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = lines_by_plain_shingles(rows)
+    assert {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in found} == expected
+    assert sum(p[0] != first[0] for p, first in expected.items()) >= 40
+
+
 def test_kept_lines(spark):
     rows = spark.createDataFrame([(1, "a first line of it\n\nunique", "p"), (2, "a first line of it\nmore here", "q"), (3, None, "r"), (None, "a first line of it", "s")],
                                  "doc_id long, text string, source string")
