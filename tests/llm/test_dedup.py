@@ -180,6 +180,23 @@ def test_lines_with_one_changed_character(spark):
     assert sum(p[0] != first[0] for p, first in expected.items()) >= 40
 
 
+def test_every_character_lies_in_a_shingle(spark):
+    """A line that is changed in one place has another set of shingles, wherever the place is."""
+    lines = ["2019-03-04T00:00:00.000Z market.session.open", "/home/alice/data/corpus/raw.txt /srv/mirror/corpus/raw-v2.txt",
+             "Download https://example.org/a1/file.tgz https://example.org/b/sum.txt", "漢字仮名交じり文の行を二つ並べて比べる", "tab\tbed words", "abc"]
+    rows = [(n, k, line[:k] + "#" + line[k + 1:] if k >= 0 else line) for n, line in enumerate(lines) for k in range(-1, len(line))]
+    table = spark.createDataFrame(rows, "n int, k int, line string").select("n", "k", F.expr(line_dedup._shingles("line")).alias("s"))
+    sets = {(r.n, r.k): frozenset(r.s) for r in table.collect()}
+    assert all(s != sets[n, -1] for (n, k), s in sets.items() if k >= 0)
+
+
+def test_lines_alike_at_the_starts_of_words_stay(spark):
+    rows = ["2019-03-04T00:00:00.000Z market.session.open", "2024-11-28T00:00:00.000Z market.session.open",
+            "/home/alice/data/corpus/raw.txt /srv/mirror/corpus/raw-v2.txt", "/proj/zeta9/data/corpus/raw.txt /srv/mirror/corpus/raw-v2.txt"]
+    found = line_dedup.line_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and all(r.kept for r in found)
+
+
 def test_kept_lines(spark):
     rows = spark.createDataFrame([(1, "a first line of it\n\nunique", "p"), (2, "a first line of it\nmore here", "q"), (3, None, "r"), (None, "a first line of it", "s")],
                                  "doc_id long, text string, source string")
