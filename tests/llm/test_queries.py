@@ -46,3 +46,13 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    """A text that copies another goes alone, not with the other texts of its id; of equal rows one stays."""
+    copied, own = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    rows = [(1, copied, "en", "s", 1), (2, copied, "en", "s", 1), (2, own, "en", "s", 2), (3, "c", "en", "s", 3), (3, "c", "en", "s", 3),
+            (None, copied, "en", "s", 1), (None, copied, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, copied), (2, own), (3, "c"), (None, copied), (None, copied)], key=str)
