@@ -235,6 +235,12 @@ def test_units(texts):
     assert {r.id: (r.n_bytes, r.n_units, [tuple(x) for x in r.removed], r.kept_sha256) for r in found} == expected
 
 
+def test_short_units_without_a_least_size(spark):
+    rows = [(1, "a\n漢字仮名交じ\n\n"), (2, "A \n漢字仮名交じ\n\r\n\nb"), (3, "b\n\r")]
+    found = unit_dedup.cut(spark.createDataFrame(rows, "id long, text string"), least=0).collect()
+    assert {r.id: bytes(r.kept).decode() for r in found} == {1: "a\n漢字仮名交じ\n\n", 2: "\r\n\nb", 3: "\r"}
+
+
 def test_no_units(texts):
     assert unit_dedup.cut(texts.limit(0)).collect() == []
 
