@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skylattice.llm import (
-    conversation, decontaminate, embedding_dedup, language, line_dedup, mixing, near_dup, quality, suffix_dedup, unit_dedup, warc)
+    conversation, decontaminate, embedding_dedup, language, line_dedup, mixing, near_dup, quality, spelling, suffix_dedup, unit_dedup, warc)
 from skylattice.llm.common import read, shared_folder
 from skylattice.llm.sparse import fold_of
 
@@ -89,6 +89,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").alias("conv_id"), *found.columns[1:])
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = spelling.vocabulary(spelling.misspelt(spelling.occurrences(docs)))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 _OP7_SQL = """
 WITH units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no FROM documents
@@ -153,5 +159,6 @@ FROM classed d JOIN table_ t USING (class_source, class_lang, class_topic)
 
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_line_dedup, op3_embedding_dedup, op4_quality, op5_language, op6_decontaminate, op7_unit_dedup,
-    op8_suffix_dedup, op9_near_dup, op10_mixing, op12_conversation_repair)}
+    op8_suffix_dedup, op9_near_dup, op10_mixing, op12_conversation_repair,
+    op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op7_unit_dedup": _OP7_SQL, "op10_mixing": _mixing_sql(mixing.Targets())}
