@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skylattice.llm import (
-    conversation, decontaminate, embedding_dedup, language, line_dedup, mixing, near_dup, quality, spelling, suffix_dedup, unit_dedup, warc)
+    conversation, decontaminate, embedding_dedup, language, line_dedup, mixing, near_dup, quality, spelling, suffix_dedup,
+    toxicity, unit_dedup, warc)
 from skylattice.llm.common import read, shared_folder
 from skylattice.llm.sparse import fold_of
 
@@ -83,6 +84,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "class_source", "class_lang", "class_topic", F.round("probability", 6).alias("probability"), "taken")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
     found = conversation.report(conversation.damaged(rows))
@@ -159,6 +167,6 @@ FROM classed d JOIN table_ t USING (class_source, class_lang, class_topic)
 
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_line_dedup, op3_embedding_dedup, op4_quality, op5_language, op6_decontaminate, op7_unit_dedup,
-    op8_suffix_dedup, op9_near_dup, op10_mixing, op12_conversation_repair,
-    op13_spelling_variants)}
+    op8_suffix_dedup, op9_near_dup, op10_mixing, op11_toxicity,
+    op12_conversation_repair, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op7_unit_dedup": _OP7_SQL, "op10_mixing": _mixing_sql(mixing.Targets())}
