@@ -70,8 +70,8 @@ def gain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def choose_features(spark: SparkSession, sf: str) -> DataFrame:
-    table = train(spark, sf).select("obj_id", "r", "u", "g", "z_spec")
-    variants = training.folded_feature_sets(table, SETTING, ("r", "u", "g"))
+    table = train(spark, sf).select("obj_id", "r", "u", "i", "g", "z", "z_spec")
+    variants = training.folded_feature_sets(table, SETTING, ("r", "u", "i", "g", "z"))
     best, results = selection.select_features(small("LASSO"), variants, SETTING)
     rows = [{"variant": i, "score": v.score.mean, "best": i == best} for i, v in enumerate(results)]
     return selection.report_table(spark, rows, "variant int, score double, best boolean")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skylattice.learn import fold_algebra
 from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import LABEL, PREDICTION, Fitted, Regressor
 from skylattice.operators import folds, impute, metrics
 from skylattice.operators.metrics import Scores, Summary
+from skylattice.operators.project import numeric_columns
 from skylattice.session import staging
 from skylattice.sources.tables import union_tables
 
@@ -179,19 +181,65 @@ def fold_parts(folded: DataFrame, setting: Setting, stage: Callable[[DataFrame],
 
 def validate_folds(regressor: Regressor, folded: DataFrame, setting: Setting) -> Validation:
     """Cross-validation of a table that has its ``fold`` column."""
+    names = feature_columns(folded, setting.target, setting.bookkeeping)
+    if by_algebra(regressor, folded, names, setting):
+        with staging(folded.sparkSession) as stage:
+            return SetValidator(regressor, folded, names, setting, stage).validate([{c: c for c in names}])[0]
     return validate_parts(regressor, fold_parts(folded, setting), setting)
 
 
+def by_algebra(regressor: Regressor, folded: DataFrame, columns: Sequence[str], setting: Setting) -> bool:
+    """Whether sums of products are enough: a linear model, numeric columns and a score of the library's own."""
+    numeric = set(numeric_columns(folded))
+    scaled = regressor.scaling in (None, "robust") or (regressor.scaling == "standard" and setting.weight is None)
+    return regressor.linear and scaled and setting.metric is None and numeric >= {*columns, setting.target}
+
+
+class SetValidator:
+    """Cross-validation of feature sets over one folded, staged table.
+
+    A set maps feature names to columns of the table. For linear models the passes over the table are shared by all
+    sets, and what does not depend on a set is kept from one call to the next; others fit every set on its own
+    projection.
+    """
+
+    def __init__(self, regressor: Regressor, folded: DataFrame, columns: Sequence[str], setting: Setting, stage: Callable[[DataFrame], DataFrame]):
+        self.regressor, self.folded, self.setting, self.stage = regressor, folded, setting, stage
+        self.algebra = None
+        if by_algebra(regressor, folded, columns, setting):
+            self.algebra = fold_algebra.FoldAlgebra(folded, columns, setting.target, setting.cv, regressor.scaling, setting.weight)
+
+    def projection(self, features: Mapping[str, str]) -> DataFrame:
+        keep = [c for c in (*self.setting.bookkeeping, self.setting.target) if c in self.folded.columns]
+        return self.folded.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(n) for n, c in features.items()])
+
+    def validate(self, sets: Sequence[Mapping[str, str]]) -> list[Validation]:
+        if self.algebra is None:
+            return [validate_folds(self.regressor, self.projection(s), self.setting) for s in sets]
+        params, methods = self.regressor.params, methods_of(self.setting)
+        columns = [list(s.values()) for s in sets]
+        found = [self.algebra.scores(columns, m, params["alpha"], params["l1_ratio"], self.stage) for m in methods]
+        return [
+            _validation([(f, m, scores[s][f]) for f in range(self.setting.cv) for m, scores in zip(methods, found)], self.setting)
+            for s in range(len(sets))]
+
+
+def _validation(tried: Sequence[tuple], setting: Setting, chosen: Sequence[float] | None = None) -> Validation:
+    """Summary of ``(fold, way of treating gaps, scores)``: in each fold the way of lowest score counts."""
+    chosen = [getattr(s, setting.score) for _, _, s in tried] if chosen is None else chosen
+    best = [
+        min((i for i, t in enumerate(tried) if t[0] == fold), key=lambda i: (chosen[i], i))
+        for fold in dict.fromkeys(t[0] for t in tried)]
+    methods = Counter(tried[i][1] for i in best)
+    return Validation(
+        *(metrics.summarise([getattr(tried[i][2], n) for i in best]) for n in ("sigma", "eta", "score", "total")),
+        preprocessing=methods.most_common(1)[0][0], chosen=metrics.summarise([chosen[i] for i in best]),
+    )
+
+
 def validate_parts(regressor: Regressor, parts: Sequence[Part], setting: Setting) -> Validation:
     """Cross-validation of parts that are preprocessed already; all fits share one pool."""
     spark = parts[0].train.sparkSession
     tried = run_all(spark, [lambda p=p: _fit(regressor, p, setting) for p in parts], setting.parallelism)
     scores, chosen = _scored([t.table for t in tried], setting)
-    best = [
-        min((i for i, p in enumerate(parts) if p.fold == fold), key=lambda i: (chosen[i], i))
-        for fold in dict.fromkeys(p.fold for p in parts)]
-    methods = Counter(parts[i].method for i in best)
-    return Validation(
-        *(metrics.summarise([getattr(scores[i], n) for i in best]) for n in ("sigma", "eta", "score", "total")),
-        preprocessing=methods.most_common(1)[0][0], chosen=metrics.summarise([chosen[i] for i in best]),
-    )
+    return _validation([(p.fold, p.method, s) for p, s in zip(parts, scores)], setting, chosen)

@@ -48,6 +48,11 @@ class Regressor:
     params: dict = field(default_factory=dict)
     scaling: str | None = None
 
+    @property
+    def linear(self) -> bool:
+        """Whether coefficients follow from sums of products alone."""
+        return self.family is _linear
+
     def with_params(self, **params) -> "Regressor":
         return replace(self, params={**self.params, **params})
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from skylattice.functions.names import band_subsets
-from skylattice.learn.evaluate import Setting, Validation, cross_validate, validate_folds, with_folds
+from skylattice.learn.evaluate import SetValidator, Setting, Validation, cross_validate, validate_folds, with_folds
 from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import Regressor
 from skylattice.operators import folds
@@ -32,18 +32,13 @@ def _with_shuffled(df: DataFrame, setting: Setting) -> tuple[DataFrame, list[str
         folded, setting.key, names, [f"_moved{i}" for i in range(len(names))], seed=setting.seed + 1), names
 
 
-def _ranked(regressor: Regressor, wide: DataFrame, names: Sequence[str], left: Sequence[str], setting: Setting) -> tuple[Validation, list[dict]]:
-    """Validation on the features ``left``, and what each of them gives; all are projections of ``wide``."""
-    others = [c for c in wide.columns if c not in names and not c.startswith("_moved")]
-
-    def view(shuffled: str | None) -> DataFrame:
-        features = [F.col(f"_moved{names.index(c)}").alias(c) if c == shuffled else F.col(f"`{c}`") for c in left]
-        return wide.select(*[F.col(f"`{c}`") for c in others], *features)
-
-    whole = validate_folds(regressor, view(None), setting)
+def _ranked(validator: SetValidator, names: Sequence[str], left: Sequence[str]) -> tuple[Validation, list[dict]]:
+    """Validation on the features ``left``, and what each of them gives."""
+    plain = {c: c for c in left}
+    whole, *moved = validator.validate([plain] + [plain | {c: f"_moved{names.index(c)}"} for c in left])
     base, found = whole.chosen, []
-    for name in left:
-        score = validate_folds(regressor, view(name), setting).chosen
+    for name, v in zip(left, moved):
+        score = v.chosen
         found.append({
             "Feature": name, "score": base.mean - score.mean,
             "Weight": f"{score.mean - base.mean:.3f}+-{abs(base.error + score.error):.3f}",
@@ -51,6 +46,10 @@ def _ranked(regressor: Regressor, wide: DataFrame, names: Sequence[str], left: S
     return whole, sorted(found, key=lambda f: f["score"])
 
 
+def _all_features(wide: DataFrame, names: Sequence[str]) -> list[str]:
+    return [*names, *[c for c in wide.columns if c.startswith("_moved")]]
+
+
 def permutation_importance(regressor: Regressor, df: DataFrame, setting: Setting) -> list[dict]:
     """Score with one feature shuffled minus the score as it is, per feature.
 
@@ -59,7 +58,8 @@ def permutation_importance(regressor: Regressor, df: DataFrame, setting: Setting
     """
     with staging(df.sparkSession) as stage:
         wide, names = _with_shuffled(df, setting)
-        return _ranked(regressor, stage(wide), names, names, setting)[1]
+        wide = stage(wide)
+        return _ranked(SetValidator(regressor, wide, _all_features(wide, names), setting, stage), names, names)[1]
 
 
 def eliminate_features(regressor: Regressor, df: DataFrame, setting: Setting) -> tuple[DataFrame, list[str]]:
@@ -71,8 +71,9 @@ def eliminate_features(regressor: Regressor, df: DataFrame, setting: Setting) ->
     with staging(df.sparkSession) as stage:
         wide, names = _with_shuffled(df, setting)
         wide, left, best = stage(wide), list(names), None
+        validator = SetValidator(regressor, wide, _all_features(wide, names), setting, stage)
         while left:
-            whole, ranked = _ranked(regressor, wide, names, left, setting)
+            whole, ranked = _ranked(validator, names, left)
             if best is not None and whole.chosen.mean >= best:
                 left.append(dropped.pop())
                 break
@@ -95,10 +96,14 @@ def morphology_gain(
     found = []
     with staging(df.sparkSession) as stage:
         folded = stage(with_folds(df.drop(MORPHOLOGY_EXCLUDED), setting))
-        for left_out in band_subsets(bands):
-            with_shapes = folded.drop(*left_out)
-            a = validate_folds(regressor, with_shapes, setting).chosen
-            b = validate_folds(regressor, with_shapes.drop(*features), setting).chosen
+        names = feature_columns(folded, setting.target, setting.bookkeeping)
+        subsets = band_subsets(bands)
+        sets = []
+        for left_out in subsets:
+            with_shapes = {c: c for c in names if c not in left_out}
+            sets += [with_shapes, {c: c for c in with_shapes if c not in features}]
+        scores = [v.chosen for v in SetValidator(regressor, folded, names, setting, stage).validate(sets)]
+        for left_out, a, b in zip(subsets, scores[::2], scores[1::2]):
             found.append({
                 "bands": "".join(sorted(set(bands) - set(left_out))),
                 "score diff.": report(a.mean - b.mean, a.error + b.error),
@@ -109,14 +114,42 @@ def morphology_gain(
     return sorted(found, key=lambda f: f["score"])
 
 
+@dataclass(frozen=True)
+class FeatureSets(Sequence):
+    """Feature sets over one table with folds; as a sequence, one projection of the table each.
+
+    ``sets`` map feature names to columns of the table, ``keep`` are the columns of every projection.
+    """
+
+    table: DataFrame
+    sets: tuple[dict[str, str], ...]
+    keep: tuple[str, ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys(c for s in self.sets for c in s.values()))
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return FeatureSets(self.table, self.sets[i], self.keep)
+        return self.table.select(*[F.col(f"`{c}`") for c in self.keep], *[F.col(f"`{c}`").alias(n) for n, c in self.sets[i].items()])
+
+
 def select_features(
     regressor: Regressor, variants: Sequence[DataFrame], setting: Setting, max_variants: int | None = None
 ) -> tuple[int, list[Validation]]:
     """Number of the variant with the lowest score, and all validations.
 
-    Variants that carry a ``fold`` column are projections of one folded table and are read from it
-    as they are; others are folded one by one.
+    :class:`FeatureSets` share the passes over their table. Variants that carry a ``fold`` column are projections
+    of one folded table and are read from it as they are; others are folded one by one.
     """
+    if isinstance(variants, FeatureSets):
+        with staging(variants.table.sparkSession) as stage:
+            results = SetValidator(regressor, variants.table, variants.columns, setting, stage).validate(variants.sets[:max_variants])
+        return min(range(len(results)), key=lambda i: results[i].chosen.mean), results
     results = [
         (validate_folds if "fold" in v.columns else cross_validate)(regressor, v, setting)
         for v in variants[:max_variants]

@@ -75,6 +75,26 @@ def scores_by(
     return result
 
 
+def grouped_scores(df: DataFrame, group: str, dz: str, groups: int) -> dict[int, Scores]:
+    """Scores of many prediction sets, from a long table of a set's number and a relative error.
+
+    All sets share the passes, however many there are.
+    """
+    error = F.col(dz)
+    simple = {r["g"]: r for r in df.where(error.isNotNull()).groupBy(F.col(group).cast("int").alias("g")).agg(
+        F.avg(error).alias("bias"), F.avg(F.when(F.abs(error) > OUTLIER_LIMIT, 1.0).otherwise(0.0)).alias("eta"),
+        F.count(F.when(present(error), 1)).alias("n")).collect()}
+    for g in range(groups):
+        if g not in simple or not simple[g]["n"]:
+            raise ValueError(f"no predictions for {group} = {g}")
+    counts = {g: r["n"] for g, r in simple.items()}
+    middle = order_stats.grouped_medians(df, group, dz, counts)
+    centres = F.array(*[F.lit(middle[g]) for g in range(groups)])
+    away = df.select(group, F.abs(error - F.get(centres, F.col(group).cast("int"))).alias("_away"))
+    spread = order_stats.grouped_medians(away, group, "_away", counts)
+    return {g: Scores(MAD_FACTOR * spread[g], simple[g]["eta"], simple[g]["bias"], counts[g]) for g in range(groups)}
+
+
 @dataclass(frozen=True)
 class Summary:
     """Mean over folds and its error, population deviation over the root of the fold count."""

@@ -14,7 +14,7 @@ import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
 BUCKETS = 4096
@@ -146,3 +146,63 @@ def _narrow(df: DataFrame, targets: list[_Target], wanted: dict[int, int]) -> No
                 t.low, t.high, t.inside = low, high, n
                 break
             wanted[id(t)] -= n
+
+
+def grouped_order_statistics(df: DataFrame, group: str, value: str, ranks: Mapping[int, Sequence[int]]) -> dict[int, list[float]]:
+    """Values at zero-based ranks within each group of a long table; NULL and NaN are not counted, infinities refused.
+
+    For many groups, numbered by a small column. A pass is a grouped count by interval and part; the part that
+    holds a rank is found from running sums, so two rows at most per wanted rank reach the driver. The intervals,
+    as many as ranks at most, are sent to the tasks.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    ends = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    targets, wanted = [], {}
+    for g, of in ranks.items():
+        for rank in of:
+            if g not in ends or not 0 <= rank < ends[g]["n"]:
+                raise ValueError(f"rank {rank} outside the {ends[g]['n'] if g in ends else 0} values of group {g}")
+            if math.isinf(ends[g]["lo"]) or math.isinf(ends[g]["hi"]):
+                raise ValueError(f"group {g} holds infinities")
+            targets.append(_Target(str(g), rank, False, ends[g]["lo"], ends[g]["hi"], ends[g]["n"]))
+            wanted[id(targets[-1])] = rank
+    while open_ := [t for t in targets if not _settled(t, wanted)]:
+        spans = {k: i for i, k in enumerate(dict.fromkeys((int(t.column), t.low, t.high) for t in open_))}
+        parts = max(64, min(BUCKETS, (1 << 18) // len(spans)))
+        sent = spark.createDataFrame([(i, *k) for k, i in spans.items()], "span int, g int, low double, high double")
+        asked = spark.createDataFrame(
+            [(spans[int(t.column), t.low, t.high], i, wanted[id(t)]) for i, t in enumerate(open_)], "span int, t int, rank long")
+        # halves, so that the width of an interval stays finite
+        part = F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * parts).cast("int")
+        counted = rows.join(F.broadcast(sent), "g").where("x >= low AND x <= high").groupBy(
+            "span", F.least(F.lit(parts - 1), part).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("span").orderBy("b")))
+        found = upto.join(F.broadcast(asked), "span").where("rank < upto AND rank >= upto - n").select(
+            "t", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n", "lo", "hi")
+        for r in found.collect():
+            t = open_[r["t"]]
+            t.low, t.high, t.inside = r["lo"], r["hi"], r["n"]
+            wanted[id(t)] = r["rank"]
+    result: dict[int, list[float]] = {g: [] for g in ranks}
+    for t in targets:
+        result[int(t.column)].append(t.value)
+    return result
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, shares: Sequence[float], counts: Mapping[int, int]) -> dict[int, list[float]]:
+    """Exact quantiles of each group, linear between neighbouring ranks; ``counts`` are the present values by group."""
+    spots = {g: [share * (n - 1) for share in shares] for g, n in counts.items() if n}
+    ranks = {g: sorted({r for s in at for r in (math.floor(s), math.ceil(s))}) for g, at in spots.items()}
+    found = grouped_order_statistics(df, group, value, ranks)
+    result = {}
+    for g, at in spots.items():
+        v = dict(zip(ranks[g], found[g]))
+        result[g] = [v[math.floor(s)] + (v[math.ceil(s)] - v[math.floor(s)]) * (s - math.floor(s)) for s in at]
+    return result
+
+
+def grouped_medians(df: DataFrame, group: str, value: str, counts: Mapping[int, int]) -> dict[int, float]:
+    """Exact medians of each group that has values, the mean of the two middle ones for an even count."""
+    ranks = {g: sorted({(n - 1) // 2, n // 2}) for g, n in counts.items() if n}
+    return {g: sum(v) / len(v) for g, v in grouped_order_statistics(df, group, value, ranks).items()}
