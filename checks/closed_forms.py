@@ -40,6 +40,13 @@ def predicted(model, feature: str, weighted: bool = False):
     return query
 
 
+def least_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the two sides of the first split one at most has the rows to be split again."""
+    part, test = holdout_parts(table(spark, sf, "r").withColumn("w", F.lit(0.5) + (F.col("obj_id") % 7) / 4), SETTING)
+    model = STUMP.with_params(maxDepth=2, minRowsToSplit=SPLIT * part.count() // 100)
+    return rounded(fit_predict(model, part, test, selection.with_setting(SETTING, weight="w")).table, "y_test", "y_pred", digits=6)
+
+
 def validated(spark, v) -> DataFrame:
     rows = [{"measure": n, "mean": round(getattr(v, n).mean, 8), "error": round(getattr(v, n).error, 8)} for n in ("sigma", "eta", "score", "total")]
     return selection.report_table(spark, rows, "measure string, mean double, error double")
@@ -99,6 +106,8 @@ def methods(spark: SparkSession, sf: str) -> DataFrame:
 ALPHAS = (0.0005, 0.05, 0.5)
 KERNEL_POINTS = [{"degree": 1, "alpha": a, "gamma": 1.0, "coef0": 2.5} for a in (0.6, 3000.0, 30000.0)]
 LEAVES = (1, 4000)
+#: Percent of the rows that a node must have to be split again in ``closed_forest_least_split``: more than one side can have.
+SPLIT = 55
 
 
 def searched(name: str, points: list[dict]):
@@ -166,21 +175,30 @@ def _kernel(alpha: str = "6e-1", rel: str = "rel", out: str = "pred") -> str:
     )
 
 
-def _stump(y: str = "y", rel: str = "rel", out: str = "pred", least: str = "1") -> str:
-    """Best single split by squared error, and the means on both sides, for all rows of ``rel``."""
+def _stump(y: str = "y", rel: str = "rel", out: str = "pred", least: str = "1", ridge: str = "0e0", split: str = "2") -> str:
+    """Best single split by second-order gain, the answers on both sides and the gain, for all rows of ``rel``."""
     return (
         f"{out}_v AS (SELECT k, x, sum(w) AS n, sum(w*{y}) AS s, count(*) AS rows FROM {rel} WHERE is_train GROUP BY k, x),"
         f" {out}_c AS (SELECT k, x, lead(x) OVER o AS nx, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(rows) OVER o AS rl,"
         f" sum(n) OVER a AS nt, sum(s) OVER a AS st, sum(rows) OVER a AS rt FROM {out}_v WINDOW o AS (PARTITION BY k ORDER BY x), a AS (PARTITION BY k)),"
-        f" {out}_t AS (SELECT k, arg_max(struct_pack(cut := (x+nx)/2e0, l := sl/nl, r := (st-sl)/(nt-nl)), sl*sl/nl+(st-sl)*(st-sl)/(nt-nl)) AS t"
-        f" FROM {out}_c WHERE nx IS NOT NULL AND rl>=({least}) AND rt-rl>=({least}) GROUP BY k),"
-        f" {out}_m AS (SELECT k, sum(s)/sum(n) AS m FROM {out}_v GROUP BY k),"
-        f" {out}_all AS (SELECT {rel}.*, CASE WHEN t.t IS NULL THEN m.m WHEN x<=t.t.cut THEN t.t.l ELSE t.t.r END AS p"
+        f" {out}_g AS (SELECT *, sl*sl/(nl+{ridge})+(st-sl)*(st-sl)/(nt-nl+{ridge}) AS top FROM {out}_c"
+        f" WHERE nx IS NOT NULL AND rl>=({least}) AND rt-rl>=({least}) AND rt>=({split})),"
+        f" {out}_t AS (SELECT k, arg_max(struct_pack(cut := (x+nx)/2e0, l := sl/(nl+{ridge}), r := (st-sl)/(nt-nl+{ridge}), gain := top-st*st/(nt+{ridge})), top) AS t"
+        f" FROM {out}_g GROUP BY k),"
+        f" {out}_m AS (SELECT k, sum(s)/(sum(n)+{ridge}) AS m FROM {out}_v GROUP BY k),"
+        f" {out}_all AS (SELECT {rel}.*, CASE WHEN t.t IS NULL THEN m.m WHEN x<=t.t.cut THEN t.t.l ELSE t.t.r END AS p, m.m AS unsplit,"
+        f" CASE WHEN t.t IS NULL THEN 0 WHEN x<=t.t.cut THEN 1 ELSE 2 END AS side, coalesce(t.t.gain, 0e0) AS gain"
         f" FROM {rel} JOIN {out}_m m USING (k) LEFT JOIN {out}_t t USING (k)),"
         f" {out} AS (SELECT k, obj_id, y, p FROM {out}_all WHERE NOT is_train)"
     )
 
 
+def _two_levels(rel: str = "rel", out: str = "pred", **limits) -> str:
+    """The best split and the best splits of both sides."""
+    return (f"{_stump(rel=rel, out='upper', **limits)}, lower_rel AS (SELECT k*3+side AS k, is_train, obj_id, y, x, w FROM upper_all),"
+            f" {_stump(rel='lower_rel', out=out, **limits)}")
+
+
 def _scores(pred: str = "pred", out: str = "sc") -> str:
     return (
         f"{out}_d AS (SELECT k, (y-p)/(1e0+y) AS dz FROM {pred}), {out}_m AS (SELECT k, median(dz) AS m, avg(dz) AS b FROM {out}_d GROUP BY k),"
@@ -200,13 +218,22 @@ _PREDICTED = " SELECT obj_id, round(y,6) AS y_test, round(p,6) AS y_pred FROM pr
 _TRAIN = f"WITH {ctes('train')}, "
 
 
-def _boosted(rounds: int, least: int = 1, rate: str = "5e-2") -> str:
-    first = _stump(out="one", least=str(least))
-    if rounds == 1:
-        return f"{_TRAIN}{_held_rel('g')}, {first} SELECT obj_id, round(y,6) AS y_test, round(p,6) AS y_pred FROM one"
-    second = _stump(y="z", rel="rest", out="two", least=str(least))
-    return (f"{_TRAIN}{_held_rel('g')}, {first}, rest AS (SELECT k, is_train, obj_id, y, x, w, p AS p0, 2e0*(y-p) AS z FROM one_all), {second}"
-            f" SELECT obj_id, round(y,6) AS y_test, round(p0+{rate}*p,6) AS y_pred FROM two_all WHERE NOT is_train")
+def _boosted(rounds: int, rate: str = "5e-2", base: str = "avg(y)", **limits) -> str:
+    """Stumps on what the answers so far leave, each taken at a rate."""
+    steps = [f"b0 AS (SELECT *, (SELECT {base} FROM rel WHERE is_train) AS f0 FROM rel)"]
+    for r in range(rounds):
+        steps.append(f"z{r} AS (SELECT k, is_train, obj_id, y, x, w, f{r}, y-f{r} AS z FROM b{r}), {_stump(y='z', rel=f'z{r}', out=f's{r}', **limits)},"
+                     f" b{r + 1} AS (SELECT k, is_train, obj_id, y, x, w, f{r}+{rate}*p AS f{r + 1} FROM s{r}_all)")
+    return f"{_TRAIN}{_held_rel('g')}, {', '.join(steps)} SELECT obj_id, round(y,6) AS y_test, round(f{rounds},6) AS y_pred FROM b{rounds} WHERE NOT is_train"
+
+
+def _three_leaves(rate: str = "5e-2", least: str = "11") -> str:
+    """One round by best leaf: of the two sides the one that gains more is split again."""
+    return (f"{_TRAIN}{_held_rel('g')}, b0 AS (SELECT *, (SELECT avg(y) FROM rel WHERE is_train) AS f0 FROM rel), z0 AS (SELECT *, y-f0 AS z FROM b0),"
+            f" {_stump(y='z', rel='z0', out='upper', least=least)},"
+            f" sides AS (SELECT k*3+side AS k, is_train, obj_id, y, x, w, f0, z FROM upper_all), {_stump(y='z', rel='sides', out='lower', least=least)}"
+            f" SELECT obj_id, round(y,6) AS y_test, round(f0+{rate}*CASE WHEN k=(SELECT arg_max(k, gain) FROM lower_all) THEN p ELSE unsplit END,6) AS y_pred"
+            " FROM lower_all WHERE NOT is_train")
 
 
 def _gaps(fill: str | None, number: int) -> str:
@@ -291,10 +318,12 @@ QUERIES = {
     "closed_krr": predicted(KERNEL, "g"),
     "closed_forest": predicted(STUMP, "g"),
     "closed_forest_weighted": predicted(STUMP, "g", weighted=True),
+    "closed_forest_two_levels": predicted(STUMP.with_params(maxDepth=2), "g"),
+    "closed_forest_least_split": least_split,
     "closed_gbr_one_round": predicted(regressor("GBR").with_params(maxIter=1, **TREE), "g"),
     "closed_gbr": predicted(regressor("GBR").with_params(maxIter=2, **TREE), "g"),
-    "closed_xgb": predicted(regressor("XGB").with_params(maxIter=2, **TREE), "g"),
-    "closed_lgb": predicted(regressor("LGB").with_params(maxIter=2, subsamplingRate=1.0, **TREE), "g"),
+    "closed_xgb": predicted(regressor("XGB").with_params(maxIter=2, ridge=50.0, **TREE), "g"),
+    "closed_lgb": predicted(regressor("LGB").with_params(maxIter=1, leaves=3, subsamplingRate=1.0, maxBins=2048), "g"),
     "closed_validate": validate(LASSO, "g", "mean"),
     "closed_validate_gaps": validate(LASSO, "u", "drop"),
     "closed_validation_part": validate_part,
@@ -317,10 +346,13 @@ ORACLES = {
     "closed_forest": f"{_TRAIN}{_held_rel('g')}, {_stump()}{_PREDICTED}",
     "closed_forest_weighted": f"{_TRAIN}{PARTS}, rel AS (SELECT 0 AS k, part='train' AS is_train, obj_id, z_spec AS y, g AS x,"
                               f" 5e-1+(obj_id%7)/4e0 AS w FROM held), {_stump()}{_PREDICTED}",
+    "closed_forest_two_levels": f"{_TRAIN}{_held_rel('g')}, {_two_levels()}{_PREDICTED}",
+    "closed_forest_least_split": f"{_TRAIN}{PARTS}, rel AS (SELECT 0 AS k, part='train' AS is_train, obj_id, z_spec AS y, r AS x,"
+                                 f" 5e-1+(obj_id%7)/4e0 AS w FROM held), {_two_levels(split=f'(SELECT {SPLIT}*count(*)//100 FROM rel WHERE is_train)')}{_PREDICTED}",
     "closed_gbr_one_round": _boosted(1),
     "closed_gbr": _boosted(2),
-    "closed_xgb": _boosted(2, rate="3e-1"),
-    "closed_lgb": _boosted(2, least=6),
+    "closed_xgb": _boosted(2, rate="3e-1", base="min(5e-1)", ridge="5e1"),
+    "closed_lgb": _three_leaves(),
     "closed_validate": f"{_TRAIN}{_fold_rel('g')}, {_linear()}, {_scores()} {_summary()}",
     "closed_validate_gaps": f"{_TRAIN}{_folded()}, {_gaps(None, 0)}, {_linear(rel='g0')}, {_scores()} {_summary()}",
     "closed_validation_part": f"{_TRAIN}held AS (SELECT *, CASE WHEN {mixed_sql('obj_id', 0)}<{LIMIT} THEN 'test' WHEN {mixed_sql('obj_id', 1)}<{LIMIT}"

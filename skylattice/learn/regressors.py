@@ -14,18 +14,21 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from skylattice.learn import trees
 from skylattice.learn.features import FEATURES, assemble
 from skylattice.operators import scale
-from skylattice.session import checkpointing
+from skylattice.session import staging
 
 LABEL, PREDICTION, WEIGHT = "y_test", "y_pred", "_weight"
 #: Columns of a kernel's explicit map, at most: its Gram matrix, of their square, is summed in every task.
 MAX_MAP_WIDTH = 4000
+#: Bins of a feature in trees whose preset names none.
+MAX_BINS = 256
 
 
 @dataclass(frozen=True)
@@ -81,15 +84,32 @@ def _estimate(estimator, table: DataFrame, weighted: bool):
     return (estimator.setWeightCol(WEIGHT) if weighted else estimator).fit(table)
 
 
+def _share(rule: str, inputs: int) -> float:
+    """Share of the features that a rule allows."""
+    return {"all": 1.0, "sqrt": math.sqrt(inputs) / inputs}.get(rule) or float(rule)
+
+
 def _forest(table, params, weighted, inputs):
-    model = _estimate(RandomForestRegressor(**params), table, weighted)
-    return model.transform
+    growth = trees.Growth(
+        depth=params["maxDepth"], least_split=params.get("minRowsToSplit", 2), least_leaf=params.get("minInstancesPerNode", 1),
+        node_features=_share(params.get("featureSubsetStrategy", "all"), inputs), bootstrap=params.get("bootstrap", True),
+        absolute=params.get("criterion", "squared") == "absolute", seed=params.get("seed", 0))
+    with staging(table.sparkSession) as stage:
+        model = trees.forest(table, params["numTrees"], growth, params.get("maxBins", MAX_BINS), inputs, stage)
+    return lambda df: model.transform(df, PREDICTION)
 
 
 def _boosting(table, params, weighted, inputs):
-    checkpointing(table.sparkSession)
-    model = _estimate(GBTRegressor(**params), table, weighted)
-    return model.transform
+    share = _share(params.get("featureSubsetStrategy", "all"), inputs)
+    growth = trees.Growth(
+        depth=params.get("maxDepth", trees.NO_LIMIT), leaves=params.get("leaves"), least_leaf=params.get("minInstancesPerNode", 1),
+        least_hessian=params.get("leastHessian", 0.0), ridge=params.get("ridge", 0.0), least_gain=params.get("leastGain", 0.0),
+        **{"tree_features" if params.get("featuresByTree") else "node_features": share},
+        rows=params.get("subsamplingRate", 1.0), redraw=params.get("redraw", 1), seed=params.get("seed", 0))
+    with staging(table.sparkSession) as stage:
+        model = trees.boosted(table, params["maxIter"], params["stepSize"], growth, params.get("maxBins", MAX_BINS), inputs, stage,
+                              params.get("base"), params.get("weightedBins", False))
+    return lambda df: model.transform(df, PREDICTION)
 
 
 def _linear(table, params, weighted, inputs):
@@ -236,10 +256,10 @@ REGRESSORS: dict[str, Regressor] = {
     "GBR": Regressor("GBR", _boosting, {
         "maxIter": 3000, "stepSize": 0.05, "maxDepth": 4, "featureSubsetStrategy": "sqrt", "seed": 0}),
     "XGB": Regressor("XGB", _boosting, {
-        "maxIter": 2200, "stepSize": 0.3, "maxDepth": 3, "featureSubsetStrategy": "all", "seed": 0}),
+        "maxIter": 2200, "stepSize": 0.3, "maxDepth": 3, "ridge": 1.0, "leastHessian": 1.0, "base": 0.5, "weightedBins": True, "seed": 0}),
     "LGB": Regressor("LGB", _boosting, {
-        "maxIter": 720, "stepSize": 0.05, "maxDepth": 3, "maxBins": 55, "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.2319", "minInstancesPerNode": 6, "seed": 0}),
+        "maxIter": 720, "stepSize": 0.05, "leaves": 5, "maxBins": 55, "subsamplingRate": 0.8, "redraw": 5,
+        "featureSubsetStrategy": "0.2319", "featuresByTree": True, "minInstancesPerNode": 6, "leastHessian": 11.0, "seed": 9}),
     "LASSO": Regressor("LASSO", _linear, {"alpha": 0.0005, "l1_ratio": 1.0}, "robust"),
     "ENET": Regressor("ENET", _linear, {"alpha": 0.0005, "l1_ratio": 0.9}, "robust"),
     "KRR": Regressor("KRR", _kernel_ridge, {"degree": 2, "alpha": 0.6, "coef0": 2.5}, "standard"),

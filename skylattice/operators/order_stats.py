@@ -148,16 +148,22 @@ def _narrow(df: DataFrame, targets: list[_Target], wanted: dict[int, int]) -> No
             wanted[id(t)] -= n
 
 
-def grouped_order_statistics(df: DataFrame, group: str, value: str, ranks: Mapping[int, Sequence[int]]) -> dict[int, list[float]]:
+def grouped_order_statistics(
+    df: DataFrame, group: str, value: str, ranks: Mapping[int, Sequence[float]], weight: str | None = None
+) -> dict[int, list[float]]:
     """Values at zero-based ranks within each group of a long table; NULL and NaN are not counted, infinities refused.
 
+    With ``weight`` a rank is a position in the sum of weights in order of the values: the least value up to which
+    the weights exceed it. Rows without a positive weight are not counted.
+
     For many groups, numbered by a small column. A pass is a grouped count by interval and part; the part that
     holds a rank is found from running sums, so two rows at most per wanted rank reach the driver. The intervals,
     as many as ranks at most, are sent to the tasks.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    ends = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    size = F.lit(1) if weight is None else F.col(weight).cast("double")
+    rows = df.select(F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("x"), size.alias("w")).where("x IS NOT NULL AND NOT isnan(x) AND w > 0")
+    ends = {r["g"]: r for r in rows.groupBy("g").agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     targets, wanted = [], {}
     for g, of in ranks.items():
         for rank in of:
@@ -165,24 +171,28 @@ def grouped_order_statistics(df: DataFrame, group: str, value: str, ranks: Mappi
                 raise ValueError(f"rank {rank} outside the {ends[g]['n'] if g in ends else 0} values of group {g}")
             if math.isinf(ends[g]["lo"]) or math.isinf(ends[g]["hi"]):
                 raise ValueError(f"group {g} holds infinities")
-            targets.append(_Target(str(g), rank, False, ends[g]["lo"], ends[g]["hi"], ends[g]["n"]))
-            wanted[id(targets[-1])] = rank
+            targets.append(_Target(str(g), rank, False, ends[g]["lo"], ends[g]["hi"], ends[g]["n"] if weight is None else math.inf))
+            wanted[id(targets[-1])] = int(rank) if weight is None else float(rank)
     while open_ := [t for t in targets if not _settled(t, wanted)]:
         spans = {k: i for i, k in enumerate(dict.fromkeys((int(t.column), t.low, t.high) for t in open_))}
         parts = max(64, min(BUCKETS, (1 << 18) // len(spans)))
         sent = spark.createDataFrame([(i, *k) for k, i in spans.items()], "span int, g int, low double, high double")
         asked = spark.createDataFrame(
-            [(spans[int(t.column), t.low, t.high], i, wanted[id(t)]) for i, t in enumerate(open_)], "span int, t int, rank long")
+            [(spans[int(t.column), t.low, t.high], i, wanted[id(t)]) for i, t in enumerate(open_)],
+            f"span int, t int, rank {'long' if weight is None else 'double'}")
         # halves, so that the width of an interval stays finite
         part = F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * parts).cast("int")
         counted = rows.join(F.broadcast(sent), "g").where("x >= low AND x <= high").groupBy(
-            "span", F.least(F.lit(parts - 1), part).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("span").orderBy("b")))
-        found = upto.join(F.broadcast(asked), "span").where("rank < upto AND rank >= upto - n").select(
-            "t", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n", "lo", "hi")
+            "span", F.least(F.lit(parts - 1), part).alias("b")).agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        turn = Window.partitionBy("span").orderBy("b")
+        upto = counted.withColumn("upto", F.sum("n").over(turn)).withColumns({
+            "before": F.coalesce(F.lag("upto").over(turn), F.lit(0)), "last": F.lead("b").over(turn).isNull()})
+        # Sums of weights are rounded: what lies beyond the last of them belongs to the last part.
+        found = upto.join(F.broadcast(asked), "span").where("rank >= before AND (rank < upto OR last)").select(
+            "t", (F.col("rank") - F.col("before")).alias("rank"), "n", "lo", "hi")
         for r in found.collect():
             t = open_[r["t"]]
-            t.low, t.high, t.inside = r["lo"], r["hi"], r["n"]
+            t.low, t.high, t.inside = r["lo"], r["hi"], r["n"] if weight is None else math.inf
             wanted[id(t)] = r["rank"]
     result: dict[int, list[float]] = {g: [] for g in ranks}
     for t in targets:

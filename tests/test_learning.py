@@ -212,7 +212,8 @@ def test_importance_writes_one_table(spark, monkeypatch):
     @contextmanager
     def counting(s):
         with real(s) as stage:
-            yield lambda df: written.append(1) or stage(df)
+            # tables of errors, which hold no features, are not counted
+            yield lambda df: stage(df) if "dz" in df.columns else written.append(1) or stage(df)
 
     monkeypatch.setattr(module, "staging", counting)
     module.permutation_importance(regressor("LASSO"), frame(spark, x, z), SETTING)
