@@ -44,6 +44,11 @@ def quantised(full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, error
 
 
+def _levelled(full: np.ndarray) -> np.ndarray:
+    """Vectors with their largest component near one, by exact powers of two: lengths neither overflow nor vanish."""
+    return np.ldexp(full, -np.frexp(np.abs(full).max(axis=1, keepdims=True))[1])
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
@@ -96,7 +101,7 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TI
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        full = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+        full = _levelled(np.stack(rows["vector"].to_numpy()).astype(np.float64))
         q, scale, error = quantised(full)
         one = rows.iloc[0]
         return pd.DataFrame([{

@@ -9,7 +9,7 @@ it a text is marked as rejected.
 
 As the model is linear after the average, scoring needs one row of logits per different word.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0 and rejected; without any
+Defined results: letters are those of Unicode, so numerals such as ½ or Ⅷ are none; a null id has no fold and is never learnt from; a null text, or one without any letter, is ``und`` with score 0 and rejected; without any
 texts to learn from, every text is ``und``; an empty table gives an empty table.
 """
 
@@ -37,6 +37,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 300_000
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters of a text, in lower case; numerals that are no digits are no letters either."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return " ".join(w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w) for w in found).split()
+
+
 def subwords(word: str) -> list[int]:
     """Bucket of the word and of each of its n-grams."""
     marked, digest = f"<{word}>", xxhash.xxh32_intdigest
@@ -54,7 +62,7 @@ class Subwords(dict):
 def features(text: str | None, known: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """Share of each bucket among the subwords of a whole text."""
     total = np.zeros(BUCKETS, np.float32)
-    for word, times in Counter(_WORD.findall((text or "").lower())).items():
+    for word, times in Counter(letters(text or "")).items():
         np.add.at(total, known[word], times)
     index = np.flatnonzero(total)
     return index, total[index] / max(1.0, float(total.sum()))
@@ -166,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         #: Sum of logits and number of subwords of each known word.
         rows = np.zeros((0, len(model.languages) + 1 if model else 1))
         for b in batches:
-            words = [Counter(_WORD.findall(t.lower())) if t and model else Counter() for t in b.column(1).to_pylist()]
+            words = [Counter(letters(t)) if t and model else Counter() for t in b.column(1).to_pylist()]
             flat, lengths = [], []
             for found in words:
                 for w in found:

@@ -9,7 +9,7 @@ those folds that took no part in the risk turns margins into probabilities.
 
 Learning uses a bounded sample (``Sample``), picked by a hash of the id; every text is scored whole.
 
-Defined results: a null text scores as an empty one; empty texts have no words and one bin for each figure;
+Defined results: a null id has no fold, is never learnt from and is scored; a null text scores as an empty one; empty texts have no words and one bin for each figure;
 an empty table gives an empty table; without any labels every score is 0.5.
 """
 

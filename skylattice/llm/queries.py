@@ -110,7 +110,7 @@ WITH units AS (
   SELECT *, strlen(unit) AS n, sum(strlen(unit) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no) - strlen(unit) - 1 AS start,
     translate(trim(regexp_replace(unit, '[ \t]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal FROM units
 ), marked AS (
-  SELECT *, strlen(normal) >= 20 AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, unit_no) > 1 AS gone FROM sized
+  SELECT *, regexp_matches(normal, '[^\\x09-\\x0D\\x20]') AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, unit_no) > 1 AS gone FROM sized
 )
 SELECT doc_id, CAST(sum(n + 1) - 1 AS BIGINT) AS n_bytes, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
   CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_bytes,

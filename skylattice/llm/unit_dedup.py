@@ -4,8 +4,7 @@ A unit is a line (or, with another ``separator``, a paragraph). It is normalised
 and tab to one space, trimming spaces and lower-casing A-Z. Of the units with one digest the earliest
 stays, by id and place in the text; the others are removed, and their offsets in the original text kept.
 
-Units whose normal form is shorter than ``least`` bytes stay; with 0 only units without visible content do.
-The registered query keeps ``LEAST``, as its SQL does. Defined results: a null text has no bytes and no units;
+Units without visible content stay; with ``least`` so do units whose normal form is shorter than so many bytes. Defined results: a null text has no bytes and no units;
 an empty text has one empty unit;
 rows that repeat an id are told apart by a digest of the text, so repeated rows are one document; rows with
 a null id are left out; an empty table gives an empty table. Other columns are ignored.
@@ -22,23 +21,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skylattice.llm.common import small_batches
 
-LEAST = 20
-
-
 def normalised(unit: Column) -> Column:
     plain = F.trim(F.regexp_replace(unit, r"[ \t]+", " "))
     return F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def units(docs: DataFrame, separator: str = "\n", least: int = LEAST) -> DataFrame:
+def units(docs: DataFrame, separator: str = "\n", least: int = 0) -> DataFrame:
     """``id, row, unit_no, digest`` of each unit of at least ``least`` bytes; with 0, of each with visible content."""
     cut = docs.where("id IS NOT NULL").select(
         "id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", F.lit(separator))).alias("unit_no", "unit"))
     return cut.select("id", "row", "unit_no", normalised(F.col("unit")).alias("normal")).where(
-        F.octet_length("normal") >= least if least else F.col("normal").rlike(r"\S")).select("id", "row", "unit_no", F.unhex(F.md5("normal")).alias("digest"))
+        F.octet_length("normal") >= least if least else F.col("normal").rlike(r"[^\x09-\x0D\x20]")).select("id", "row", "unit_no", F.unhex(F.md5("normal")).alias("digest"))
 
 
-def repeated(docs: DataFrame, separator: str = "\n", least: int = LEAST) -> DataFrame:
+def repeated(docs: DataFrame, separator: str = "\n", least: int = 0) -> DataFrame:
     """``id, row, gone`` with the numbers of the units that an earlier one has, for each document that has any."""
     found = units(docs, separator, least)
     place = F.struct("id", "row", "unit_no")
@@ -48,7 +44,7 @@ def repeated(docs: DataFrame, separator: str = "\n", least: int = LEAST) -> Data
     return later.groupBy("id", "row").agg(F.collect_set("unit_no").alias("gone"))
 
 
-def cut(docs: DataFrame, separator: str = "\n", least: int = LEAST) -> DataFrame:
+def cut(docs: DataFrame, separator: str = "\n", least: int = 0) -> DataFrame:
     """``id, n_bytes, n_units, n_removed, n_removed_bytes, kept_sha256, removed, kept`` per row of ``docs (id, text)``.
 
     ``removed`` holds ``unit_no, start, length`` in bytes of the original text for each unit taken out,

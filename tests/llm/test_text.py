@@ -66,6 +66,15 @@ def test_language_of_odd_texts(texts, docs):
     assert {r.lang_pred for r in language.identify(texts, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    assert language.letters("½ ②x²y Ⅷ a1b é漢 १२") == ["x", "y", "a", "b", "é漢"]
+    rows = [(1, "½ ²"), (2, "①② 12 ١"), (3, "the and"), (None, "the and of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    model = language.fit(docs)
+    got = {r.id: (r.lang_pred, r.score) for r in language.identify(docs.withColumnRenamed("doc_id", "id"), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == got[None][0]
+
+
 # --- decontamination -----------------------------------------------------------------------
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
