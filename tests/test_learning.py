@@ -81,7 +81,7 @@ def test_monomials_follow_the_expansion(spark):
     assert got == pytest.approx([2.0**a * 3.0**b * 5.0**c for a, b, c in monomials(3, 3)])
 
 
-SMALL = {"RF": {"numTrees": 10, "maxDepth": 6}, "GBR": {"maxIter": 15}, "XGB": {"maxIter": 10}, "LGB": {"maxIter": 15},
+SMALL = {"RF": {"numTrees": 10, "maxDepth": 6}, "GBR": {"maxIter": 15}, "XGB": {"maxIter": 10}, "LGB": {"maxIter": 15, "stepSize": 0.3},
          "LASSO": {}, "ENET": {}, "KRR": {}, "SVR": {"C": 10.0}}
 
 
