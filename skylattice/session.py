@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -58,15 +59,48 @@ def checkpointing(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+#: While a table is written, what was exchanged for it is given back as soon as it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writers, _before, _lock = 0, None, threading.Lock()
+
+
+@contextmanager
+def _frugal(spark: SparkSession) -> Iterator[None]:
+    """Writers side by side share the setting; the last one puts back what was there."""
+    global _writers, _before
+    with _lock:
+        if _writers == 0:
+            _before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if _writers == 0:
+                spark.conf.unset(_CLEANUP) if _before is None else spark.conf.set(_CLEANUP, _before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with _frugal(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The table written once to the shared folder and read back.
 
     For tables that several later steps read: each reads only its columns, none repeats the
     joins behind the table, and a lost executor costs a re-read.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}")
 
 
 @contextmanager
@@ -75,12 +109,9 @@ def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     folder = f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}"
 
     def stage(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return _written(df, f"{folder}/{uuid.uuid4().hex}")
 
     try:
         yield stage
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
