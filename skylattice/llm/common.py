@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylattice.session import shared_folder, staged
+from skylattice.session import shared_folder, staged, staging
 
-__all__ = ["components", "read", "shared_folder", "small_batches", "staged"]
+__all__ = ["components", "read", "shared_folder", "small_batches", "staged", "staging"]
 
 #: Rows of one Arrow batch. Whole texts travel in a batch, so a worker holds this many of them.
 BATCH_ROWS = 1000
@@ -41,17 +43,22 @@ def components(edges: DataFrame) -> DataFrame:
     are written to the shared folder, so the lineage stays short and a lost executor costs a re-read.
     Self links, repeated links and nulls are allowed; an empty table gives an empty table.
     """
+    with staging(edges.sparkSession) as stage:
+        now = staged(_stars(edges, stage))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _stars(edges: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges from each node to the least node of its component."""
     low, high = F.least("u", "v"), F.greatest("u", "v")
-    now = staged(edges.where("u != v").select(high.alias("u"), low.alias("v")).distinct())
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while not _is_star_forest(now):
+    now = stage(edges.where("u != v").select(high.alias("u"), low.alias("v")).distinct())
+    while not now.isEmpty() and not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = staged(small.select("e.*").where("u != v").distinct())
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        now = stage(small.select("e.*").where("u != v").distinct())
+    return now
