@@ -17,16 +17,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from skylattice.learn import trees
+from skylattice.learn import kernels, trees
 from skylattice.learn.features import FEATURES, assemble
 from skylattice.operators import scale
 from skylattice.session import staging
 
 LABEL, PREDICTION, WEIGHT = "y_test", "y_pred", "_weight"
-#: Columns of a kernel's explicit map, at most: its Gram matrix, of their square, is summed in every task.
-MAX_MAP_WIDTH = 4000
+#: Columns of a kernel's explicit map, at most: its Gram matrix, of their square, is summed in every task. Wider ones go by landmarks.
+MAX_MAP_WIDTH = 1000
 #: Bins of a feature in trees whose preset names none.
 MAX_BINS = 256
 
@@ -173,9 +172,8 @@ def _kernel_ridge(table, params, weighted, inputs):
     only this matrix, whose size depends on the number of features, reaches the driver.
     """
     degree, alpha, coef0 = params["degree"], params["alpha"], params["coef0"]
-    width = math.comb(inputs + degree, degree)
-    if width > MAX_MAP_WIDTH:
-        raise ValueError(f"a kernel of degree {degree} on {inputs} features has {width} terms, above {MAX_MAP_WIDTH}")
+    if math.comb(inputs + degree, degree) > MAX_MAP_WIDTH:
+        return _landmark_ridge(table, params, inputs)
     gamma = params.get("gamma") or 1.0 / inputs
     constant, factors = kernel_map_scales(inputs, degree, gamma, coef0)
     expansion = PolynomialExpansion(degree=degree, inputCol=FEATURES, outputCol="_poly")
@@ -213,41 +211,28 @@ def _kernel_ridge(table, params, weighted, inputs):
     return predict
 
 
-def _fourier_regression(table, params, weighted, inputs):
-    """Radial-basis regression with a robust loss, through random Fourier features.
+def _landmark_ridge(table, params, inputs):
+    """Kernel ridge of a degree whose explicit map would be too wide, on landmarks."""
+    degree, gamma, coef0 = params["degree"], params.get("gamma") or 1.0 / inputs, params["coef0"]
+    # The kernel divided by a power of the rows' mean size: high degrees stay finite, the answers stay the same.
+    square = table.agg(F.avg(F.aggregate(F.transform(vector_to_array(FEATURES), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))).first()[0]
+    size = max(gamma * (square or 0.0) + coef0, 1e-300)
+    kernel = kernels.Kernel("polynomial", gamma, degree, coef0, size)
+    with staging(table.sparkSession) as stage:
+        rows = stage(kernels.plain_rows(table))
+        mapped = kernels.landmark_map(table, kernel, params.get("landmarks", kernels.LANDMARKS))
+        found = kernels.ridge(rows, mapped, params["alpha"] / size**degree if degree * math.log10(size) < 300 else 0.0)
+    return kernels.predictor(mapped, found, 0.0, PREDICTION)
 
-    The features approximate the kernel, the Huber loss stands in for the insensitive one.
-    """
-    gamma = params.get("gamma") or 1.0 / inputs
-    count = params.get("components", 128)
-    rng = np.random.default_rng(params.get("seed", 0))
-    directions = rng.normal(0.0, math.sqrt(2.0 * gamma), (inputs, count))
-    shifts = rng.uniform(0.0, 2.0 * math.pi, count)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def waves(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(math.sqrt(2.0 / count) * np.cos(np.stack(x.to_numpy()) @ directions + shifts)))
-
-    def mapped(df: DataFrame) -> DataFrame:
-        return df.withColumn("_waves", array_to_vector(waves(vector_to_array(FEATURES))))
-
-    rows = table.agg(F.sum(WEIGHT).alias("n")).first()["n"]
-    estimator = LinearRegression(
-        loss="huber", epsilon=params.get("epsilon", 1.35), regParam=1.0 / (params["C"] * rows),
-        elasticNetParam=0.0, standardization=False, maxIter=params.get("maxIter", 100),
-        featuresCol="_waves", labelCol="_label", predictionCol=PREDICTION,
-    )
-    if weighted:
-        estimator = estimator.setWeightCol(WEIGHT)
-    # the optimiser passes over the data many times
-    inputs_table = mapped(table).persist()
-    try:
-        model = estimator.fit(inputs_table)
-    finally:
-        inputs_table.unpersist()
-    return lambda df: model.transform(mapped(df))
+
+def _support_vectors(table, params, weighted, inputs):
+    """Radial-basis regression with the epsilon-insensitive loss, on landmarks."""
+    kernel = kernels.Kernel("rbf", params.get("gamma") or 1.0 / inputs)
+    with staging(table.sparkSession) as stage:
+        rows = stage(kernels.plain_rows(table))
+        mapped = kernels.landmark_map(table, kernel, params.get("landmarks", kernels.LANDMARKS), params.get("seed", 0))
+        found = kernels.support_vectors(rows, mapped, params["C"], params.get("epsilon", 0.1))
+    return kernels.predictor(mapped, found.coefficients, found.offset, PREDICTION)
 
 
 # The presets of the regressors.
@@ -263,7 +248,7 @@ REGRESSORS: dict[str, Regressor] = {
     "LASSO": Regressor("LASSO", _linear, {"alpha": 0.0005, "l1_ratio": 1.0}, "robust"),
     "ENET": Regressor("ENET", _linear, {"alpha": 0.0005, "l1_ratio": 0.9}, "robust"),
     "KRR": Regressor("KRR", _kernel_ridge, {"degree": 2, "alpha": 0.6, "coef0": 2.5}, "standard"),
-    "SVR": Regressor("SVR", _fourier_regression, {"C": 1.0}, "standard"),
+    "SVR": Regressor("SVR", _support_vectors, {"C": 1.0, "epsilon": 0.1}, "standard"),
 }
 
 

@@ -197,12 +197,6 @@ def test_search_candidates():
         search.candidates("SVR", search.GRID, 1)
 
 
-def test_wide_kernels_are_refused(spark):
-    df = spark.createDataFrame([tuple(float(i + j) for j in range(9)) for i in range(3)], ", ".join(f"c{j} double" for j in range(9)))
-    with pytest.raises(ValueError, match="terms"):
-        regressor("KRR").with_params(degree=9).fit(df, [f"c{j}" for j in range(8)], "c8")
-
-
 def test_importance_writes_one_table(spark, monkeypatch):
     from skylattice.learn import selection as module
     from contextlib import contextmanager
