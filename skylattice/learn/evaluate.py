@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylattice.learn import fold_algebra
+from skylattice.learn import fold_algebra, forest_search, regressors
 from skylattice.learn.features import feature_columns
 from skylattice.learn.regressors import LABEL, PREDICTION, Fitted, Regressor
 from skylattice.operators import folds, impute, metrics
@@ -134,17 +134,17 @@ def _fit(regressor: Regressor, part: Part, setting: Setting) -> Prediction:
 def _scored(tables: Sequence[DataFrame], setting: Setting) -> tuple[list[Scores], list[float]]:
     """Scores of each prediction table, and the number that steers a choice.
 
-    The tables are computed once and scored together.
+    The tables are computed and written once and scored together.
     """
-    whole = union_tables([t.select(LABEL, PREDICTION).withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]).persist()
-    try:
+    parts = [t.select(LABEL, PREDICTION).withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
+    # Written, so that a lost executor costs a re-read and no fit.
+    with staging(tables[0].sparkSession) as stage:
+        whole = stage(union_tables(parts))
         found = metrics.scores_by(whole, "_table", list(range(len(tables))))
         scores = [found[i] for i in range(len(tables))]
         if setting.metric is None:
             return scores, [getattr(s, setting.score) for s in scores]
         return scores, [float(setting.metric(whole.filter(F.col("_table") == i).drop("_table"))) for i in range(len(tables))]
-    finally:
-        whole.unpersist()
 
 
 def _best_of(tried: Sequence[Prediction], setting: Setting) -> int:
@@ -179,6 +179,23 @@ def fold_parts(folded: DataFrame, setting: Setting, stage: Callable[[DataFrame],
     return run_all(folded.sparkSession, jobs, setting.parallelism)
 
 
+def score_candidates(candidates: Sequence[Regressor], part: Part, setting: Setting, at_once: int = 16) -> list[tuple[Scores, float]]:
+    """Scores of each regressor on a part, and the number that steers a choice.
+
+    Forests of a table of few rows share their trees; others are fitted side by side.
+    """
+    features = feature_columns(part.train, setting.target, setting.bookkeeping)
+    if candidates and setting.metric is None and all(c.family is regressors._forest and c.scaling is None for c in candidates):
+        found = forest_search.scores([c.params for c in candidates], part.train, part.test, features, setting.target, setting.weight)
+        if found is not None:
+            return [(s, getattr(s, setting.score)) for s in found]
+    out: list[tuple[Scores, float]] = []
+    for start in range(0, len(candidates), at_once):
+        jobs = [lambda c=c: _fit(c, part, setting).table for c in candidates[start:start + at_once]]
+        out += zip(*_scored(run_all(part.train.sparkSession, jobs, setting.parallelism), setting))
+    return out
+
+
 def validate_folds(regressor: Regressor, folded: DataFrame, setting: Setting) -> Validation:
     """Cross-validation of a table that has its ``fold`` column."""
     names = feature_columns(folded, setting.target, setting.bookkeeping)

@@ -61,12 +61,17 @@ class Regressor:
     def fit(self, train: DataFrame, features: Sequence[str], target: str, weight: str | None = None) -> Fitted:
         """Fit on complete rows; a row without a weight takes no part in a weighted fit."""
         scaling = scale.fit(train, features, self.scaling) if self.scaling else None
-        table = _feature_table(train, features, scaling).withColumn("_label", F.col(f"`{target}`").cast("double"))
-        w = F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-        table = table.select(FEATURES, "_label", w.alias(WEIGHT))
+        table = fitting_table(train, features, target, weight, scaling)
         return Fitted(tuple(features), scaling, self.family(table, dict(self.params), weight is not None, len(features)))
 
 
+def fitting_table(df: DataFrame, features: Sequence[str], target: str, weight: str | None, scaling: scale.Scaling | None = None) -> DataFrame:
+    """Feature vector, label and weight of each row; no weight counts as nought in a weighted fit."""
+    table = _feature_table(df, features, scaling).withColumn("_label", F.col(f"`{target}`").cast("double"))
+    w = F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    return table.select(FEATURES, "_label", w.alias(WEIGHT))
+
+
 def _feature_table(df: DataFrame, features: Sequence[str], scaling: scale.Scaling | None) -> DataFrame:
     # scaled copies under plain names: feature names may hold blanks and dots
     inputs = []
@@ -88,11 +93,15 @@ def _share(rule: str, inputs: int) -> float:
     return {"all": 1.0, "sqrt": math.sqrt(inputs) / inputs}.get(rule) or float(rule)
 
 
-def _forest(table, params, weighted, inputs):
-    growth = trees.Growth(
+def forest_growth(params: dict, inputs: int) -> trees.Growth:
+    return trees.Growth(
         depth=params["maxDepth"], least_split=params.get("minRowsToSplit", 2), least_leaf=params.get("minInstancesPerNode", 1),
         node_features=_share(params.get("featureSubsetStrategy", "all"), inputs), bootstrap=params.get("bootstrap", True),
         absolute=params.get("criterion", "squared") == "absolute", seed=params.get("seed", 0))
+
+
+def _forest(table, params, weighted, inputs):
+    growth = forest_growth(params, inputs)
     with staging(table.sparkSession) as stage:
         model = trees.forest(table, params["numTrees"], growth, params.get("maxBins", MAX_BINS), inputs, stage)
     return lambda df: model.transform(df, PREDICTION)

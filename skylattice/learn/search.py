@@ -1,4 +1,4 @@
-"""Hyperparameter search: grid, random draws from the grid, random draws from ranges."""
+"""Hyperparameter search: grid, random draws from the grid, random draws from ranges; whole or as a race over folds."""
 
 from __future__ import annotations
 
@@ -10,13 +10,12 @@ from itertools import product
 
 from pyspark.sql import DataFrame
 
-from skylattice.learn.evaluate import (
-    Prediction, Setting, fit_predict, fold_parts, holdout_parts, validate_parts, with_folds)
+from skylattice.learn.evaluate import Prediction, Setting, fit_predict, fold_parts, holdout_parts, score_candidates, with_folds
 from skylattice.learn.regressors import Regressor, regressor
+from skylattice.learn.trees import NO_LIMIT
 from skylattice.session import staging
 
 GRID, RANDOM, GUIDED = "GridSearch", "RandomSearch", "HyperOpt"
-MAX_DEPTH = 30
 #: Degrees of the polynomial kernel that the guided search draws from.
 DEGREES = (1, 3, 5, 7, 9)
 
@@ -26,14 +25,12 @@ def _steps(low: int, high: int, count: int) -> list[int]:
 
 
 def forest_grid(tree_counts: int = 4, depths: int = 4) -> dict[str, list]:
-    """Forest grid. No depth limit becomes Spark's largest depth.
-
-    The least rows to split a node have no counterpart in Spark and are not in the grid.
-    """
+    """Forest grid; the last depth is no limit."""
     return {
         "numTrees": _steps(10, 500, tree_counts),
         "featureSubsetStrategy": ["all", "sqrt"],
-        "maxDepth": _steps(5, 20, depths) + [MAX_DEPTH],
+        "maxDepth": _steps(5, 20, depths) + [NO_LIMIT],
+        "minRowsToSplit": [2, 5, 10],
         "minInstancesPerNode": [1, 2, 4],
         "bootstrap": [True, False],
     }
@@ -44,7 +41,7 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
 
 
 def forest_params(point: dict) -> dict:
-    """Spark parameters of a grid point."""
+    """Parameters of a grid point."""
     params = dict(point)
     if params.get("bootstrap") is False and params.get("featureSubsetStrategy") == "all":
         # such trees are all alike: one tree is the whole forest
@@ -61,7 +58,8 @@ def random_points(grid: dict[str, list], count: int, seed: int = 0) -> list[dict
 def _forest_draw(rng: random.Random) -> dict:
     return {
         "numTrees": int(rng.uniform(10, 500)), "maxDepth": int(rng.uniform(5, 20)),
-        "minInstancesPerNode": int(rng.uniform(1, 5)),
+        "minInstancesPerNode": int(rng.uniform(1, 5)), "minRowsToSplit": int(rng.uniform(2, 6)),
+        "criterion": rng.choice(("squared", "absolute")),
     }
 
 
@@ -86,7 +84,9 @@ DRAWS: dict[str, Callable[[random.Random], dict]] = {
 @dataclass(frozen=True)
 class Trial:
     params: dict
+    #: Mean over the folds that the candidate ran.
     score: float
+    folds: int
 
 
 @dataclass(frozen=True)
@@ -119,22 +119,36 @@ def distinct(points: Iterable[dict]) -> list[dict]:
     return list({tuple(sorted(p.items())): p for p in points}.values())
 
 
+def race(tried: list[dict], name: str, df: DataFrame, setting: Setting, racing: int | None = None) -> list[Trial]:
+    """Trials of all candidates over the folds of ``df``.
+
+    With ``racing`` all run on the first fold, and after each fold only the best ``1 / racing`` of those that ran, by mean
+    score so far, go on to the next. Without it all run on every fold. The folds are preprocessed and written once.
+    """
+    base, alive = regressor(name), list(range(len(tried)))
+    scores: dict[int, list[float]] = {k: [] for k in alive}
+    with staging(df.sparkSession) as stage:
+        parts = fold_parts(stage(with_folds(df, setting)), setting, stage)
+        for fold in range(setting.cv):
+            ways = [score_candidates([base.with_params(**tried[k]) for k in alive], p, setting) for p in parts if p.fold == fold]
+            for at, k in enumerate(alive):
+                scores[k].append(min(way[at][1] for way in ways))
+            if racing and fold + 1 < setting.cv:
+                alive = sorted(sorted(alive, key=lambda k: (sum(scores[k]) / len(scores[k]), k))[:math.ceil(len(alive) / racing)])
+    return [Trial(p, sum(scores[k]) / len(scores[k]), len(scores[k])) for k, p in enumerate(tried)]
+
+
 def optimise(
     name: str, df: DataFrame, setting: Setting, method: str = GUIDED, max_evals: int = 200,
-    points: Iterable[dict] | None = None,
+    points: Iterable[dict] | None = None, racing: int | None = None,
 ) -> Search:
     """Search on the train part, refit the best on it, predict the test part.
 
-    Each candidate is scored by the mean over folds of the train part, scattered by the key. The folds are
-    preprocessed and written once, for all candidates. ``points`` replaces the candidates of ``method``.
+    Each candidate is scored by the mean over folds of the train part, scattered by the key; see :func:`race`. The best
+    is the one of lowest mean among those that ran every fold. ``points`` replaces the candidates of ``method``.
     """
     tried = distinct(points) if points is not None else candidates(name, method, max_evals)
     train, test = holdout_parts(df, setting)
-    base = regressor(name)
-    trials = []
-    with staging(df.sparkSession) as stage:
-        parts = fold_parts(stage(with_folds(train, setting)), setting, stage)
-        for params in tried:
-            trials.append(Trial(params, validate_parts(base.with_params(**params), parts, setting).chosen.mean))
-    best = base.with_params(**min(trials, key=lambda t: t.score).params)
+    trials = race(tried, name, train, setting, racing)
+    best = regressor(name).with_params(**min((t for t in trials if t.folds == setting.cv), key=lambda t: t.score).params)
     return Search(best, trials, fit_predict(best, train, test, setting))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skylattice.config import SurveyConfig
 from skylattice.learn import search, selection
-from skylattice.learn.evaluate import BEST, Setting, cross_validate, fit_predict, holdout_parts
+from skylattice.learn.evaluate import (
+    BEST, Setting, _fit, _scored, cross_validate, fit_predict, fold_parts, holdout_parts, score_candidates, with_folds)
 from skylattice.learn.features import assemble, feature_columns
 from skylattice.learn.regressors import REGRESSORS, monomials, regressor
 from skylattice.plans import training
@@ -182,7 +183,8 @@ def test_folded_feature_sets_share_their_folds(spark):
 
 def test_search_candidates():
     grid = search.candidates("RF", search.GRID, 0)
-    assert len(grid) == len(search.distinct(grid)) == 4 * 5 * 3 * 3 + 5 * 3
+    assert len(search.grid_points(search.forest_grid())) == 720
+    assert len(grid) == len(search.distinct(grid)) == 3 * 4 * 5 * 3 * 3 + 5 * 3 * 3
     assert 30 < len(search.candidates("RF", search.RANDOM, 50)) <= 50
     assert search.candidates("RF", search.RANDOM, 5) == search.candidates("RF", search.RANDOM, 5)
     for name in search.DRAWS:
@@ -232,6 +234,40 @@ def test_scores_that_steer(spark):
     assert plain.chosen == plain.score and total.chosen == total.total and own.chosen.mean * SETTING.cv == 120
 
 
+def test_forests_share_their_trees(spark):
+    """Scores from shared trees equal those of forests fitted one by one."""
+    x, z, w = table(240)
+    setting = selection.with_setting(SETTING, weight="w")
+    part = fold_parts(with_folds(frame(spark, x, z, w), setting), setting)[0]
+    points = [{"numTrees": n, "maxDepth": d, "minRowsToSplit": s, "bootstrap": False, "featureSubsetStrategy": r, "minInstancesPerNode": 2}
+              for n in (1, 3) for d in (2, 30) for s in (2, 40) for r in ("all", "sqrt")] + [{"numTrees": 40, "bootstrap": True}]
+    models = [regressor("RF").with_params(**p) for p in points]
+    got = score_candidates(models, part, setting)
+    own = _scored([_fit(m, part, setting).table for m in models], setting)[0]
+    for a, b in zip(got[:-1], own):
+        assert (a[0].sigma, a[0].eta, a[0].bias, a[0].rows) == pytest.approx((b.sigma, b.eta, b.bias, b.rows))
+    # a bootstrap is drawn by the number of a row, which differs from table to table
+    assert got[-1][0].sigma == pytest.approx(own[-1].sigma, rel=0.3)
+
+
+def test_forests_of_large_tables_are_fitted_one_by_one(spark, monkeypatch):
+    from skylattice.learn import trees
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 100)
+    x, z, _ = table(240)
+    part = fold_parts(with_folds(frame(spark, x, z), SETTING), SETTING)[0]
+    found = score_candidates([regressor("RF").with_params(numTrees=2, maxDepth=3, bootstrap=False)], part, SETTING)
+    assert 0 < found[0][1] < 0.2
+
+
+def test_race_keeps_the_best(spark):
+    x, z, _ = table(200)
+    points = [{"alpha": a} for a in (1e6, 1e5, 0.1, 1e4)]
+    setting = selection.with_setting(SETTING, cv=3)
+    whole, raced = (search.race(points, "KRR", frame(spark, x, z), setting, r) for r in (None, 2))
+    assert [t.folds for t in whole] == [3] * 4 and [t.folds for t in raced] == [1, 1, 3, 2]
+    assert raced[2].score == pytest.approx(whole[2].score) == min(t.score for t in whole)
+
+
 def test_search_takes_the_lowest_score(spark):
     x, z, _ = table(200)
     found = search.optimise("KRR", frame(spark, x, z), SETTING, points=[{"alpha": 1e6}, {"alpha": 0.1}])
