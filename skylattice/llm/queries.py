@@ -16,7 +16,7 @@ from skylattice.llm.sparse import fold_of
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(warc.with_revisits(pages), path)
+    warc.write_archives(warc.with_revisits(pages), path, compression="gzip")
     found = warc.read_archives(spark, path).where(F.col("record_type").isin("response", "revisit"))
     revisit = F.col("record_type") == "revisit"
     told = F.regexp_extract("payload_digest", "^sha256:(.*)$", 1)
