@@ -28,7 +28,9 @@ LANDMARKS = 256
 #: Eigenvalues of the landmarks' kernel below this share of the largest are noise.
 _RANK = 1e-12
 GAP = 1e-3
-_STEPS, _WIDTHS, _HALVINGS = 40, 12, 30
+_STEPS, _WIDTHS, _HALVINGS = 40, 10, 12
+#: Newton steps at one width end when they promise less than this share of the objective.
+_TOL = 1e-5
 
 
 @dataclass(frozen=True)
@@ -102,9 +104,7 @@ def _sums(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
     sent = rows.mapInArrow(partial, "i int, row array<double>")
-    # two levels: the few keys of the last sum meet sums of whole groups of tasks
-    grouped = sent.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("i", "_part").agg(Summarizer.sum(array_to_vector("row")).alias("row"))
-    found = {r["i"]: r["row"].toArray() for r in grouped.groupBy("i").agg(Summarizer.sum(F.col("row")).alias("row")).collect()}
+    found = {r["i"]: r["row"].toArray() for r in sent.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()}
     return np.array([found[i] for i in range(size)]) if found else np.zeros((size, 0))
 
 
@@ -147,56 +147,62 @@ def support_vectors(rows: DataFrame, mapped: LandmarkMap, c: float, epsilon: flo
     mean /= n
     spread = max(square / n - mean * mean, 0.0) ** 0.5
 
-    def pass_over(theta: np.ndarray, width: float) -> tuple[float, np.ndarray, np.ndarray, float, float]:
-        """Rounded objective, gradient and Hessian, the objective itself and a bound from below."""
+    shares = 0.5 ** np.arange(_HALVINGS)
+
+    def pass_over(theta: np.ndarray, width: float, step: np.ndarray) -> tuple:
+        """At ``theta + step``: rounded objective, gradient, Hessian, the objective itself and a bound from below.
+
+        And, from the same pass, the rounded objective at halves of the step.
+        """
+        end = theta + step
+
         def add(x, y, w):
             phi = np.hstack([mapped.phi(x), np.ones((len(x), 1))])
-            r = y - phi @ theta
-            value, slope, curve = _loss(r, epsilon, width)
-            out = np.zeros((m + 1, m + 5))
+            r, move = y - phi @ theta, phi @ step
+            value, slope, curve = _loss(r - move, epsilon, width)
+            out = np.zeros((m + 1, m + 4))
             out[:, :m + 1] = (phi * (w * curve)[:, None]).T @ phi
             out[:, m + 1] = phi.T @ (w * slope)
-            out[0, m + 2] = w @ value
-            out[0, m + 3] = w @ np.maximum(np.abs(r) - epsilon, 0.0)
-            out[0, m + 4] = w @ (slope * y - epsilon * np.abs(slope))
-            return out
-
-        s = _sums(rows, m + 1, add)
-        own = theta[:m] @ theta[:m] / 2
-        gradient = -c * s[:, m + 1]
+            out[0, m + 2] = w @ np.maximum(np.abs(r - move) - epsilon, 0.0)
+            out[0, m + 3] = w @ (slope * y - epsilon * np.abs(slope))
+            tried = [w @ value, *(w @ _loss(r - t * move, epsilon, width)[0] for t in shares[1:])]
+            return np.vstack([out, np.resize(np.append(tried, np.zeros(m + 4)), (-(-_HALVINGS // (m + 4)), m + 4))])
+
+        s = _sums(rows, m + 1 + -(-_HALVINGS // (m + 4)), add)
+        tried = s[m + 1:].ravel()[:_HALVINGS]
+        own = end[:m] @ end[:m] / 2
+        gradient = -c * s[:m + 1, m + 1]
         pull = c * s[:m, m + 1]
-        gradient[:m] += theta[:m]
-        hessian = c * s[:, :m + 1]
+        gradient[:m] += end[:m]
+        hessian = c * s[:m + 1, :m + 1]
         hessian[:m, :m] += np.eye(m)
         # The slopes are dual variables; what they lack of summing to nought is charged at the width of the answers.
-        below = c * s[0, m + 4] - pull @ pull / 2 - abs(c * s[m, m + 1]) * (abs(theta[m]) + 10 * spread + epsilon)
-        return own + c * s[0, m + 2], gradient, hessian, own + c * s[0, m + 3], below
+        below = c * s[0, m + 3] - pull @ pull / 2 - abs(c * s[m, m + 1]) * (abs(end[m]) + 10 * spread + epsilon)
+        halves = [(theta[:m] + t * step[:m]) @ (theta[:m] + t * step[:m]) / 2 + c * v for t, v in zip(shares, tried)]
+        return own + c * tried[0], gradient, hessian, own + c * s[0, m + 2], below, halves
 
-    theta, width = np.append(np.zeros(m), mean), max(spread, epsilon, 1e-12)
-    now = pass_over(theta, width)
-    best = (now[3], theta)
-    bound = now[4]
+    theta, width, still = np.append(np.zeros(m), mean), max(spread, epsilon, 1e-12), np.zeros(m + 1)
+    best, bound = (np.inf, theta), -np.inf
     for _ in range(_WIDTHS):
+        now = pass_over(theta, width, still)
         for _ in range(_STEPS):
-            value, gradient, hessian, _, _ = now
+            best, bound = min(best, (now[3], theta), key=lambda b: b[0]), max(bound, now[4])
+            value, gradient, hessian = now[:3]
             step = -np.linalg.lstsq(hessian + 1e-12 * np.trace(hessian) / len(hessian) * np.eye(m + 1), gradient, rcond=None)[0]
-            if -(gradient @ step) <= 1e-9 * max(abs(value), 1e-300):
+            promised = -(gradient @ step)
+            if promised <= _TOL * max(abs(value), 1e-300) or best[0] - bound <= GAP * max(best[0], 1e-300):
                 break
-            size = 1.0
-            for _ in range(_HALVINGS):
-                new = pass_over(theta + size * step, width)
-                if new[0] <= value + 1e-4 * size * (gradient @ step):
-                    break
-                size /= 2
-            else:
+            new = pass_over(theta, width, step)
+            good = [t for t, v in zip(shares, new[5]) if v <= value - 1e-4 * t * promised]
+            if not good:
                 break
-            theta, now = theta + size * step, new
-            best, bound = min(best, (now[3], theta), key=lambda b: b[0]), max(bound, now[4])
+            if good[0] < 1.0:
+                step = step * min(good, key=lambda t: new[5][int(np.argmin(np.abs(shares - t)))])
+                new = pass_over(theta + step, width, still)
+            theta, now = theta + step, new
         if best[0] - bound <= GAP * max(best[0], 1e-300):
             break
-        width /= 6
-        now = pass_over(theta, width)
-        best, bound = min(best, (now[3], theta), key=lambda b: b[0]), max(bound, now[4])
+        width /= 8
     return SupportVectors(best[1][:m], float(best[1][m]), float(best[0]), float(max(best[0] - bound, 0.0)))
 
 
