@@ -346,3 +346,20 @@ def test_vectors_of_extreme_lengths(spark):
 
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "id long, label int, vector array<float>")).collect() == []
+
+
+def test_low_bits_of_pairs_at_the_threshold(spark):
+    """Pairs of sets at a similarity of 0.8: none in ten thousand falls below the least number of equal low bits."""
+    rng = np.random.default_rng(8)
+    n, lost = 400, 0
+    for _ in range(10_000):
+        shared, own = rng.integers(-2**63, 2**63, n * 8 // 10), rng.integers(-2**63, 2**63, (2, n // 10))
+        symbols = []
+        for k in range(2):
+            h = np.sort(np.concatenate([shared, own[k]]))
+            starts = np.arange(line_dedup.BINS, dtype=np.float64) * 2.0**57 - 2.0**63
+            symbols.append(h[np.searchsorted(h.astype(np.float64), starts, "left") % len(h)] & 1)
+        lost += (symbols[0] == symbols[1]).sum() < line_dedup.LEAST_BITS
+    assert lost <= 1
+    bits = spark.range(1).selectExpr(f"{line_dedup._low_bits('transform(sequence(0, 127), i -> CAST(i * i AS LONG))')} AS b").first()["b"]
+    assert "".join(format(x & (2**64 - 1), "064b") for x in bits) == "".join(str(i * i & 1) for i in range(128))
