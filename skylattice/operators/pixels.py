@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skylattice.operators import order_stats
+from skylattice.operators import pixel_stats
 
 # Fixed value: one over the upper quartile of the standard normal distribution.
 MAD_TO_STD = 1.482602218505602
@@ -35,18 +35,14 @@ def stack_bands(images: Sequence[Column]) -> Column:
 
 
 def pixel_scales(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Robust standard deviation over all pixels of each image column."""
-    middle: dict[str, float | None] = {}
-    spread: dict[str, float | None] = {}
-    for c in columns:
-        pixels = df.select(F.explode(F.flatten(c)).alias("p")).select(F.col("p").cast("double"))
-        middle[c] = order_stats.medians(pixels, ["p"])["p"]
-        if middle[c] is None:
-            spread[c] = None
-            continue
-        away = pixels.select(F.abs(F.col("p") - F.lit(middle[c])).alias("p"))
-        spread[c] = order_stats.medians(away, ["p"])["p"] * MAD_TO_STD
-    return spread
+    """Robust standard deviation over all pixels of each image column.
+
+    No row per pixel is made; see :mod:`skylattice.operators.pixel_stats`.
+    """
+    middle = pixel_stats.pixel_medians(df, columns)
+    known = {c: m for c, m in middle.items() if m is not None}
+    away = pixel_stats.pixel_medians(df, list(known), known) if known else {}
+    return {c: away[c] * MAD_TO_STD if c in away else None for c in columns}
 
 
 def arcsinh_stretch(image: Column, scale: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skylattice.config import SurveyConfig
 from skylattice.functions import names
 from skylattice.operators import (
-    cuts, folds, histogram, impute, metrics, order_stats, pixels, project, scale, statistics, weights,
+    cuts, folds, histogram, impute, metrics, order_stats, pixel_stats, pixels, project, scale, statistics, weights,
 )
 
 NAN = float("nan")
@@ -354,6 +354,30 @@ def test_pixels(spark):
     assert np.allclose(np.array(out[1].first()["im"]).ravel(), np.arcsinh(one / spread))
 
 
+def test_pixel_medians_without_a_row_per_pixel(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    flat = [*rng.normal(0, 1, 400), *(-10.0 ** rng.uniform(-300, 300, 40)), 0.0, -0.0, 5e-324, 1.7e308, np.inf, -np.inf, NAN]
+    images = [[[float(v) for v in part[:3]], [float(v) for v in part[3:]]] for part in np.array_split(flat, 60)]
+    images += [None, [], [None, [1.0, None]]]
+    df = spark.createDataFrame([(im, [im[0]] if im else None) for im in images], "im array<array<double>>, `a.b` array<array<double>>")
+    known = np.array([v for im in images if im for row in im if row for v in row if v is not None and v == v])
+    first = np.array([v for im in images if im and im[0] for v in im[0] if v is not None and v == v])
+    plans = []
+    counted = pixel_stats._counted
+    monkeypatch.setattr(pixel_stats, "_counted", lambda d, *rest: plans.append(d) or counted(d, *rest))
+    found = pixel_stats.pixel_medians(df, ["im", "a.b"])
+    assert found == {"im": np.median(known), "a.b": np.median(first)} and len(plans) == 4
+    assert not any("Explode" in d._jdf.queryExecution().toString() for d in plans)
+    away = pixel_stats.pixel_medians(df, ["im"], {"im": 0.25})["im"]
+    assert away == np.median(np.abs(known - 0.25))
+    bits = pixel_stats.ordered_bits(np.sort(known))
+    assert (np.diff(bits.astype(object)) >= 0).all() and [pixel_stats.from_bits(int(b)) for b in bits] == sorted(known)
+    nothing = df.filter("false")
+    assert pixel_stats.pixel_medians(nothing, ["im"]) == {"im": None} and pixels.pixel_scales(nothing, ["im"]) == {"im": None}
+    floats = spark.createDataFrame([([0.1, 0.7],), ([0.3],)], "p array<float>")
+    assert pixel_stats.pixel_medians(floats, ["p"])["p"] == float(np.float32(0.3))
+
+
 def test_flat_pixels_as_image(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "p array<double>")
     assert df.select(pixels.as_image(F.col("p"), 3).alias("i")).first()["i"] == [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
