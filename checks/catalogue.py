@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.fixtures import BANDS, ctes, read, view
 from skylattice.config import SurveyConfig
-from skylattice.operators import crossmatch, cuts, dedup, histogram, order_stats, pixels, project, statistics
+from skylattice.operators import crossmatch, cuts, dedup, histogram, order_stats, pixels, project, sky_index, statistics
 from skylattice.plans import catalogues, surveys
-from skylattice.session import staged
+from skylattice.session import shared_folder, staged
 from skylattice.sources import tables
 
 CAPPED = SurveyConfig.capped_range(bands=tuple(BANDS))
@@ -176,15 +178,28 @@ def match_distance(spark: SparkSession, sf: str) -> DataFrame:
     return lower(arcsec(out))
 
 
-def survey_base(spark: SparkSession, sf: str) -> DataFrame:
+def index(df: DataFrame, key: str, radius: float, payload=(), coords: tuple[str, str] = ("RA", "DEC")) -> sky_index.SkyIndex:
+    return sky_index.write(df, f"{shared_folder(df.sparkSession)}/sky-{uuid.uuid4().hex}", key, radius, payload, coords)
+
+
+def nearest_stored(spark: SparkSession, sf: str, crowd: str = "", payload=()) -> DataFrame:
+    """Search in a stored catalogue."""
+    plain = ("ra", "dec")
+    stored = index(view(spark, sf, f"deep{crowd}"), "deep_id", 0.5, payload, plain)
+    return arcsec(stored.nearest(view(spark, sf, f"u_survey{crowd}"), 0.3, ["u_id"], left_coords=plain))
+
+
+def survey_base(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
     """u survey with its deep-survey partners."""
     u = view(spark, sf, "u_survey").withColumnsRenamed(
         {"ra": "ALPHA_J2000", "dec": "DELTA_J2000", "mag_u": "MAG_u", "mag_r_u": "MAG_r", "magerr_u": "MAGERR_u"}
     )
-    deep = view(spark, sf, "deep").withColumnsRenamed(
+    deep = surveys.deep_survey(view(spark, sf, "deep").withColumnsRenamed(
         {f"{b}{e}": f"{b}_stk_aper{e}" for b in "giz" for e in ("", "_err")}
-    )
-    return staged(surveys.u_with_deep(surveys.u_survey(u), surveys.deep_survey(deep)))
+    ))
+    if stored:
+        deep = index(deep, "deep_id", surveys.TOLERANCE, surveys.DEEP_COLUMNS)
+    return staged(surveys.u_with_deep(surveys.u_survey(u), deep))
 
 
 def three_matched(spark: SparkSession, sf: str, morphology: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -197,6 +212,14 @@ def three_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return surveys.without_redshift(survey_base(spark, sf), merged, "ide")
 
 
+def three_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain on stored catalogues."""
+    merged = catalogues.merge_tiles(matched(spark, sf), CAPPED)
+    offered = [c for c in surveys.R_COLUMNS if c in merged.columns]
+    return surveys.with_redshift(
+        survey_base(spark, sf, stored=True), index(merged, "ide", surveys.TOLERANCE, offered), "ide")[0]
+
+
 THREE_CTE = (
     f"{ctes('u_survey', 'deep')}, uu AS (SELECT u_id, CASE WHEN ra NOT IN (-99e0,99e0,0e0) THEN ra END AS ra,"
     " CASE WHEN dec NOT IN (-99e0,99e0,0e0) THEN dec END AS dec, CASE WHEN mag_u NOT IN (-99e0,99e0,0e0) THEN mag_u END AS MAG_u,"
@@ -299,6 +322,9 @@ QUERIES = {
         view(s, d, "u_survey"), view(s, d, "deep"), 0.3, ["u_id"], "deep_id", ["g"], ("ra", "dec"), ("ra", "dec"))),
     "nearest_crowded": lambda s, d: arcsec(crossmatch.nearest(
         view(s, d, "u_survey_crowd"), view(s, d, "deep_crowd"), 0.3, ["u_id"], "deep_id", (), ("ra", "dec"), ("ra", "dec"))),
+    "nearest_indexed": lambda s, d: nearest_stored(s, d, payload=["g"]),
+    "nearest_indexed_crowded": lambda s, d: nearest_stored(s, d, "_crowd"),
+    "three_survey_indexed": three_stored,
     "tile_images": tile_images,
     "match_distance": match_distance,
     "distance_histogram": distance_histogram,
@@ -378,3 +404,9 @@ ORACLES = {
     "tile_images": f"WITH {UNMATCHED_CTE}, {_merged('unmatched')} SELECT m.tile, m.ide, {IMAGE_SQL} AS pixels_r, {IMAGE_SQL} AS pixels_z"
                    " FROM unmatched_merged m LEFT JOIN embeddings e ON e.vec_id=m.ide",
 }
+# The same rows from stored catalogues.
+ORACLES |= {
+    "nearest_indexed": ORACLES["nearest_any"],
+    "nearest_indexed_crowded": ORACLES["nearest_crowded"],
+    "three_survey_indexed": ORACLES["three_survey_matched"],
+}

@@ -41,22 +41,39 @@ def nearest(
     level by level, see :mod:`skylattice.operators.crowded`; one small job looks for such cells.
     """
     left_key, payload, carry = list(left_key), list(payload), list(carry)
-    radius = sky.reach(radius_arcsec)
-    seeking = left.filter(sky.located(*left_coords)).select(
+    seeking = seekers(left, left_key, left_coords, carry)
+    offered = offers(right, right_key, payload, right_coords, fold=not right_separated)
+    if right_separated:
+        found = _closest(candidate_pairs(seeking, offered, sky.reach(radius_arcsec)), left_key, radius_arcsec)
+    else:
+        found = _with_crowds(seeking, offered, left_key, radius_arcsec, crowd)
+    return found_columns(found, left_key, right_key, payload, carry)
+
+
+def seekers(left: DataFrame, left_key: Sequence[str], coords: tuple[str, str], carry: Sequence[str]) -> DataFrame:
+    """Located left objects with their unit vectors."""
+    return left.filter(sky.located(*coords)).select(
         *left_key, F.struct(F.lit(0).alias("_"), *carry).alias("_left"),
-        sky.coordinate(left_coords[0], "_lra"), sky.coordinate(left_coords[1], "_ldec"),
+        sky.coordinate(coords[0], "_lra"), sky.coordinate(coords[1], "_ldec"),
     ).select("*", *sky.unit_vector("_lra", "_ldec", LEFT))
-    offered = right.filter(sky.located(*right_coords)).select(
+
+
+def offers(
+    right: DataFrame, right_key: str, payload: Sequence[str], coords: tuple[str, str], fold: bool = True
+) -> DataFrame:
+    """Located right objects with their unit vectors; folded, one object a position."""
+    offered = right.filter(sky.located(*coords)).select(
         F.struct(F.col(right_key).alias("_key"), *payload).alias("_right"),
-        sky.coordinate(right_coords[0], "_rra"), sky.coordinate(right_coords[1], "_rdec"),
+        sky.coordinate(coords[0], "_rra"), sky.coordinate(coords[1], "_rdec"),
     )
-    if not right_separated:
+    if fold:
         offered = offered.groupBy("_rra", "_rdec").agg(F.min("_right").alias("_right"))
-    offered = offered.select("*", *sky.unit_vector("_rra", "_rdec", RIGHT))
-    if right_separated:
-        found = _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
-    else:
-        found = _with_crowds(seeking, offered, left_key, radius_arcsec, crowd)
+    return offered.select("*", *sky.unit_vector("_rra", "_rdec", RIGHT))
+
+
+def found_columns(
+    found: DataFrame, left_key: Sequence[str], right_key: str, payload: Sequence[str], carry: Sequence[str]
+) -> DataFrame:
     return found.select(
         *left_key,
         F.col("_best._right._key").alias(right_key),
@@ -85,13 +102,26 @@ def _with_crowds(
     reached = sky.with_reached_cells(offered, RIGHT, CELLS, side, radius)
     full = crowded.crowded_cells(reached, CELLS, crowd)
     if full.isEmpty():
-        return _closest(candidate_pairs(seeking, offered, radius), left_key, radius_arcsec)
-    full = staged(full)
+        return search_cells(seeking, reached, None, left_key, radius_arcsec, side, crowd)
+    return search_cells(seeking, reached, staged(full), left_key, radius_arcsec, side, crowd)
+
+
+def search_cells(
+    seeking: DataFrame, reached: DataFrame, full: DataFrame | None, left_key: Sequence[str],
+    radius_arcsec: float, side: float, crowd: int | None,
+) -> DataFrame:
+    """Closest right object by left key; ``reached`` has one row per right object and cell it reaches.
+
+    ``full`` are the crowded cells, None if there are none.
+    """
     placed = seeking.select("*", *sky.own_cell(LEFT, CELLS, side))
+    if full is None:
+        return _closest(placed.join(reached, CELLS), left_key, radius_arcsec)
     quiet = placed.join(full, CELLS, "left_anti").join(reached, CELLS)
     near_full = reached.join(full, CELLS, "left_semi").drop(*CELLS).dropDuplicates(["_rra", "_rdec"])
     busy = crowded.surviving_pairs(
-        placed.join(full, CELLS, "left_semi").drop(*CELLS), near_full, left_key, LEFT, RIGHT, radius, side, crowd
+        placed.join(full, CELLS, "left_semi").drop(*CELLS), near_full, left_key, LEFT, RIGHT,
+        sky.reach(radius_arcsec), side, crowd
     )
     return _closest(quiet, left_key, radius_arcsec).unionByName(_closest(busy, left_key, radius_arcsec))
 

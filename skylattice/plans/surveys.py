@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from skylattice.operators import crossmatch, cuts, project
+from skylattice.operators.sky_index import SkyIndex
 from skylattice.session import staged
 
 TOLERANCE = 0.3
@@ -29,6 +30,11 @@ def u_survey(df: DataFrame) -> DataFrame:
     )
 
 
+#: What the chain takes from the r catalogues; an index of one offers these.
+R_COLUMNS = ("MAG_AUTO_R", *project.MORPHOLOGY, "gal_g1", "gal_g2", "Z_SPEC")
+DEEP_COLUMNS = ("g_stk_aper", "i_stk_aper", "z_stk_aper")
+
+
 def deep_survey(df: DataFrame) -> DataFrame:
     """Deep survey with usable errors in g, i and z."""
     bands = ("g", "i", "z")
@@ -36,11 +42,20 @@ def deep_survey(df: DataFrame) -> DataFrame:
     return good.select("deep_id", F.col("ra").alias("RA"), F.col("dec").alias("DEC"), *[f"{b}_stk_aper" for b in bands])
 
 
-def u_with_deep(u: DataFrame, deep: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def u_with_deep(u: DataFrame, deep: DataFrame | SkyIndex, tolerance: float = TOLERANCE) -> DataFrame:
     """u-survey objects with their nearest deep-survey partner."""
-    return crossmatch.nearest(
-        u, deep, tolerance, ["u_id"], "deep_id", ["g_stk_aper", "i_stk_aper", "z_stk_aper"], carry=_others(u)
-    ).drop("d2d")
+    return _partners(u, deep, tolerance, "deep_id", DEEP_COLUMNS, False).drop("d2d")
+
+
+def _partners(
+    left: DataFrame, right: DataFrame | SkyIndex, tolerance: float, key: str, payload: Sequence[str], separated: bool
+) -> DataFrame:
+    """Nearest partners in a table or in a stored index of it."""
+    if isinstance(right, SkyIndex):
+        if right.key != key:
+            raise ValueError(f"the index is keyed by {right.key}, not {key}")
+        return right.nearest(left, tolerance, ["u_id"], payload, carry=_others(left))
+    return crossmatch.nearest(left, right, tolerance, ["u_id"], key, payload, right_separated=separated, carry=_others(left))
 
 
 def _others(left: DataFrame) -> list[str]:
@@ -48,7 +63,7 @@ def _others(left: DataFrame) -> list[str]:
 
 
 def with_redshift(
-    base: DataFrame, r_matched: DataFrame, r_key: str, morphology: bool = True,
+    base: DataFrame, r_matched: DataFrame | SkyIndex, r_key: str, morphology: bool = True,
     tolerance: float = TOLERANCE, keep: Sequence[str] = ("u_id",), separated: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Training table of the chain and the comparison of the two r magnitudes.
@@ -57,36 +72,36 @@ def with_redshift(
     ``separated=False``.
     """
     shapes = list(project.MORPHOLOGY) + ["gal_g1", "gal_g2"] if morphology else []
-    shapes = [c for c in shapes if c in r_matched.columns]
-    found = crossmatch.nearest(
-        base, r_matched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R", *shapes, "Z_SPEC"], right_separated=separated,
-        carry=_others(base),
-    )
+    offered = r_matched.payload if isinstance(r_matched, SkyIndex) else r_matched.columns
+    shapes = [c for c in shapes if c in offered]
+    found = _partners(base, r_matched, tolerance, r_key, ["MAG_AUTO_R", *shapes, "Z_SPEC"], separated)
     medium = project.shear(found) if {"gal_g1", "gal_g2"} <= set(shapes) else found
     names = {**project.THREE_SURVEY_MAGNITUDES, **(project.MORPHOLOGY if morphology else {}), **project.TARGET}
     return project.short_names(medium, names, keep), medium.select(*keep, "MAG_r", "MAG_AUTO_R")
 
 
 def without_redshift(
-    base: DataFrame, r_unmatched: DataFrame, r_key: str,
+    base: DataFrame, r_unmatched: DataFrame | SkyIndex, r_key: str,
     tolerance: float = TOLERANCE, keep: Sequence[str] = ("u_id",), separated: bool = True,
 ) -> DataFrame:
     """Population table of the chain: magnitudes of all objects found in the three surveys."""
-    found = crossmatch.nearest(
-        base, r_unmatched, tolerance, ["u_id"], r_key, ["MAG_AUTO_R"], right_separated=separated, carry=_others(base)
-    )
+    found = _partners(base, r_unmatched, tolerance, r_key, ["MAG_AUTO_R"], separated)
     return project.short_names(found, project.THREE_SURVEY_MAGNITUDES, keep)
 
 
 def three_surveys(
-    u: DataFrame, deep: DataFrame, r_matched: DataFrame, r_unmatched: DataFrame, r_key: str,
+    u: DataFrame, deep: DataFrame | SkyIndex, r_matched: DataFrame | SkyIndex, r_unmatched: DataFrame | SkyIndex, r_key: str,
     morphology: bool = True, tolerance: float = TOLERANCE, **options,
 ) -> ThreeSurveys:
     """u survey -> deep survey -> r catalogue, with and without redshifts.
 
-    The first match feeds both chains and is written once.
+    The first match feeds both chains and is written once. Catalogues may be given as stored indexes
+    (:mod:`skylattice.operators.sky_index`), which later chains search without exchanging them; an index of
+    the deep survey holds :func:`deep_survey`'s rows.
     """
-    base = staged(u_with_deep(u_survey(u), deep_survey(deep), tolerance))
+    if not isinstance(deep, SkyIndex):
+        deep = deep_survey(deep)
+    base = staged(u_with_deep(u_survey(u), deep, tolerance))
     matched, comparison = with_redshift(base, r_matched, r_key, morphology, tolerance, **options)
     unmatched = without_redshift(base, r_unmatched, r_key, tolerance, **options)
     return ThreeSurveys(matched, unmatched, comparison)
