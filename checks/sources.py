@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from checks.fixtures import ctes, read, view
 from skylattice.operators import pixels
 from skylattice.session import shared_folder
-from skylattice.sources import tables
+from skylattice.sources import fits, tables
 
 
 def _folder(spark: SparkSession) -> str:
@@ -68,6 +68,20 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     return tables.join_weights(t, tables.as_table(spark, path=path), ["obj_id"])
 
 
+def fits_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their lines as arrays of variable length, through binary tables with a heap."""
+    path = _folder(spark)
+    lines = read(spark, sf, "lineitem").select(
+        "l_orderkey", F.struct("l_linenumber", F.col("l_extendedprice").cast("double").alias("price"), "l_partkey", "l_returnflag").alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines")).select(
+        F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("lines.price").alias("prices"),
+        F.transform("lines", lambda x: F.when(x["l_partkey"] % 3 > 0, x["l_partkey"].cast("bigint"))).alias("parts"),
+        F.array_join("lines.l_returnflag", "").alias("flags"),
+        F.when(F.col("l_orderkey") % 5 > 0, F.size("lines")).alias("n"))
+    fits.write_fits(orders, path, "LINES", filebytes=1 << 20)
+    return fits.read_fits(spark, path, "LINES").select("l_orderkey", "n", "flags", "parts", F.transform("prices", lambda x: F.round(x, 2)).alias("prices"))
+
+
 def images(spark: SparkSession, sf: str) -> DataFrame:
     """Cut-outs carried as arrays."""
     path = _folder(spark)
@@ -94,6 +108,7 @@ QUERIES = {
     "round_trip_tiles_text": tiles("csv"),
     "round_trip_weights": weights,
     "round_trip_images": images,
+    "round_trip_fits": fits_orders,
     "round_trip_union": survey_union,
 }
 
@@ -101,6 +116,10 @@ _SPECTRA = f"WITH {ctes('spec')} SELECT ra AS \"RA\", dec AS \"DEC\", CASE WHEN
 _TILES = f"WITH {ctes('band_i')} SELECT tile, ide, MAG_AUTO AS \"MAG_AUTO\" FROM band_i"
 
 ORACLES = {
+    "round_trip_fits": "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CASE WHEN l_orderkey%5>0 THEN CAST(count(*) AS INTEGER) END AS n,"
+                       " string_agg(l_returnflag, '' ORDER BY l_linenumber, l_extendedprice, l_partkey, l_returnflag) AS flags,"
+                       " list(CASE WHEN l_partkey%3>0 THEN CAST(l_partkey AS BIGINT) END ORDER BY l_linenumber, l_extendedprice, l_partkey, l_returnflag) AS parts,"
+                       " list(round(CAST(l_extendedprice AS DOUBLE),2) ORDER BY l_linenumber, l_extendedprice, l_partkey, l_returnflag) AS prices FROM lineitem GROUP BY l_orderkey",
     "round_trip_u_survey": f"WITH {ctes('u_survey')} SELECT ra AS \"ALPHA_J2000\", dec AS \"DELTA_J2000\", mag_u AS \"MAG_u\", mag_r_u AS \"MAG_r\","
                            " magerr_u AS \"MAGERR_u\" FROM u_survey",
     "round_trip_deep_survey": f"WITH {ctes('deep')} SELECT ra, dec, g AS g_stk_aper, i AS i_stk_aper, z AS z_stk_aper,"

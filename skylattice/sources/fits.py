@@ -4,7 +4,8 @@
 every file side by side, row by row: columns ``PARAM_BAND``, plus ``tile`` (file name) and
 ``ide`` (row number). A single ``hdu`` gives plain column names. The driver only lists files and
 opens one for the schema; headers and rows are read in the tasks, in slices of large files, and
-only the columns of the schema are decoded.
+only the columns of the schema are decoded. Columns of variable length (descriptors into the heap) are arrays;
+their part of the heap is read in pieces of bounded size.
 
 Options: ``hdu`` (names or numbers, default 1), ``columns`` (comma-separated parameters),
 ``incomplete`` (``skip`` leaves out files that lack a table or column, ``fail`` raises),
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ TYPES: dict[str, tuple[str, DataType]] = {
 }
 
 
+#: Descriptors of values in the heap: how many there are, and where they start.
+DESCRIPTORS = {"P": ">i4", "Q": ">i8"}
+#: Pieces of the heap no farther apart than this are read at once.
+GAP_BYTES = 1 << 16
+
+
 @dataclass(frozen=True)
 class Column:
     name: str
@@ -55,11 +62,15 @@ class Column:
     scale: float
     zero: float
     null: int | None
+    #: Type of the descriptor if the values lie in the heap.
+    descriptor: str | None = None
 
     def spark_type(self) -> DataType:
         base = TYPES[self.code][1]
         if self.code == "A":
             return base
+        if self.descriptor:
+            return ArrayType(self.element().spark_type())
         if self.scale != 1.0 or self.zero != 0.0:
             base = DoubleType()
         for _ in self.shape:
@@ -67,6 +78,11 @@ class Column:
         return base
 
 
+    def element(self) -> Column:
+        """One value of a column of variable length."""
+        return replace(self, repeat=1, shape=(), offset=0, width=np.dtype(TYPES[self.code][0]).itemsize or 1, descriptor=None)
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -77,6 +93,9 @@ class Table:
     columns: dict[str, Column]
     #: Columns of a type that is not read.
     unreadable: tuple[str, ...] = ()
+    #: Place and size of the heap, where values of variable length lie.
+    heap: int = 0
+    heap_bytes: int = 0
 
 
 class Incomplete(ValueError):
@@ -126,29 +145,40 @@ def tables_of(stream) -> list[Table]:
         size = (size + cards.get("PCOUNT", 0)) * cards.get("GCOUNT", 1)
         start = stream.tell()
         if cards.get("XTENSION") == "BINTABLE":
-            found.append(Table(str(cards.get("EXTNAME", number)), number, start, axes[0], axes[1], _columns(cards), _unreadable(cards)))
+            data = axes[0] * axes[1]
+            heap = cards.get("THEAP", data)
+            found.append(Table(str(cards.get("EXTNAME", number)), number, start, axes[0], axes[1], _columns(cards),
+                               _unreadable(cards), start + heap, data + cards.get("PCOUNT", 0) - heap))
         stream.seek(start + math.ceil(size / BLOCK) * BLOCK)
         number += 1
     return found
 
 
+def _form(text: str) -> tuple[int, str | None, str]:
+    """Repeat count, descriptor of the heap if any, and type code."""
+    repeat, descriptor, code = re.match(r"(\d*)([PQ]?)([A-Z])", text).groups()
+    return int(repeat) if repeat else 1, descriptor or None, code
+
+
 def _columns(cards: dict) -> dict[str, Column]:
     columns, offset = {}, 0
     for i in range(1, cards.get("TFIELDS", 0) + 1):
-        repeat, code = re.match(r"(\d*)([A-Z])", cards[f"TFORM{i}"]).groups()
-        repeat = int(repeat) if repeat else 1
-        unit = {"P": 8, "Q": 16, "C": 8, "M": 16, "A": 1, "X": 0}.get(code)
-        if unit is None:
+        repeat, descriptor, code = _form(cards[f"TFORM{i}"])
+        unit = {"C": 8, "M": 16, "A": 1, "X": 0}.get(code)
+        if descriptor:
+            unit = np.dtype(DESCRIPTORS[descriptor]).itemsize * 2
+        elif unit is None:
             unit = np.dtype(TYPES[code][0]).itemsize
-        width = math.ceil(repeat / 8) if code == "X" else unit * repeat
+        width = math.ceil(repeat / 8) if code == "X" and not descriptor else unit * repeat
         name = str(cards.get(f"TTYPE{i}", f"col{i}"))
         dims = re.findall(r"\d+", str(cards.get(f"TDIM{i}", "")))
         # dimensions are stored fastest first
         shape = tuple(int(d) for d in reversed(dims)) if dims else ((repeat,) if repeat != 1 else ())
         if code in TYPES:
             columns[name] = Column(
-                name, code, repeat, () if code == "A" else shape, offset, width,
+                name, code, repeat, () if code == "A" or descriptor else shape, offset, width,
                 float(cards.get(f"TSCAL{i}", 1.0)), float(cards.get(f"TZERO{i}", 0.0)), cards.get(f"TNULL{i}"),
+                descriptor,
             )
         offset += width
     return columns
@@ -157,7 +187,7 @@ def _columns(cards: dict) -> dict[str, Column]:
 def _unreadable(cards: dict) -> tuple[str, ...]:
     return tuple(
         str(cards.get(f"TTYPE{i}", f"col{i}")) for i in range(1, cards.get("TFIELDS", 0) + 1)
-        if re.match(r"\d*([A-Z])", cards[f"TFORM{i}"]).group(1) not in TYPES)
+        if _form(cards[f"TFORM{i}"])[2] not in TYPES)
 
 
 def pick_tables(tables: list[Table], hdus: list[str], wanted: list[str] | None) -> list[Table]:
@@ -186,7 +216,8 @@ def decode(raw: np.ndarray, column: Column) -> np.ndarray:
     values = data.view(TYPES[column.code][0])
     values = values.reshape((len(raw),) + column.shape) if column.shape else values.ravel()
     if column.code == "L":
-        return values == ord("T")
+        true = values == ord("T")
+        return np.ma.masked_array(true, mask=values == 0) if (values == 0).any() else true
     blank = values == column.null if column.null is not None else None
     if column.scale != 1.0 or column.zero != 0.0:
         values = values.astype("f8") * column.scale + column.zero
@@ -199,6 +230,43 @@ def decode(raw: np.ndarray, column: Column) -> np.ndarray:
     return values
 
 
+def descriptors(raw: np.ndarray, column: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Number of values and place in the heap, row by row."""
+    if not column.width:
+        return np.zeros(len(raw), "i8"), np.zeros(len(raw), "i8")
+    data = np.ascontiguousarray(raw[:, column.offset:column.offset + column.width])
+    pairs = data.view(DESCRIPTORS[column.descriptor]).reshape(len(raw), 2).astype("i8")
+    return pairs[:, 0], pairs[:, 1]
+
+
+def decode_heap(raw: np.ndarray, column: Column, table: Table, stream) -> pa.Array:
+    """A column of variable length: arrays, or text."""
+    many, at = descriptors(raw, column)
+    one = column.element()
+    size = many * one.width
+    if len(raw) and ((many < 0) | (many > 0) & ((at < 0) | (at + size > table.heap_bytes))).any():
+        raise ValueError(f"table {table.name}: {column.name} points outside the heap")
+    pieces: list[bytes] = [b""] * len(raw)
+    block, start = b"", 0
+    order = [int(k) for k in np.argsort(at, kind="stable") if size[k]]
+    for n, k in enumerate(order):
+        if not start <= at[k] or at[k] + size[k] > start + len(block):
+            start, stop = int(at[k]), int(at[k] + size[k])
+            for j in order[n + 1:]:
+                if at[j] > stop + GAP_BYTES or at[j] + size[j] - start > BATCH_BYTES:
+                    break
+                stop = max(stop, int(at[j] + size[j]))
+            stream.seek(table.heap + start)
+            block = stream.read(stop - start)
+            if len(block) < stop - start:
+                raise ValueError(f"table {table.name}: truncated heap")
+        pieces[k] = block[at[k] - start:at[k] - start + size[k]]
+    if column.code == "A":
+        return pa.array([p.split(b"\0")[0].decode("ascii", "replace").rstrip() for p in pieces], pa.string())
+    values = decode(np.frombuffer(b"".join(pieces), "u1").reshape(-1, one.width), one)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), _arrow(values, one.spark_type()))
+
+
 def _arrow(values: np.ndarray, kind: DataType) -> pa.Array:
     if isinstance(values, np.ma.MaskedArray):
         if values.ndim > 1:
@@ -247,6 +315,13 @@ class FitsTables(DataSource):
     def reader(self, schema):
         return FitsReader(dict(self.options), schema)
 
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("files are added to a folder; write to a new one")
+        from skylattice.sources.fits_write import FitsWriter
+
+        return FitsWriter(dict(self.options), schema)
+
 
 class _Settings:
     def __init__(self, options):
@@ -318,19 +393,27 @@ class FitsReader(DataSourceReader):
         # files of one name in two folders are two tiles
         tile = path.removeprefix(settings.inner.rstrip("/") + "/") if path != settings.inner else path.rsplit("/", 1)[-1]
         step = max(1, BATCH_BYTES // max(1, sum(t.row_bytes for t in picked)))
+        wanted = [(settings.output(name, hdu), table, column) for hdu, table in zip(settings.hdus, picked)
+                  for name, column in table.columns.items() if settings.output(name, hdu) in self.schema.fieldNames()]
         for start in range(first, last, step):
             stop = min(start + step, last)
-            values = {"tile": pa.array([tile] * (stop - start)), "ide": pa.array(np.arange(start, stop))}
-            for hdu, table in zip(settings.hdus, picked):
+            rows = {}
+            for table in picked:
                 stream.seek(table.start + start * table.row_bytes)
                 raw = np.frombuffer(stream.read((stop - start) * table.row_bytes), "u1").reshape(-1, table.row_bytes)
-                for name, column in table.columns.items():
-                    out = settings.output(name, hdu)
-                    if out in self.schema.fieldNames():
-                        values[out] = _arrow(decode(raw, column), self.schema[out].dataType)
-            yield pa.RecordBatch.from_arrays(
-                [values[f.name] for f in self.schema.fields], names=self.schema.fieldNames()
-            )
+                rows[table.number] = raw
+            far = sum((descriptors(rows[t.number], c)[0] * c.element().width for _, t, c in wanted if c.descriptor), np.zeros(stop - start, "i8"))
+            part = np.cumsum(far) // BATCH_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), stop - start]
+            for low, high in zip(edges, edges[1:]):
+                values = {"tile": pa.array([tile] * (high - low)), "ide": pa.array(np.arange(start + low, start + high))}
+                for out, table, column in wanted:
+                    raw = rows[table.number][low:high]
+                    values[out] = decode_heap(raw, column, table, stream) if column.descriptor else \
+                        _arrow(decode(raw, column), self.schema[out].dataType)
+                yield pa.RecordBatch.from_arrays(
+                    [values[f.name] for f in self.schema.fields], names=self.schema.fieldNames()
+                )
 
 
 def read_fits(spark, path: str, hdu: str = "1", columns: str | None = None, **options):
@@ -340,3 +423,9 @@ def read_fits(spark, path: str, hdu: str = "1", columns: str | None = None, **op
     if columns:
         reader = reader.option("columns", columns)
     return reader.options(**options).load(path)
+
+
+def write_fits(df, path: str, hdu: str = "1", **options) -> None:
+    """Add the rows to the folder ``path`` as files with one table named ``hdu``; see :mod:`skylattice.sources.fits_write`."""
+    df.sparkSession.dataSource.register(FitsTables)
+    df.write.format("fits_tables").option("hdu", hdu).options(**options).mode("append").save(path)

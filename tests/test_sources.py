@@ -106,12 +106,74 @@ def test_columns_in_another_order_in_each_file(spark, tmp_path):
 
 
 def test_unreadable_columns_are_named(spark, tmp_path):
-    fits_file(tmp_path / "odd.fits", [("R", [("V", "K", ">i8", np.arange(3), {}), ("W", "1PE(3)", ">i4", np.zeros((3, 2)), {})])])
+    fits_file(tmp_path / "odd.fits", [("R", [("V", "K", ">i8", np.arange(3), {}), ("W", "1C", ">f4", np.zeros((3, 2)), {})])])
     with pytest.raises(Exception, match="W"):
         fits.read_fits(spark, str(tmp_path), "R").collect()
     assert fits.read_fits(spark, str(tmp_path), "R", "V").count() == 3
 
 
+def heap_file(path, form, pairs, heap, rows=3, cards=()):
+    """A table whose only column points into the given heap, which starts 24 bytes after the rows."""
+    data = np.asarray(pairs, ">i4" if "P" in form else ">i8")
+    top = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", data.nbytes // rows), card("NAXIS2", rows),
+           card("PCOUNT", len(heap) + 24), card("GCOUNT", 1), card("TFIELDS", 1), card("EXTNAME", "V"), card("TTYPE1", "W"),
+           card("TFORM1", form), card("THEAP", data.nbytes + 24), *cards]
+    raw = data.tobytes() + b"?" * 24 + heap
+    body = header(top) + raw.ljust(math.ceil(len(raw) / 2880) * 2880, b"\0")
+    primary = header([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0)])
+    path.write_bytes(primary + body + binary_table("NEXT", [("A", "J", ">i4", [5], {})]))
+
+
+@pytest.mark.parametrize("form", ["1PI(3)", "QI"])
+def test_fits_values_of_variable_length(spark, tmp_path, form, monkeypatch):
+    heap = np.arange(10, 16, dtype=">i2").tobytes()
+    # shared, overlapping and empty pieces, in any order
+    heap_file(tmp_path / "v.fits", form, [(3, 6), (0, 999), (2, 0), (4, 0)], heap, rows=4, cards=[card("TNULL1", 11)])
+    for gap, batch in ((1 << 16, 32 << 20), (0, 4)):
+        monkeypatch.setattr(fits, "GAP_BYTES", gap)
+        monkeypatch.setattr(fits, "BATCH_BYTES", batch)
+        rows = [b for p in fits.FitsReader({"path": str(tmp_path), "hdu": "V"}, fits.FitsTables({"path": str(tmp_path), "hdu": "V"}).schema()).partitions()
+                for b in fits.FitsReader({"path": str(tmp_path), "hdu": "V"}, fits.FitsTables({"path": str(tmp_path), "hdu": "V"}).schema()).read(p)]
+        assert [v for b in rows for v in b.column(2).to_pylist()] == [[13, 14, 15], [], [10, None], [10, None, 12, 13]]
+    df = fits.read_fits(spark, str(tmp_path), "V")
+    assert df.schema["W"].dataType.simpleString() == "array<smallint>" and df.count() == 4
+    assert fits.read_fits(spark, str(tmp_path), "NEXT").first()["A"] == 5
+
+
+def test_fits_pointers_outside_the_heap(spark, tmp_path):
+    heap_file(tmp_path / "v.fits", "1PE(3)", [(3, 0), (0, 0), (1, 12)], b"\0" * 12)
+    with pytest.raises(Exception, match="outside the heap"):
+        fits.read_fits(spark, str(tmp_path), "V").collect()
+
+
+def test_fits_written_by_tasks(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, [1.5, nan, None], "it's", True, 7, [1, 2], 0.5), (None, [], "", None, None, [], None), (3, None, None, False, -5, None, 2.5)]
+    rows += [(k, [float(k)] * (k % 7), "x" * (k % 5), k % 2 == 0, k, list(range(k % 3)), float(k)) for k in range(10, 1500)]
+    names = "k bigint, v array<double>, t string, b boolean, s smallint, w array<int>, f float"
+    df = spark.createDataFrame(rows, names).repartition(3)
+    path = str(tmp_path / "out")
+    fits.write_fits(df, path, "T", filebytes=20000)
+    files = list((tmp_path / "out").iterdir())
+    assert len(files) > 3 and all(f.suffix == ".fits" for f in files) and all(f.stat().st_size % 2880 == 0 for f in files)
+    back = fits.read_fits(spark, path, "T").drop("tile", "ide")
+    assert [f.dataType for f in back.schema] == [f.dataType for f in df.schema]
+
+    def plain(r):
+        f = "nan" if r[6] is None or math.isnan(r[6]) else r[6]
+        return repr((r[0], [nan if v is None else v for v in r[1] or []], r[2] or "", r[3], r[4], list(r[5] or []), f))
+    assert sorted(map(plain, back.collect())) == sorted(map(plain, rows))
+    fits.write_fits(df.limit(5), path, "T")
+    assert fits.read_fits(spark, path, "T").count() == len(rows) + 5
+    with pytest.raises(Exception, match="stands for a missing value"):
+        fits.write_fits(spark.createDataFrame([(-2**63,), (None,)], "k bigint").coalesce(1), str(tmp_path / "bad"), "T")
+    # what a failed job left is not listed
+    assert not [f for f in (tmp_path / "bad").iterdir() if f.suffix == ".fits"]
+    with pytest.raises(Exception, match="cannot be written"):
+        fits.write_fits(spark.createDataFrame([([["a"]],)], "k array<array<string>>"), str(tmp_path / "odd"), "T")
+    fits.write_fits(df.filter("false"), path, "T")
+
+
 def test_equal_names_in_two_folders(spark, tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
