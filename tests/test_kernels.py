@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from skylattice.learn import kernels, search
 from skylattice.learn.evaluate import Setting, fit_predict, holdout_parts
 from skylattice.learn.regressors import regressor
+from skylattice.session import staging
 
 SETTING = Setting(key=("k",), target="z", preprocessing="drop", cv=2, parallelism=2)
 
@@ -57,6 +58,19 @@ def test_support_vectors_reach_the_dual(spark, c, epsilon, weighted):
     assert np.abs(guess - (kernel(x, x) @ a + offset)).max() < 0.05
 
 
+@pytest.mark.parametrize("c,epsilon,gamma", [(10.0, 0.05, 0.5), (10.0, 0.01, 5.0), (10.0, 0.01, 20.0)])
+def test_support_vectors_take_few_passes(spark, monkeypatch, c, epsilon, gamma):
+    """Narrow tubes and costly slacks end at the gap asked for, after a few passes over spread rows."""
+    x, y, w = data()
+    table, passes, sums = frame(spark, x, y, w).coalesce(1), [], kernels._sums
+    monkeypatch.setattr(kernels, "_sums", lambda rows, *rest: passes.append(rows.rdd.getNumPartitions()) or sums(rows, *rest))
+    mapped = kernels.landmark_map(table, kernels.Kernel("rbf", gamma), 200)
+    with staging(spark) as stage:
+        found = kernels.support_vectors(kernels.spread_rows(table, stage), mapped, c, epsilon)
+    assert found.gap <= kernels.GAP * found.objective
+    assert len(passes) <= 40 and min(passes) > 1
+
+
 def test_few_landmarks_are_measured(spark):
     x, y, w = data(400)
     table, kernel = frame(spark, x, y, w), kernels.Kernel("rbf", 0.2)
