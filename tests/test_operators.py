@@ -390,3 +390,36 @@ def test_exact_folds_of_keys_that_share_a_number(spark):
     text = spark.createDataFrame([(f"a{i % 7}", i) for i in range(1003)], "a string, b int")
     sizes = folds.shuffled_folds(text, ["a", "b"], 4, exact=True).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in sizes] == [250, 250, 250, 253]
+
+
+def test_block_order_statistics_are_exact_and_make_no_row_for_a_value(spark):
+    """Groups side by side in the rows: ranks, sums and scores as by sorting, with gaps, ties and extreme values."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(500, 6)), 2)
+    x[:, 1] = 3.0
+    x[:, 2] = np.where(rng.random(500) < 0.7, 0.25, x[:, 2])
+    x[:2, 3] = -1.7e308, 1.7e308
+    x[rng.random((500, 6)) < 0.2] = np.nan
+    x[1:, 5] = np.nan
+    x[0, 5] = 7.0
+    table = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+
+    def blocks(batch):
+        m = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+        yield np.arange(4), m[:, :4]
+        yield np.array([5, 4]), m[:, [5, 4]]
+
+    kept = [np.sort(c[~np.isnan(c)]) for c in x.T]
+    ranks = {g: sorted({0, len(v) // 4, len(v) // 2, len(v) - 1}) for g, v in enumerate(kept)}
+    assert order_stats.block_order_statistics(table, blocks, ranks) == {g: [kept[g][k] for k in of] for g, of in ranks.items()}
+    sums = order_stats.block_sums(table, blocks, 6, 0.15)
+    assert [sums[g]["n"] for g in range(6)] == [len(v) for v in kept]
+    assert [sums[g]["far"] for g in range(6)] == [int((np.abs(v) > 0.15).sum()) for v in kept]
+    with pytest.raises(ValueError):
+        order_stats.block_order_statistics(table, blocks, {0: [len(kept[0])]})
+    long = table.select(F.posexplode("x").alias("g", "dz")).where("NOT isnan(dz) AND g < 3")
+    three = lambda batch: [(g[:3], m[:, :3]) for g, m in blocks(batch) if len(g) == 4]
+    plain, found = metrics.grouped_scores(long, "g", "dz", 3), metrics.block_scores(table, three, 3)
+    for g in range(3):
+        assert found[g].sigma == plain[g].sigma and found[g].rows == plain[g].rows
+        assert found[g].eta == pytest.approx(plain[g].eta) and found[g].bias == pytest.approx(plain[g].bias, abs=1e-12)
