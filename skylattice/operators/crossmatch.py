@@ -108,19 +108,24 @@ def _with_crowds(
 
 def search_cells(
     seeking: DataFrame, reached: DataFrame, full: DataFrame | None, left_key: Sequence[str],
-    radius_arcsec: float, side: float, crowd: int | None,
+    radius_arcsec: float, side: float, crowd: int | None, stored: bool = False,
 ) -> DataFrame:
     """Closest right object by left key; ``reached`` has one row per right object and cell it reaches.
 
-    ``full`` are the crowded cells, None if there are none.
+    ``full`` are the crowded cells, None if there are none. ``stored``: ``reached`` lies in buckets of cells and stays
+    there, by a sort-merge join; a broadcast or hash build would move it.
     """
+    def still(right: DataFrame) -> DataFrame:
+        return right.hint("merge") if stored else right
+
     placed = seeking.select("*", *sky.own_cell(LEFT, CELLS, side))
     if full is None:
-        return _closest(placed.join(reached, CELLS), left_key, radius_arcsec)
-    quiet = placed.join(full, CELLS, "left_anti").join(reached, CELLS)
+        return _closest(placed.join(still(reached), CELLS), left_key, radius_arcsec)
+    # the objects of crowded cells are left out on both sides: else all of a cell's meet in one task for nothing
+    quiet = placed.join(full, CELLS, "left_anti").join(still(reached.join(full, CELLS, "left_anti")), CELLS)
     near_full = reached.join(full, CELLS, "left_semi").drop(*CELLS).dropDuplicates(["_rra", "_rdec"])
     busy = crowded.surviving_pairs(
-        placed.join(full, CELLS, "left_semi").drop(*CELLS), near_full, left_key, LEFT, RIGHT,
+        placed.join(full, CELLS, "left_semi").drop(*CELLS), near_full, LEFT, RIGHT,
         sky.reach(radius_arcsec), side, crowd
     )
     return _closest(quiet, left_key, radius_arcsec).unionByName(_closest(busy, left_key, radius_arcsec))

@@ -53,11 +53,10 @@ class SkyIndex:
         reached = self.cells.select(
             *CELLS, "_rra", "_rdec", *RIGHT,
             F.struct(*[F.col(f"_right.{c}").alias(c) for c in ("_key", *payload)]).alias("_right"))
-        # sort-merge: a broadcast or hash build of the stored side would move it
         found = crossmatch.search_cells(
-            crossmatch.seekers(left, left_key, left_coords, carry), reached.hint("merge"),
+            crossmatch.seekers(left, left_key, left_coords, carry), reached,
             self.full if self.has_crowds else None, left_key, radius_arcsec,
-            side=sky.reach(self.radius_arcsec) * SEARCH_SIDE, crowd=self.crowd,
+            side=sky.reach(self.radius_arcsec) * SEARCH_SIDE, crowd=self.crowd, stored=True,
         )
         return crossmatch.found_columns(found, left_key, self.key, payload, carry)
 
