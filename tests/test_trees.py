@@ -210,3 +210,12 @@ def test_table_without_rows_or_weights(spark):
         for t in (table, table.limit(0)):
             model = trees.forest(t, 2, Growth(), 8, 1, stage)
             assert model.raw(np.zeros((1, 1), int)) == [0.0]
+
+
+def test_rows_of_a_node_travel_in_few_bytes():
+    """Rows of a node that one task finishes: bins in two bytes each, everything else unrounded."""
+    rng = np.random.default_rng(11)
+    ids, h, y, x = rng.integers(0, 1 << 60, 7), rng.uniform(size=7), rng.uniform(size=7), rng.integers(0, 1 << 16, (7, 5))
+    data = trees._pack(ids, h, y, x)
+    assert len(data) == 7 * (24 + 2 * 5)
+    assert all((a == b).all() for a, b in zip(trees._unpack(data, 5), (ids, h, y, x)))
