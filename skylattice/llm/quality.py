@@ -30,6 +30,8 @@ WORD_BUCKETS = 1 << 13
 BINS = 24
 FIGURES = 11
 SIZE = WORD_BUCKETS + FIGURES * BINS
+#: Features are numbered in so many bytes.
+_INDEX = np.uint16
 #: Share of a text's squared length that its words have.
 _WORD_SHARE = 0.5
 
@@ -147,13 +149,26 @@ def _gather(rows: DataFrame) -> tuple[list[str], Sparse]:
         for batch in batches:
             found = [features(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary()),
+                batch.column(0), pa.array([i.astype(_INDEX).tobytes() for i, _ in found], pa.binary()),
                 pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["kind", "index", "value"])
 
     got = rows.select("kind", F.col("text").cast("binary").alias("text")).mapInArrow(run, "kind string, index binary, value binary").toArrow()
-    return got.column(0).to_pylist(), Sparse.of([
-        (np.frombuffer(i, np.int32), np.frombuffer(v, np.float32))
-        for i, v in zip(got.column(1).to_pylist(), got.column(2).to_pylist())])
+    # Rows lie end to end in what arrived: no copy of each is made.
+    (index, start), (value, _) = (_end_to_end(got.column(c), kind) for c, kind in ((1, _INDEX), (2, np.float32)))
+    return got.column(0).to_pylist(), Sparse(index, value, start)
+
+
+def _end_to_end(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all rows of a binary column, and where each row starts."""
+    size, place = np.dtype(kind).itemsize, np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    parts, lengths = [np.empty(0, kind)], [np.zeros(1, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], place)[chunk.offset:chunk.offset + len(chunk) + 1].astype(np.int64)
+            lengths.append(np.diff(ends) // size)
+            if ends[-1] > ends[0]:
+                parts.append(np.frombuffer(chunk.buffers()[2], kind, (ends[-1] - ends[0]) // size, ends[0]))
+    return np.concatenate(parts), np.cumsum(np.concatenate(lengths))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", folds: int = 3, held_out: int = 1,

@@ -60,9 +60,12 @@ class Sparse:
 
     def take(self, rows: np.ndarray) -> "Sparse":
         length = np.diff(self.start)[rows]
-        start = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(start[-1]) - np.repeat(start[:-1] - self.start[rows], length)
-        return Sparse(self.index[at], self.value[at], start)
+        start = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        out = Sparse(np.empty(start[-1], self.index.dtype), np.empty(start[-1], self.value.dtype), start)
+        for a, b, part, row in out._blocks():
+            at = np.arange(part.start, part.stop) + (self.start[rows[a:b]] - start[a:b])[row]
+            out.index[part], out.value[part] = self.index[at], self.value[at]
+        return out
 
 
 def fold_of(key: str, folds: int) -> Column:

@@ -191,6 +191,20 @@ def test_lines_alike_at_the_starts_of_words_stay(spark):
     assert len(found) == len(rows) and all(r.kept for r in found)
 
 
+def test_pairs_of_a_bucket_meet_by_bits(spark, monkeypatch):
+    """No row is made for pairs that two whole numbers a line tell apart, so a bucket's rows do not grow with its square."""
+    rng, seen, compared = random.Random(6), [], line_dedup._compared
+    monkeypatch.setattr(line_dedup, "_compared", lambda pairs, sets: seen.append(pairs) or compared(pairs, sets))
+    rows = []
+    for i in range(60):
+        words = [f"common{k}" for k in range(30)] + [f"own{i}x{rng.randrange(10**6)}" for _ in range(25)]
+        rows.append((i, " ".join(words)))
+    found = line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.first_doc, r.first_line) for r in found} == lines_by_hand(rows)
+    joins = [x for x in seen[1]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+    assert len(joins) == 1 and "bit_count" in joins[0] and "key" in joins[0]
+
+
 def test_kept_lines(spark):
     rows = spark.createDataFrame([(1, "a first line of it\n\nunique", "p"), (2, "a first line of it\nmore here", "q"), (3, None, "r"), (None, "a first line of it", "s")],
                                  "doc_id long, text string, source string")

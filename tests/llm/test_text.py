@@ -25,6 +25,28 @@ def test_held_out_quality(spark):
     assert all(0 <= r.quality_score <= 1 for r in scored)
 
 
+def test_rows_are_taken_in_little_memory(monkeypatch):
+    """Taking rows costs little beside the rows taken."""
+    import tracemalloc
+
+    from skylattice.llm import sparse
+    monkeypatch.setattr(sparse, "BLOCK", 1 << 14)
+    rng = np.random.default_rng(1)
+    rows = sparse.Sparse.of([(np.arange(n), rng.random(n)) for n in rng.integers(0, 400, 4000)])
+    order = rng.permutation(len(rows))[:3000]
+    tracemalloc.start()
+    got = rows.take(order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (got.index.nbytes + got.value.nbytes)
+    for k, i in enumerate(order):
+        for a, b in ((got.index, rows.index), (got.value, rows.value)):
+            assert (a[got.start[k]:got.start[k + 1]] == b[rows.start[i]:rows.start[i + 1]]).all()
+    packed = quality.pa.chunked_array([quality.pa.array([b"ab", b"", b"cdef"]), quality.pa.array([b"", b"gh"]).slice(1), quality.pa.array([], quality.pa.binary())])
+    values, start = quality._end_to_end(packed, np.uint16)
+    assert values.tobytes() == b"abcdefgh" and start.tolist() == [0, 1, 1, 3, 4]
+
+
 def test_quality_of_odd_texts(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (8, 1), (11, 0), (3, None), (9, 0), (9, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
