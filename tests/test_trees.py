@@ -219,3 +219,34 @@ def test_rows_of_a_node_travel_in_few_bytes():
     data = trees._pack(ids, h, y, x)
     assert len(data) == 7 * (24 + 2 * 5)
     assert all((a == b).all() for a, b in zip(trees._unpack(data, 5), (ids, h, y, x)))
+
+
+def test_rows_of_bins_and_blocks(spark):
+    """Bins come out of a sliced batch as they went in; blocks hold every row once, with its answer; boosting reads blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 300, (50, 3)).astype(np.uint16)
+    batch = trees.pa.RecordBatch.from_arrays([
+        trees.pa.array(range(50)), trees.pa.array([r.tobytes() for r in x], trees.pa.binary()), trees.pa.array(rng.normal(size=50)),
+        trees.pa.array(np.ones(50))], ["id", "x", "y", "w"])
+    for part in (batch, batch.slice(7, 20), batch.slice(3, 0)):
+        ids, bins, *_ = trees._arrays(part, 3)
+        assert bins.shape == (part.num_rows, 3) and (bins == x[ids]).all()
+    rows = spark.createDataFrame([(i, r.tobytes(), float(i), 2.0) for i, r in enumerate(x)], "id long, x binary, y double, w double").repartition(3)
+    blocks = trees._blocked(rows, 0.25, 3)
+    assert blocks.count() == 3
+    parts = [p for b in blocks.toArrow().to_batches() for p in trees._parts(b, 3)]
+    ids, bins, y, w, margin = (np.concatenate(c) for c in zip(*parts))
+    assert sorted(ids) == list(range(50)) and (bins == x[ids]).all() and (y == ids).all() and (w == 2).all() and (margin == 0.25).all()
+
+
+def test_small_trees_lead_rows_alike(monkeypatch):
+    """Split by split over all rows or row by row, a tree gives the same node under every limit."""
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 40, (400, 3)), rng.normal(size=400)
+    nodes = trees.grow_here(x, y, np.ones(400), trees.Growth(depth=5)).arrays()
+    assert 8 < (nodes[0] >= 0).sum() <= trees.SMALL_TREE
+    for limits in ((), (2,), (4, 30)):
+        quick = trees.walk(nodes, x.astype(np.uint16), *limits)
+        with monkeypatch.context() as patch:
+            patch.setattr(trees, "SMALL_TREE", -1)
+            assert (quick == trees.walk(nodes, x, *limits)).all()
