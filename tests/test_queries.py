@@ -55,6 +55,12 @@ def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 80
 
 
+def test_boosting_runs_all_rounds_of_its_preset():
+    from checks import learning
+
+    assert [learning.small(n).params["maxIter"] for n in ("GBR", "LGB")] == [3000, 720]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

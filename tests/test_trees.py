@@ -154,6 +154,35 @@ def test_boosting_equals_plain_boosting(spark, monkeypatch):
             assert np.allclose(got, boosted_by_hand(x, y, w, 8, 0.3, growth, (w * y).sum() / w.sum() if base is None else base))
 
 
+@pytest.mark.parametrize("growth,weighted", [
+    (Growth(depth=4, node_features=0.5, seed=3), False), (Growth(depth=3, ridge=1.0, least_hessian=1.0), True),
+    (Growth(leaves=5, least_leaf=6, tree_features=0.5, rows=0.8, redraw=5, seed=9), True)])
+def test_tasks_that_keep_their_rows_boost_as_passes_do(spark, monkeypatch, growth, weighted):
+    """One task, four tasks that hear each other's sums, and passes over the table: the same trees from the same rows of bins."""
+    x, y, w = data(300)
+    table, shares = frame(spark, x, y, w if weighted else np.ones(300)), []
+    plain = trees._held_rounds
+    monkeypatch.setattr(trees, "_held_rounds", lambda rows, tasks, *rest: shares.append(tasks) or plain(rows, tasks, *rest))
+    with staging(spark) as stage:
+        rows = stage(trees.binned(table, trees.bin_ends(table, 4, 64), stage))
+        monkeypatch.setattr(trees, "binned", lambda *_: rows)
+        found = []
+        for held_rows, held_bytes in ((1000, 1 << 29), (75, 1 << 29), (1000, 1)):
+            monkeypatch.setattr(trees, "HELD_ROWS", held_rows)
+            monkeypatch.setattr(trees, "HELD_BYTES", held_bytes)
+            found.append(trees.boosted(table, 12, 0.3, growth, 64, 4, stage))
+    assert shares == [1, 4] and all(len(m.nodes) == 12 for m in found)
+    expected = found[2].raw(x)
+    assert all(np.allclose(m.raw(x), expected) for m in found) and np.abs(y - expected).mean() < 0.5 * np.abs(y - y.mean()).mean()
+
+
+def test_tasks_that_see_no_common_files_say_so(tmp_path):
+    alone = trees._Exchange(str(tmp_path / "a"), 0, 2)
+    assert alone.heard(b"x", 0.05) is None
+    single = trees._Exchange(str(tmp_path / "b"), 0, 1)
+    assert [single.heard(m) for m in (b"x", b"", b"z")] == [[b"x"], [b""], [b"z"]] and len(list((tmp_path / "b").iterdir())) == 1
+
+
 def test_growth_by_best_leaf(spark):
     """The leaf that gains most is split, until there are five."""
     x, y, w = data(300)
