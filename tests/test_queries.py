@@ -61,6 +61,13 @@ def test_boosting_runs_all_rounds_of_its_preset():
     assert [learning.small(n).params["maxIter"] for n in ("GBR", "LGB")] == [3000, 720]
 
 
+def test_the_compared_regressors_keep_their_presets():
+    from checks import learning
+    from skylattice.plans.training import COMPARED
+
+    assert all(learning.SMALL[n] == {} for n in COMPARED)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
